@@ -20,8 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces that a worker remembers; then it starts anew.
-MEMO_PIECES = 800_000
+from quern.llm.common import in_slices
+
+#: Pieces that a worker remembers in each of two generations.
+MEMO_PIECES = 120_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -32,16 +34,19 @@ def byte_characters() -> dict[int, str]:
 
 
 class _Pieces(dict):
-    """Piece -> its ids as little-endian uint32 bytes."""
+    """Piece -> its ids as little-endian uint32 bytes. When full, it becomes the older generation; pieces in use come back from there."""
 
     def __init__(self, codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.older = codec, {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO_PIECES:
+            self.older = dict(self)
             self.clear()
-        ids = np.asarray(self.codec.model.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = np.asarray(self.codec.model.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -158,21 +163,20 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
 
     def run(batches):
         own = codec(vocabulary, pattern)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch, n, a, b, kept = whole.slice(at, 1000), [], [], [], []
-                for text in _texts(batch.column(1)):
-                    raw = own.encode(text)
-                    ids = np.frombuffer(raw, "<u4")
-                    n.append(len(ids))
-                    a.append(hashlib.sha256(raw).hexdigest())
-                    b.append(hashlib.sha256(own.decode(ids)).hexdigest())
-                    kept.append(ids.astype(np.int32) if with_ids else None)
-                columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        for batch in in_slices(batches):
+            n, a, b, kept = [], [], [], []
+            for text in _texts(batch.column(1)):
+                raw = own.encode(text)
+                ids = np.frombuffer(raw, "<u4")
+                n.append(len(ids))
+                a.append(hashlib.sha256(raw).hexdigest())
+                b.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                kept.append(ids.astype(np.int32) if with_ids else None)
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -55,6 +55,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_slices(batches, rows: int = 1000):
+    """The batches in parts of at most ``rows`` rows; Arrow's spare memory is given back at the end."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts in a row and their n+1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import mix64
+from quern.llm.common import in_slices, mix64
 
 #: Characters that are scored together; a longer text goes through in several pieces.
 PIECE = 1 << 18
@@ -162,11 +162,9 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "d
     held = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                langs, scores = score_texts(part.column(1).to_pylist(), held.value)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        for part in in_slices(batches, 500):
+            langs, scores = score_texts(part.column(1).to_pylist(), held.value)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
@@ -182,10 +180,8 @@ def keep_known(spark: SparkSession, docs: DataFrame, model: Model, least: float
     at = columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
-                langs, scores = score_texts(part.column(at).to_pylist(), held.value)
-                yield part.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores)], pa.bool_()))
+        for part in in_slices(batches, 500):
+            langs, scores = score_texts(part.column(at).to_pylist(), held.value)
+            yield part.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

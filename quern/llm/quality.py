@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import shingles
-from quern.llm.common import utf8
+from quern.llm.common import in_slices, utf8
 
 
 @dataclass(frozen=True)
@@ -93,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, params: Params =
     drawn = rows.filter(F.pmod(F.xxhash64(F.lit("quality"), "id"), F.lit(1_000_000)) < 1_000_000 * min(1.0, params.max_rows / max(n, 1)))
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             x = features(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], names=["x", "y"])
 
@@ -136,7 +136,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, least: float = 0
     held = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             s = score(features(batch.column(1)), held.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= least).astype(np.int32), pa.int32())], names=["doc_id", "score", "predicted"])
 
