@@ -65,7 +65,7 @@ def _slots(codes: np.ndarray, params: Params):
 
 def _pieces(codes: np.ndarray, params: Params):
     over = max(params.orders) - 1
-    for at in range(0, max(1, len(codes) - over), PIECE):
+    for at in range(0, len(codes), PIECE):
         yield codes[at : at + PIECE + over], min(PIECE, len(codes) - at)
 
 
