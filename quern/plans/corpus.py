@@ -197,4 +197,4 @@ def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trace_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.streaming.traces import windowed_stats
 
-    return windowed_stats(parquet(spark, sf_dir, "events"))
+    return windowed_stats(parquet(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
