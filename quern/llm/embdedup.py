@@ -50,22 +50,29 @@ def tile(x: np.ndarray, wx: np.ndarray, y: np.ndarray | None, wy: np.ndarray | N
     base = 0 if y is None else nx
     links, parent = np.zeros(len(both), np.int64), np.arange(len(both))
     norm = np.sqrt(exact(both, np.arange(len(both)), both, np.arange(len(both))))
+    # in units of the norms: scales, lengths of the int8 copies, and errors
+    sa, na, ea = (v / a.norm for v in (a.scale, a.near, a.error))
+    sb, nb, eb = (v / b.norm for v in (b.scale, b.near, b.error))
+    rough = na * eb.max() + ea + 4e-6 * na * nb.max()  # a row's bound for any partner
+    floor = ((least * (1 - 1e-9) - rough) / sa).astype(np.float32) - np.float32(1e-6)
+    step = sb.astype(np.float32)
     for at in range(0, nx, 512):
-        rows = slice(at, at + 512)
-        dot, bound = products(a, ca, b, cb, rows)
-        limit = least * a.norm[rows, None] * b.norm[None, :]
-        high = dot + bound >= limit * (1 - 1e-9)
-        sure = dot - bound >= limit * (1 + 1e-9)
+        # int8 codes in float32: their products are exact whole numbers
+        dot = ca[at : at + 512] @ cb.T if ca.shape[1] <= 1024 else products(a, ca, b, cb, slice(at, at + 512))[0] / (a.scale[at : at + 512, None] * b.scale[None, :])
+        dot *= step
+        high = dot >= floor[at : at + 512, None] * np.where(floor[at : at + 512, None] > 0, np.float32(1 - 1e-6), np.float32(1 + 1e-6))
+        i, j = np.nonzero(high)
         if y is None:
-            high &= np.arange(nx)[None, :] > np.arange(at, at + len(high))[:, None]
-            sure &= high
-        i, j = np.nonzero(high & ~sure)
-        again = exact(both, i + at, both, j + base) / (norm[i + at] * norm[j + base]) >= least
-        sure[i[again], j[again]] = True
-        i, j = np.nonzero(sure)
-        i, j = i + at, j + base
-        np.add.at(links, i, weight[j])
-        np.add.at(links, j, weight[i])
+            later = j > i + at
+            i, j = i[later], j[later]
+        near = dot[i, j].astype(np.float64) * sa[i + at]
+        bound = na[i + at] * eb[j] + ea[i + at] + 4e-6 * na[i + at] * nb[j]
+        sure = near - bound >= least * (1 + 1e-9)
+        open_ = np.flatnonzero(~sure & (near + bound >= least * (1 - 1e-9)))
+        p, q = i[open_] + at, j[open_] + base
+        sure[open_] = exact(both, p, both, q) / (norm[p] * norm[q]) >= least
+        i, j = i[sure] + at, j[sure] + base
+        links += np.bincount(i, weight[j], len(both)).astype(np.int64) + np.bincount(j, weight[i], len(both)).astype(np.int64)
         parent = forest(parent, i, j)
     return links, parent
 
