@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from quern.engine import Engine
-from quern.operators import evaluation
+from quern.operators import cleaning, evaluation
 from quern.sources import tables
 
 
@@ -15,12 +15,12 @@ def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("command", choices=["ingest", "index", "search", "eval", "report", "stats"])
     parser.add_argument("root")
-    parser.add_argument("arg", nargs="?", help="ingest: sections as JSON lines; search: a question; eval: golden items")
+    parser.add_argument("arg", nargs="?", help="ingest: sections as JSON lines, or a regulation's XML (*.xml); search: a question; eval: golden items")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     engine = Engine(spark, args.root)
     if args.command == "ingest":
-        engine.ingest(tables.sections(spark, args.arg))
+        engine.ingest(cleaning.parse_xml(tables.xml_files(spark, args.arg)) if args.arg.endswith(".xml") else tables.sections(spark, args.arg))
     elif args.command == "index":
         print(engine.build_index())
     elif args.command == "search":

@@ -143,7 +143,9 @@ class Engine:
                 metrics = evaluation.macro(evaluation.ranking_metrics(asked, ranking, relevant))
                 said = self.retrieve(asked, **override).join(flags, "qid")
                 rates = said.agg(evaluation.rate(F.col("refused"), F.col("adversarial")).alias("refusal_rate"), evaluation.rate(~F.col("refused"), ~F.col("adversarial")).alias("answered_rate"))
-                row = metrics.crossJoin(rates).withColumn("config", F.lit(name))  # one row each
+                marked = golden.filter("not adversarial").select(F.col("id").alias("qid"), F.transform("expected_sections", C.normalise).alias("expected"), F.col("expected_subsections").alias("markers"))
+                held = evaluation.subsection_evidence(marked, ranking, self._read("sections")).agg(F.round(F.avg("subsection_evidence"), 4).alias("subsection_evidence"))
+                row = metrics.crossJoin(rates).crossJoin(held).withColumn("config", F.lit(name))  # one row each
                 out = row if out is None else out.unionByName(row)
             return evaluation.gate(out, self.settings)
         finally:

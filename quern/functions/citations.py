@@ -10,6 +10,7 @@ CFR = r"(?i)\b29\s*(?:CFR|C\.F\.R\.)?\s*§?\s*(\d{4}\.\d+[a-z0-9]*(?:\([0-9a-zA-
 BARE = r"§\s*(\d{4}\.\d+[a-z0-9]*(?:\([0-9a-zA-Z]+\))*)"
 NUMBER = r"^\s*(\d{4}\.\d+[a-z0-9]*(?:\([0-9a-zA-Z]+\))*)\s*$"
 DOCUMENT = r"(?i)\bOSHA[- ]([A-Z0-9\-]{2,20})\s*(?:\((?:pp?\.|pages?)\s*(\d+)\s*(?:[-–]\s*(\d+))?\))?"
+BRACKETED = r"[\[【](29\s*CFR\s*§?\s*[\d.]+(?:\([0-9a-zA-Z]+\))*|OSHA\s*[A-Z0-9-]{2,20}(?:\s*\((?:pp?\.|pages?)\s*[\d–-]+\))?)[\]】]"
 REF = "array<struct<raw:string,root:string,subsections:array<string>,doc:string,page_lo:int,page_hi:int>>"
 
 
@@ -85,3 +86,26 @@ def pages(section_id: Column) -> tuple[Column, Column]:
 def status(root: Column, cited: Column, valid: Column) -> Column:
     """True for a valid root, false for a cited one that is not, else null."""
     return F.when(F.array_contains(valid, root), True).when(F.array_contains(cited, root), False)
+
+
+def linked(text: Column) -> Column:
+    """Citations in brackets as links, ``[id](#cite:id)``, the target percent-encoded."""
+    encoded = lambda x: F.replace(F.replace(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")), F.lit("%28"), F.lit("(")), F.lit("%29"), F.lit(")"))
+    links = F.transform(F.regexp_extract_all(text, F.lit(BRACKETED), F.lit(1)), lambda x: F.concat(F.lit("["), x, F.lit("](#cite:"), encoded(x), F.lit(")")))
+    gaps = F.split(text, BRACKETED, -1)
+    return F.array_join(F.flatten(F.zip_with(gaps, links, lambda g, x: F.array(g, F.coalesce(x, F.lit(""))))), "")
+
+
+def _folded(label: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(label, r"(?U)\s+", " ")))
+
+
+def is_invalid(label: Column, invalid: Column) -> Column:
+    """Whether the label is among the invalid ones, whatever the case and the spaces."""
+    return F.coalesce(F.array_contains(F.transform(invalid, _folded), _folded(label)), F.lit(False))
+
+
+def source_for(sources: Column, selected: Column, opened: Column) -> Column:
+    """The first source with the root of the selected id, else of the opened one, else the first; null without sources."""
+    having = lambda one: F.get(F.filter(sources, lambda s: normalise(s["section_id"]) == normalise(one)), F.lit(0))
+    return F.coalesce(having(selected), having(opened), F.get(sources, F.lit(0)))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.config import Settings
+from quern.functions import citations as C
+from quern.functions import text as T
 
 METRICS = ("hit1", "hit3", "hit5", "hit10", "mrr", "ndcg")
 
@@ -50,10 +52,35 @@ def gate(report: DataFrame, s: Settings = Settings()) -> DataFrame:
     return report.select("*", *[t.alias(f"{m}_ok") for m, t in tests.items()], both.alias("passed"))
 
 
+def subsection_evidence(items: DataFrame, ranking: DataFrame, sections: DataFrame, depth: int = 5) -> DataFrame:
+    """``qid, subsection_evidence``: 1 if the expected sections among the first ``depth`` hold the markers one after the other.
+
+    ``items (qid, expected array<string>, markers array<string>)``, ``ranking (qid, id,
+    place)`` and ``expected`` with roots, ``sections (section_id, text)``. The ranking is
+    cut before repeats are dropped; texts are joined in its order. Items without markers
+    have no row.
+    """
+    asked = items.filter(F.size("markers") > 0).select("qid", "expected", "markers")
+    top = ranking.filter(F.col("place") <= depth).groupBy("qid", "id").agg(F.min("place").alias("place"))
+    wanted = top.join(asked.select("qid", F.explode("expected").alias("id")).distinct(), ["qid", "id"], "left_semi")
+    # at most ``depth`` texts an item
+    texts = wanted.join(sections.select(F.col("section_id").alias("id"), "text"), "id").groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    found = (F.length("text") > 0) & C.chain_exists(F.col("text"), F.col("markers"))
+    return asked.join(texts, "qid", "left").select("qid", F.coalesce(found, F.lit(False)).cast("double").alias("subsection_evidence"))
+
+
 def answer_metrics(validated: DataFrame) -> DataFrame:
-    """Citation precision and rate, and hallucinations, from ``n_cited, n_valid, n_hallucinated``."""
+    """Citation precision and rate, and hallucinations, from ``n_cited, n_valid, n_hallucinated``.
+
+    With ``answer_vec, context_vec, question_vec`` also groundedness and relevance: the
+    answer's cosine with the context and with the question.
+    """
     cited = F.col("n_cited") > 0
-    return validated.select("*", F.round(F.when(cited, F.col("n_valid") / F.col("n_cited")).otherwise(0.0), 4).alias("citation_precision"), F.when(cited, 1.0).otherwise(0.0).alias("citation_rate"), F.col("n_hallucinated").cast("double").alias("hallucinated_citations"))
+    out = validated.select("*", F.round(F.when(cited, F.col("n_valid") / F.col("n_cited")).otherwise(0.0), 4).alias("citation_precision"), F.when(cited, 1.0).otherwise(0.0).alias("citation_rate"), F.col("n_hallucinated").cast("double").alias("hallucinated_citations"))
+    if "answer_vec" not in validated.columns:
+        return out
+    near = lambda other: F.round(T.cosine(F.col("answer_vec"), F.col(other)), 4)
+    return out.withColumn("groundedness", near("context_vec")).withColumn("relevance", near("question_vec"))
 
 
 def render(rows: list[dict]) -> str:

@@ -104,6 +104,12 @@ def citation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.select("doc_id", "r.root", F.array_join("r.subsections", ",").alias("subsections"), "r.page_lo", "r.page_hi")
 
 
+@query(f"""WITH c AS (SELECT doc_id, {_WRITTEN} AS s FROM documents) SELECT doc_id, 'as ' || CASE WHEN doc_id % 5 IN (1, 2) THEN '[' || s || ']'
+    ELSE '[' || s || '](#cite:' || replace(replace(replace(url_encode(s), '+', '%20'), '%28', '('), '%29', ')') || ')' END || ' says.' AS linked FROM c""")
+def citation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir).select("doc_id", C.linked(F.concat(F.lit("as ["), "cited", F.lit("] says."))).alias("linked"))
+
+
 @query(r"SELECT doc_id, regexp_matches('x (' || lang || ') of (1) ' || text, '(?is)\(\s*' || 'en' || '\s*\).*\(\s*1\s*\)') AS chained FROM documents")
 def citation_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("x ("), "lang", F.lit(") of (1) "), "text")
@@ -183,7 +189,9 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "documents").groupBy(F.sha1("text").alias("hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
 
 
-@query()
+@query("""WITH p AS (SELECT doc_id::VARCHAR AS id, sha1(doc_id::VARCHAR || coalesce(text, '')) AS h, left(sha1(doc_id::VARCHAR), 3) AS part FROM documents),
+    i AS (SELECT part, sha1(string_agg(h, '' ORDER BY id, h)) AS h, count(*) AS n FROM p GROUP BY part)
+    SELECT 'corpus-' || left(sha1(string_agg(h, '' ORDER BY part)), 8) AS version, sum(n)::BIGINT AS n_sections FROM i""")
 def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.corpus_manifest(_sections(spark, sf_dir), "corpus")
 

@@ -219,6 +219,20 @@ def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.ranking_metrics(_asked(spark, sf_dir), ranking, _relevant(spark, sf_dir))
 
 
+_MARKED = "CASE WHEN doc_id % 2 = 0 THEN '(a) ' || text || ' (1)' ELSE '(1) ' || text END"
+
+
+@query(f"""WITH {BM25}, {_RELEVANT},
+    t AS (SELECT r.qid, string_agg({_MARKED}, chr(10) ORDER BY sparse_rank) AS x FROM bm r SEMI JOIN re ON re.qid = r.qid AND re.id = r.id JOIN documents d ON d.doc_id = r.id WHERE sparse_rank <= 5 GROUP BY r.qid)
+    SELECT w.qid, coalesce(regexp_matches(x, '(?is)\\(\\s*a\\s*\\).*\\(\\s*1\\s*\\)'), false)::INT::DOUBLE AS subsection_evidence FROM (SELECT DISTINCT qid FROM re) w LEFT JOIN t ON t.qid = w.qid""")
+def subsection_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the relevant documents among the first five hold ``(a)`` and then ``(1)``; every other document is written to."""
+    items = _relevant(spark, sf_dir).groupBy("qid").agg(F.collect_set("id").alias("expected")).withColumn("markers", F.array(F.lit("a"), F.lit("1")))
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("(a) "), "text", F.lit(" (1)"))).otherwise(F.concat(F.lit("(1) "), "text"))
+    docs = parquet(spark, sf_dir, "documents").select(F.col("doc_id").alias("section_id"), text.alias("text"))
+    return evaluation.subsection_evidence(items, _bm25(spark, sf_dir).withColumnRenamed("sparse_rank", "place"), docs)
+
+
 def _configs(spark, sf_dir):
     relevant, asked = _relevant(spark, sf_dir), _asked(spark, sf_dir)
     legs = {"bm25_only": _bm25(spark, sf_dir).withColumnRenamed("sparse_rank", "place"), "dense_only": _dense(spark, sf_dir).withColumnRenamed("dense_rank", "place"), "hybrid": _ordered(spark, sf_dir).withColumnRenamed("pos", "place")}

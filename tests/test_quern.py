@@ -133,13 +133,51 @@ def test_guard(spark):
     assert [r["reason"] for r in retrieval.guard(ev).collect()] == [None, "out_of_domain", "low_grounding", "weak_evidence"]
 
 
-XML = b"""<ROOT><DIV5 N="1910" TYPE="PART"><HEAD>P</HEAD><DIV6 N="A" TYPE="SUBPART"><HEAD>Sub</HEAD><DIV8 N="1910.1000" TYPE="SECTION"><HEAD>Air</HEAD><P>One <I>two</I> three.</P><GPOTABLE><ROW><ENT>a</ENT><ENT/><ENT>b</ENT></ROW></GPOTABLE><CITA>no</CITA></DIV8><DIV9 N="Appendix A" TYPE="APPENDIX"><HEAD>App</HEAD><P>More.</P></DIV9></DIV6></DIV5><DIV5 N="40" TYPE="PART"><DIV8 N="40.1" TYPE="SECTION"><HEAD>X</HEAD><P>No.</P></DIV8></DIV5></ROOT>"""
+LONG = "Each employer shall keep a written record of the exposure of every employee to the substances in this table, for thirty years."
+XML = f"""<ROOT><DIV5 N="1910" TYPE="PART"><HEAD>P</HEAD><DIV6 N="A" TYPE="SUBPART"><HEAD>Subpart A—General</HEAD>
+<DIV8 N="1910.1000" TYPE="SECTION"><HEAD>§ 1910.1000 Air.</HEAD><P>One <I>two</I> three. {LONG}</P><GPOTABLE><TR><TH>a</TH><TD/><TD>b</TD></TR></GPOTABLE><CITA>no</CITA><FPNOTE>no</FPNOTE>
+<DIV9 N="A" TYPE="APPENDIX"><HEAD>App A</HEAD><P>More. {LONG}</P></DIV9></DIV8>
+<DIV8 N="1910.7" TYPE="SECTION"><HEAD>§ 1910.7 [Reserved]</HEAD><P>{LONG}</P></DIV8><DIV8 N="1910.8" TYPE="SECTION"><HEAD>§ 1910.8 Short.</HEAD><P>Too short.</P></DIV8></DIV6>
+<DIV6 N="B" TYPE="SUBPART"><HEAD>Subpart B—More</HEAD><DIV7 TYPE="SUBJGRP"><HEAD>Group</HEAD><DIV8 N="1910.9" TYPE="SECTION"><HEAD>§ 1910.9 Water.</HEAD><P>{LONG}</P></DIV8></DIV7>
+<DIV9 N="A" TYPE="APPENDIX"><HEAD>App A</HEAD><P>{LONG}</P></DIV9><DIV9 N="A" TYPE="APPENDIX"><HEAD>App A</HEAD><P>{LONG}</P></DIV9></DIV6></DIV5>
+<DIV5 N="40" TYPE="PART"><DIV8 N="40.1" TYPE="SECTION"><HEAD>X</HEAD><P>{LONG}</P></DIV8></DIV5></ROOT>""".encode()
 
 
 def test_xml_sections(spark):
-    got = {r["section_id"]: r for r in cleaning.parse_xml(spark.createDataFrame([(bytearray(XML),)], "content binary")).collect()}
-    assert set(got) == {"29 CFR 1910.1000", "29 CFR 1910 Appendix A"}
-    assert got["29 CFR 1910.1000"]["text"] == "One two three.\na | b" and got["29 CFR 1910.1000"]["heading"] == "Air"
+    got = {r["section_id"]: r for r in cleaning.parse_xml(spark.createDataFrame([("a.xml", bytearray(XML)), ("b.xml", bytearray(b"<ROOT/>"))], "path string, content binary")).collect()}
+    assert set(got) == {"29 CFR 1910.1000", "29 CFR 1910 App A", "29 CFR 1910.9", "29 CFR 1910 Subpart B App A", "29 CFR 1910 Subpart B App A (29 CFR 1910 › Subpart B—More)"}
+    air, water = got["29 CFR 1910.1000"], got["29 CFR 1910.9"]
+    assert air["text"] == f"One two three. {LONG}\na | b" and air["heading"] == "Air." and air["part"] == "1910" and air["url"].endswith("title-29/section-1910.1000")
+    assert water["parent_path"] == "29 CFR 1910 › Subpart B—More › Group" and got["29 CFR 1910 App A"]["text"] == f"More. {LONG}"
+
+
+def test_html_blocks(spark):
+    html = "<html><head><title>t</title></head><body><nav>menu</nav><h1>Top</h1><p>a <b>b</b><br>c</p><script>x()</script><table><tr><th>k</th><td></td><td>v</td></tr></table><ul><li>one</li><li> </li></ul>tail</body></html>"
+    got = cleaning.html_blocks(spark.createDataFrame([(1, html), (2, None), (3, "")], "id long, h string"), "id", "h").orderBy("id", "block").collect()
+    assert [tuple(r) for r in got] == [(1, 0, "Top"), (1, 1, "a b c"), (1, 2, "k | v"), (1, 3, "one"), (1, 4, "tail")]
+
+
+def test_citation_display(spark):
+    assert one(spark, "see [29 CFR 1910.132(b)] and 【OSHA 3146 (pp. 7-9)】, [x]", C.linked) == "see [29 CFR 1910.132(b)](#cite:29%20CFR%201910.132(b)) and [OSHA 3146 (pp. 7-9)](#cite:OSHA%203146%20(pp.%207-9)), [x]"
+    assert one(spark, "none", C.linked) == "none" and one(spark, None, C.linked) is None
+    bad = F.array(F.lit("29  cfr 1910.1 "))
+    assert one(spark, "29 CFR 1910.1", lambda c: C.is_invalid(c, bad)) and not one(spark, None, lambda c: C.is_invalid(c, bad))
+    sources = F.array(*[F.struct(F.lit(x).alias("section_id")) for x in ("29 CFR 1910.1", "29 CFR 1910.2")])
+    pick = lambda sel, opened: one(spark, sel, lambda c: C.source_for(sources, c, F.lit(opened).cast("string"))["section_id"])
+    assert pick("29 CFR 1910.2(b)", None) == "29 CFR 1910.2" and pick(None, "29 CFR 1910.2") == "29 CFR 1910.2" and pick("29 CFR 1910.3", None) == "29 CFR 1910.1"
+
+
+def test_answer_metrics(spark):
+    row = spark.createDataFrame([(4, 3, 1, [1.0, 0.0], [1.0, 0.0], [0.0, 2.0]), (0, 0, 0, [1.0, 1.0], [1.0, 0.0], [0.0, 0.0])], "n_cited int, n_valid int, n_hallucinated int, answer_vec array<double>, context_vec array<double>, question_vec array<double>")
+    got = [tuple(r)[6:] for r in evaluation.answer_metrics(row).collect()]
+    assert got == [(0.75, 1.0, 1.0, 1.0, 0.0), (0.0, 0.0, 0.0, 0.7071, 0.0)]
+
+
+def test_subsection_evidence(spark):
+    items = spark.createDataFrame([(1, ["A"], ["b", "1"]), (2, ["A"], ["z"]), (3, ["A"], []), (4, ["C"], ["b"])], "qid int, expected array<string>, markers array<string>")
+    ranking = spark.createDataFrame([(q, x, p) for q in (1, 2, 3, 4) for p, x in enumerate(["B", "A", "A", "B", "B", "C"], 1)], "qid int, id string, place int")
+    sections = spark.createDataFrame([("A", "(b) x ( 1 )"), ("B", "(z)"), ("C", "(b)")], "section_id string, text string")
+    assert {r[0]: r[1] for r in evaluation.subsection_evidence(items, ranking, sections).collect()} == {1: 1.0, 2: 0.0, 4: 0.0}
 
 
 def test_expressions(spark):
