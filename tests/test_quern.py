@@ -122,6 +122,14 @@ def test_rrf_prefers_what_both_legs_found(spark):
     assert retrieval.in_order(retrieval.fuse(*legs).withColumn("exact", F.lit(False))).orderBy("pos").first()["id"] == 8
 
 
+def test_dense_in_blocks_equals_dense_carried(spark):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", F.when(F.col("vec_id") % 50 != 7, F.col("embedding")).alias("embedding"))
+    asked = vectors.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    one, other = ({tuple(r) for r in retrieval.dense_topk(vectors, asked, 5, block=16, carried=c).collect()} for c in (1000, 0))
+    assert one == other and len(one) == 500
+    assert retrieval.dense_topk(vectors, asked.limit(0), 5).count() == 0 == retrieval.dense_topk(vectors.limit(0), asked, 5, carried=0).count()
+
+
 def test_leg_of_no_hits_is_empty(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
     q = v.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
