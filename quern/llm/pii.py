@@ -2,13 +2,20 @@
 
 Found are e-mail addresses, card numbers, IBANs, US social security numbers, phone
 numbers (with a country code or the North American form), IPv4 addresses, and names
-after a form of address. A mention is one or more parts; each part is an entity (kind
-and canonical value) whose surrogate keeps its format: digits stay digits, letters
-stay letters of their case and script (Latin or Cyrillic), separators stay, a number
-that passes the Luhn test still does, an address stays an address, a first name keeps
-the gender of its form of address.
-
-Surrogates are a function of the key and the entity alone, so all mentions of an
+after one or more forms of address, with any number of words, initials, hyphens and
+apostrophes (a possessive 's is no part of them). A mention is one or more parts; each
+part is an entity (kind and canonical value) whose surrogate keeps its format: digits
+stay digits, letters stay letters of their case and script (Latin or Cyrillic),
+separators stay, a number that passes the Luhn test still does, an address stays an
+address, a first name keeps the gender of its form of address. A form without a gender
+(or none) takes that of the same first name's other mentions: the only one in the
+corpus, or else the only one in the document, or else none. Initials become other
+letters; particles (von, de) and the O of O'Brien stay.
+
+Name words of a document are also replaced where they stand without a form of address
+in it, as capitalised words; one that is both a first and a last name counts as first.
+
+Surrogates are a function of the key and the entity (of a first name, with its gender) alone, so all mentions of an
 entity, in any document, get the same one. A collision check over all entities of the
 corpus moves an entity on to its next surrogate until no two share one and none equals
 a real entity of its kind. Collisions that are left after ``rounds`` raise.
@@ -28,6 +35,7 @@ from quern.llm.common import Scratch, small_side
 MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа")
 NEUTRAL = ("Dr", "Prof")
+PARTICLES = ("von", "van", "vom", "zu", "zum", "zur", "de", "del", "della", "der", "den", "des", "di", "da", "do", "dos", "du", "la", "le", "el", "al", "ter", "ten", "y", "d")
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe fi ga go ka ke ki la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si ta te ti to va vi za".split(),
     "cyrillic": "ба бе би бо да де ди до га го ка ке ки ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се си та те ти то ва ви за".split(),
@@ -43,9 +51,17 @@ IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
 CARD = r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}([\x20-])\d{4}\1\d{4}\1\d{1,7})(?![\p{L}\p{N}])"
 PHONE = r"(?<![\p{L}\p{N}+])(?:(?:\+|00)\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{2,4}(?:[\x20.-]?\d{2,4}){1,4}|(?:\(\d{3}\)\x20?|\d{3}[.-])\d{3}[.-]\d{4})(?![\p{L}\p{N}])"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join((*MALE, *FEMALE, *NEUTRAL))})(?:\.\x20?|\x20)\p{{Lu}}[\p{{Ll}}'-]+(?:\x20\p{{Lu}}[\p{{Ll}}'-]+)?(?![\p{{L}}\p{{N}}])"
+_TITLES = "|".join((*MALE, *FEMALE, *NEUTRAL))
+# possessive loops, which Java runs without recursion however long a text's run of name words is
+_WORD = rf"(?!(?:{_TITLES})(?!\p{{L}}))\p{{Lu}}(?:[\p{{L}}\p{{M}}]|-(?=\p{{L}})|['’](?=\p{{L}})(?![sS](?![\p{{L}}\p{{N}}])))++(?![\p{{L}}\p{{N}}])"
+_LEAD = rf"(?:\p{{Lu}}(?:\.[\x20-]?|\x20)|(?:{'|'.join(PARTICLES)})\x20|d['’])*+"
+_FORMS = rf"(?:(?:{_TITLES})(?:\.\x20?|\x20))++"
+NAME = rf"(?<![\p{{L}}\p{{N}}]){_FORMS}{_LEAD}{_WORD}(?:\x20{_LEAD}{_WORD})*+"
+#: A capitalised word, which may repeat a name of its document. Letters only, so that no other mention can begin inside.
+BARE = r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}\p{M}]++(?!\p{N})"
 _KINDS = (("email", EMAIL), ("iban", IBAN), ("ip", IP), ("ssn", SSN), ("card", CARD), ("phone", PHONE), ("name", NAME))
 ALL = "|".join(p.replace(r"\1", r"\k<gap>").replace(r"([\x20-])", r"(?<gap>[\x20-])") for _, p in _KINDS)
+ALL_BARE = f"{ALL}|{BARE}"
 #: Texts without any of these hold no entity.
 HINT = rf"@|\d{{4}}|\d\.\d|\d[\x20.)-]+\d|(?:{'|'.join((*MALE, *FEMALE, *NEUTRAL))})[.\x20]"
 
@@ -63,16 +79,25 @@ def _kind(mention: Column) -> Column:
 def _parts(mention: Column, kind: Column) -> Column:
     """``array<struct<kind, value>>``; a part of kind null is kept as it stands."""
     part = lambda k, v: F.struct(F.lit(k).cast("string").alias("kind"), v.alias("value"))
-    title = F.regexp_extract(mention, r"^(\p{L}+\.?\x20?)", 1)
-    rest = F.split(F.substring(mention, F.length(title) + 1, F.length(mention)), " ")
-    word = F.regexp_extract(mention, r"^\p{L}+", 0)
-    gender = F.when(word.isin(*MALE), "male").when(word.isin(*FEMALE), "female").otherwise("any")
-    last = F.element_at(rest, -1)
-    named = F.concat(
-        F.array(part(None, title)),
-        F.when(F.size(rest) > 1, F.array(F.struct(gender.alias("kind"), rest[0].alias("value")), part(None, F.lit(" ")))).otherwise(F.array().cast("array<struct<kind:string,value:string>>")),
-        F.array(part("last", last)),
-    )
+    title = F.regexp_extract(mention, f"^{_FORMS}", 0)
+    rest = F.substring(mention, F.length(title) + 1, F.length(mention))
+    last = F.regexp_extract(rest, r"[^\x20.]+$", 0)
+    # a variable of a lambda is evaluated once, not once a piece
+    bound = F.array(F.struct(title.alias("title"), F.substring(rest, F.lit(1), F.length(rest) - F.length(last)).alias("first"), last.alias("last")))
+    pieces = lambda text: F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}]+|[^\p{L}\p{M}]+"), F.lit(0))
+    split = lambda text, k: F.transform(pieces(text), lambda x: F.struct(F.when(x.rlike(r"^\p{L}") & ~x.isin(*PARTICLES), k(x)).alias("kind"), x.alias("value")))
+
+    def named_parts(b):
+        words = F.regexp_extract_all(b["title"], F.lit(r"\p{L}+"), F.lit(0))
+        has = lambda forms: F.exists(words, lambda w: w.isin(*forms))
+        gender = F.when(has(MALE) & ~has(FEMALE), "male").when(has(FEMALE) & ~has(MALE), "female").otherwise("any")
+        return F.concat(
+            F.array(part(None, b["title"])),
+            split(b["first"], lambda x: F.when(F.length(x) == 1, "initial").otherwise(gender)),
+            split(b["last"], lambda x: F.when(F.length(x) > 1, "last").when(~b["last"].rlike("['’]"), "initial")),
+        )
+
+    named = F.transform(bound, named_parts)[0]
     return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), mention.alias("value"))))
 
 
@@ -147,18 +172,61 @@ def _shaped(value: Column, made: Column) -> Column:
     return folded["out"]
 
 
-def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, hash, place, part, kind, value, canon``: the parts of all mentions, in order."""
-    text = F.col(text_col)
-    found = docs.filter(text.rlike(HINT)).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.posexplode(F.regexp_extract_all(text, F.lit(ALL), F.lit(0))).alias("place", "mention"))
-    kinds = found.withColumn("type", _kind(F.col("mention")))
+def _found(docs: DataFrame, pattern: str, kind) -> DataFrame:
+    """``id, hash, place, type, part, kind, value, canon`` of all matches in ``docs (id, hash, text)``."""
+    found = docs.select("id", "hash", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("place", "mention"))
+    kinds = found.withColumn("type", kind(F.col("mention")))
     parts = kinds.select("id", "hash", "place", "type", F.posexplode(_parts(F.col("mention"), F.col("type"))).alias("part", "x"))
     return parts.select("id", "hash", "place", "type", "part", "x.kind", "x.value", _canonical(F.col("x.kind"), F.col("x.value")).alias("canon")).distinct()
 
 
+def _same_row(a: str, b: str) -> Column:
+    return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.hash") == F.col(f"{b}.hash"))
+
+
+def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """``id, hash, place, type, part, kind, value, canon``: the parts of all mentions, in order, as a written table.
+
+    In documents with names the places count the capitalised words too; their type is
+    null unless they repeat a name.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "mentions")
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    plain = scratch.save(_found(rows.filter(F.col("text").rlike(HINT)), ALL, _kind))
+    names = plain.filter("type = 'name' and kind in ('male', 'female', 'any', 'last')").select("id", "hash", "kind", "canon").distinct()
+    firsts = names.filter("kind <> 'last'")
+    only = lambda df, *by: df.filter("kind <> 'any'").groupBy(*by).agg(F.min("kind").alias("g0"), F.max("kind").alias("g1")).filter("g0 = g1").select(*by, F.col("g0").alias("gender"))
+    everywhere = scratch.save(only(firsts, "canon"))
+    here = only(firsts, "id", "hash", "canon")
+    a = firsts.join(small_side(everywhere, BROADCAST_ROWS), "canon", "left").withColumnRenamed("gender", "wide").alias("a")
+    b = here.alias("b")
+    seen = a.join(b, _same_row("a", "b") & (F.col("a.canon") == F.col("b.canon")), "left")
+    one = F.when(F.col("a.kind") == "any", F.coalesce("a.wide", "b.gender", F.lit("any"))).otherwise(F.col("a.kind"))
+    resolved = seen.select("a.id", "a.hash", "a.canon", "a.kind", one.alias("now")).unionByName(names.filter("kind = 'last'").select("id", "hash", "canon", "kind", F.col("kind").alias("now")))
+    resolved = scratch.save(resolved)
+
+    held = scratch.save(plain.filter("type = 'name'").select("id", "hash").distinct())
+    n = small_side(held, BROADCAST_ROWS).alias("n")
+    again = rows.alias("r").join(n, _same_row("r", "n")).select("r.id", "r.hash", "r.text")
+    every = _found(again, ALL_BARE, lambda m: F.when(~m.rlike(f"^(?:{BARE})$"), _kind(m)).otherwise("bare")).alias("e")
+    # a mention's own kind, or for a bare word that of the name it repeats
+    own = resolved.select("id", "hash", "canon", "kind", "now")
+    bare = resolved.groupBy("id", "hash", "canon").agg(F.max(F.struct(F.col("now") != "last", "now"))["now"].alias("now")).select("id", "hash", "canon", F.lit("bare").alias("kind"), "now")
+    key = own.unionByName(bare).alias("k")
+    joined = every.join(key, _same_row("e", "k") & (F.col("e.canon") == F.col("k.canon")) & (F.col("e.kind") == F.col("k.kind")), "left")
+    is_bare = F.col("e.type") == "bare"
+    kind = F.coalesce(F.col("k.now"), F.when(~is_bare, F.col("e.kind")))
+    mention = F.when(is_bare, F.when(F.col("k.now").isNotNull(), "name")).otherwise(F.col("e.type"))
+    named = joined.select("e.id", "e.hash", "e.place", mention.alias("type"), "e.part", kind.alias("kind"), "e.value", "e.canon")
+    x = plain.alias("x")
+    rest = x.join(n, _same_row("x", "n"), "left_anti")
+    return scratch.save(rest.unionByName(named))
+
+
 def entities(mentioned: DataFrame, key: str, scratch: Scratch, rounds: int = 20) -> DataFrame:
     """``kind, canon, made``: one surrogate for each entity, no two alike, none a real entity of its kind."""
-    real = scratch.save(mentioned.filter("kind is not null").select("kind", "canon").distinct())
+    real = scratch.save(mentioned.filter("kind is not null and kind <> 'initial'").select("kind", "canon").distinct())
     left = real.withColumn("tries", F.lit(0))
     taken = None
     out = []
@@ -180,19 +248,20 @@ def entities(mentioned: DataFrame, key: str, scratch: Scratch, rounds: int = 20)
 
 def replace(docs: DataFrame, scratch: Scratch, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with their entities replaced, and ``entities array<string>``: the kinds found, in order."""
-    found = scratch.save(mentions(docs, id_col, text_col))
+    found = mentions(docs, id_col, text_col, scratch)
     named = entities(found, key, scratch)
     parts = found.join(named, ["kind", "canon"], "left")
-    shaped = F.when(F.col("kind").isNull(), F.col("value")).when(F.col("kind").isin("card", "phone", "ssn", "iban"), _shaped(F.col("value"), F.col("made"))).otherwise(F.col("made"))
+    letter = _letters(F.col("value"), _stream(key, F.col("kind"), F.col("canon"), F.lit(0)))
+    shaped = F.when(F.col("kind").isNull(), F.col("value")).when(F.col("kind") == "initial", letter).when(F.col("kind").isin("card", "phone", "ssn", "iban"), _shaped(F.col("value"), F.col("made"))).otherwise(F.col("made"))
     whole = lambda c: F.array_sort(F.collect_list(c))
     # a mention has a few parts, and a document as many mentions as its text has room for
     by_place = parts.groupBy("id", "hash", "place", "type").agg(whole(F.struct("part", shaped.alias("s"))).alias("p")).select("id", "hash", "place", "type", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("s"))
     by_doc = scratch.save(by_place.groupBy("id", "hash").agg(whole(F.struct("place", "type", "s")).alias("found")))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id0"), F.xxhash64(F.col(text_col)).alias("hash0"), F.col(text_col).alias("text0"))
     joined = row.join(small_side(by_doc, BROADCAST_ROWS), F.col("id0").eqNullSafe(F.col("id")) & (F.col("hash0") == F.col("hash")), "left")
-    gaps = F.split("text0", ALL, -1)
+    gaps = F.when(F.exists("found", lambda x: x["type"].isNull() | (x["type"] == "name")), F.split("text0", ALL_BARE, -1)).otherwise(F.split("text0", ALL, -1))
     made = F.array_join(F.flatten(F.zip_with(gaps, F.transform("found", lambda x: x["s"]), lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
     text = F.when(F.col("found").isNull(), F.col("text0")).otherwise(made)
-    kinds = F.coalesce(F.transform("found", lambda x: x["type"]), F.array().cast("array<string>"))
+    kinds = F.coalesce(F.filter(F.transform("found", lambda x: x["type"]), lambda t: t.isNotNull()), F.array().cast("array<string>"))
     columns = [text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
     return joined.select(*columns, kinds.alias("entities"))

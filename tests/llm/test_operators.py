@@ -228,6 +228,25 @@ def test_surrogates_are_distinct(spark):
     assert len(made) == 600 == len({r["made"] for r in made}) and not real & {r["made"] for r in made}
 
 
+def test_names_of_all_forms_and_their_repeats(spark):
+    texts = [
+        "Prof. Dr. Schmidt saw Herr Dr. Müller. Mr. McDonald's dog. Mr. O'Brien; Dr. J. Smith; Ms. Smith-Jones, Mr. John McDonald, Mrs. Eva Maria von Adler.",
+        "Dr. Anna Berg came. Later Anna Berg left, and Berg's car. Mr. Smith's and Mr. Smith.",
+        "Frau Anna Berg.",
+        "Anna and Berg without a title 2020.",
+        "Dr. Kim Lee. 2021 at x",
+    ]
+    rows = {r["doc_id"]: r for r in pii.replace(docs(spark, texts), Scratch(spark, "t"), "k").collect()}
+    for name in ("Schmidt", "Müller", "McDonald", "O'Brien", "Brien", "Smith", "Jones", "John", "Eva", "Maria", "Adler"):
+        assert name not in rows[0]["text"]
+    assert re.match(r"Prof\. Dr\. \w+ saw Herr Dr\. \w+\. Mr\. (\w+)'s dog\. Mr\. O'\w+; Dr\. [A-Z]\. (\w+); Ms\. \2-\w+, Mr\. \w+ \1, Mrs\. \w+ \w+ von \w+\.$", rows[0]["text"])
+    first, last, smith = re.match(r"Dr\. (\w+) (\w+) came\. Later \1 \2 left, and \2's car\. Mr\. (\w+)'s and Mr\. \3\.$", rows[1]["text"]).groups()
+    assert rows[2]["text"] == f"Frau {first} {last}." and first.endswith("a") and "Anna" != first and smith in rows[0]["text"]
+    assert rows[3]["text"] == texts[3] and rows[3]["entities"] == [] and rows[1]["entities"] == ["name"] * 6
+    long = pii.replace(docs(spark, ["Mr. " + "Abc " * 20000]), Scratch(spark, "t"), "k").first()["text"]
+    assert "Abc" not in long and len(long.split()) == 20001
+
+
 # --- classifiers
 
 
