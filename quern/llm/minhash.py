@@ -10,16 +10,19 @@
    differ in more places than the sets may have elements apart (which is certain);
    the rest is confirmed on full shingle sets.
 3. Connected components by large-star and small-star.
-4. In buckets that still hold several components, the pairs between different
-   components are compared in the same way. Buckets with many classes are first cut
-   by a second band, for which a true pair has all its other bands. Pairs inside one
-   component need no work: they cannot change the result.
+4. In buckets that still hold several components, all pairs between different
+   components are compared in the same way, whatever the bucket's size: a bucket is
+   dealt into parts, and each pair of parts meets under a key of its own, so that no
+   task has a large bucket's pairs. That work is quadratic in the bucket's classes.
+   Pairs inside one component need no work: they cannot change the result.
 
 Hashes have 64 bits, for words, shingles and classes.
 
 Null and empty texts and texts without words have an empty set and link with nothing.
-A row without an id links with nothing and is kept. Rows that repeat an id are one
-document. Only id and text are read.
+A row without an id links with nothing and is kept. Rows that repeat an id are nodes of
+their own, by their words, and ``link`` labels each by its own text. ``keep_one`` keeps
+one row of each group: of the rows with the group's smallest id that of one text, and
+of rows that repeat id and text (of any length) one.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ class Params:
     rows: int = 4
     #: Bits of the parity sketch.
     parity: int = 1024
-    #: Classes in a bucket above which it is cut by a second band.
+    #: Classes in one part of a bucket; larger buckets are dealt into several.
     refine_over: int = 4096
     #: Documents whose ids may be broadcast to pick texts out of the corpus; more are joined by a shuffle.
     broadcast_rows: int = 100_000
@@ -171,14 +174,16 @@ def _stars(shared: DataFrame) -> DataFrame:
 
 
 def _buckets(shared: DataFrame, held: DataFrame, params: Params) -> DataFrame:
-    """``bucket, node, c, n, bits`` of buckets with several components; large ones cut by a second band."""
+    """``bucket, one, two, part, node, c, n, bits`` of buckets with several components: a row for each pair of parts that has its own.
+
+    Two classes of different parts meet in the one cell of their parts, two of one part
+    in the cell (part, part).
+    """
     rows = shared.join(held.select("node", "c"), "node")
-    size = rows.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).filter("c0 <> c1").select("bucket", "m")
-    live = rows.join(size, "bucket").select("bucket", "node", "m")
-    few = live.filter(F.col("m") <= params.refine_over).select("bucket", "node")
-    many = live.filter(F.col("m") > params.refine_over).join(held.select("node", "keys"), "node").select("bucket", "node", F.explode("keys").alias("other")).filter("other <> bucket")
-    cut = many.select(F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket"), "node").distinct()
-    return few.unionByName(cut).join(held.select("node", "c", "n", "bits"), "node")
+    size = rows.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).filter("c0 <> c1").select("bucket", F.ceil(F.col("m") / params.refine_over).cast("int").alias("parts"))
+    live = rows.join(size, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    cells = live.select("bucket", "node", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return cells.select("bucket", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "node").join(held.select("node", "c", "n", "bits"), "node")
 
 
 def link(docs: DataFrame, scratch: Scratch, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,10 +203,10 @@ def link(docs: DataFrame, scratch: Scratch, params: Params = Params(), id_col: s
     links = _confirm(near.filter(_alike(params, "a", "b")).select("u", "v").distinct(), docs, pick, params, scratch, id_col, text_col)
     roots = scratch.save(components(links, scratch))
 
-    held = classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("c"), "n", "bits", "keys")
+    held = classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("c"), "n", "bits")
     rows = _buckets(shared, held, params)
     a, b = rows.alias("a"), rows.alias("b")
-    rest = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c")) & _alike(params, "a", "b"))
+    rest = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.one") == F.col("b.one")) & (F.col("a.two") == F.col("b.two")) & (F.col("a.node") < F.col("b.node")) & ((F.col("a.part") != F.col("b.part")) | (F.col("a.one") == F.col("a.two"))) & (F.col("a.c") != F.col("b.c")) & _alike(params, "a", "b"))
     more = _confirm(rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), docs, pick, params, scratch, id_col, text_col)
     roots = scratch.save(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), scratch))
 

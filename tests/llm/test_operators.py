@@ -127,6 +127,16 @@ def test_minhash_buckets_cut_by_a_second_band(spark):
     assert few.select("component_id").distinct().count() == len(set(brute_components(texts)[1]))
 
 
+def test_minhash_meets_pairs_of_one_common_band_in_large_buckets(spark):
+    shared = spark.createDataFrame([(1, n) for n in range(40)] + [(2, 100), (2, 101)], "bucket long, node long")
+    bits = F.array(*[F.lit(0).cast("long")] * 18)
+    held = shared.select("node", F.col("node").alias("c"), F.lit(9).cast("long").alias("n"), bits.alias("bits"), F.array(F.col("node"), F.col("bucket")).alias("keys"))
+    rows = minhash._buckets(shared, held, minhash.Params(refine_over=4))
+    a, b = rows.alias("a"), rows.alias("b")
+    met = a.join(b, ["bucket"]).filter("a.node < b.node").select("a.node", "b.node").distinct()
+    assert met.count() == 40 * 39 // 2 + 1
+
+
 def test_minhash_odd_rows(spark):
     assert minhash.link(docs(spark, ODD), Scratch(spark, "t")).count() == len(ODD)
     assert minhash.link(docs(spark, []), Scratch(spark, "t")).count() == 0
