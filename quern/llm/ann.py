@@ -8,8 +8,9 @@ to block inside a tile, and a ranked window merges the tiles. The result is exac
 
 Ties go to the smaller id. A query is never its own neighbour; with fewer candidates
 than k all are returned; a query that takes no part (null, zero or non-finite vector)
-has no rows. Rows that repeat an id are candidates of their own for other queries,
-and an id's nearest copy is kept.
+has no rows. Of rows that repeat an id, a query's nearest one counts and the others take
+no place: rows that repeat the vector too are made one first, and heaps and bounds count
+ids.
 """
 
 from __future__ import annotations
@@ -32,31 +33,43 @@ def tile(qids: np.ndarray, qs: np.ndarray, cids: np.ndarray, cs: np.ndarray, k:
     a = Quantised.of(qs)
     ca = a.codes
     best: list[list[tuple[float, int]]] = [[] for _ in qids]
+    held: list[dict[int, float]] = [{} for _ in qids]
     for at in range(0, len(cids), step):
         b = Quantised.of(cs[at : at + step])
         cb, own = b.codes, cids[at : at + step]
+        order = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1]])
         for lo in range(0, len(qids), 512):
             rows = slice(lo, lo + 512)
             dot, bound = products(a, ca, b, cb, rows)
             same = qids[rows, None] == own[None, :]
             low = np.where(same, -np.inf, dot - bound)
             floor = np.array([h[0][0] if len(h) == k else -np.inf for h in best[rows]])
-            if len(own) > k:
-                floor = np.maximum(floor, np.partition(low, len(own) - k, axis=1)[:, len(own) - k])
+            if len(first) < len(own):
+                low = np.maximum.reduceat(low[:, order], first, axis=1)
+            if len(first) > k:
+                floor = np.maximum(floor, np.partition(low, len(first) - k, axis=1)[:, len(first) - k])
             i, j = np.nonzero((dot + bound >= floor[:, None]) & ~same)
             for q, c, s in zip((i + lo).tolist(), own[j].tolist(), exact(qs, i + lo, b.x, j).tolist()):
-                heap, item = best[q], (s, -c)
-                if len(heap) < k:
+                heap, ids, item = best[q], held[q], (s, -c)
+                if c in ids:
+                    if s > ids[c]:
+                        heap[heap.index((ids[c], -c))] = item
+                        heapq.heapify(heap)
+                        ids[c] = s
+                elif len(heap) < k:
                     heapq.heappush(heap, item)
+                    ids[c] = s
                 elif item > heap[0]:
-                    heapq.heapreplace(heap, item)
+                    del ids[-heapq.heapreplace(heap, item)[1]]
+                    ids[c] = s
     return [(int(q), -c, s) for q, heap in zip(qids, best) for s, c in heap]
 
 
 def nearest(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 8192) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest rows of each row with ``is_query`` by inner product."""
-    rows = scratch.save(clean(vectors, id_col, vector_col))
-    asked = scratch.save(clean(vectors.filter(is_query), id_col, vector_col))
+    rows = scratch.save(clean(vectors, id_col, vector_col).distinct())
+    asked = scratch.save(clean(vectors.filter(is_query), id_col, vector_col).distinct())
     n, m = rows.count(), asked.count()
     cols = how_many(n, block_rows, 24)
     lines = how_many(m, block_rows, 1)

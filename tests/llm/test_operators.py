@@ -208,6 +208,15 @@ def test_embedding_links_against_brute_force(spark, cloud):
     assert embdedup.link(vectors(spark, []), Scratch(spark, "t")).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark, cloud):
+    rows = [(i, v.tolist()) for i, v in enumerate(cloud[:200])] + [(100, cloud[0].tolist())] * 15 + [(100, (cloud[0] * (1 + k / 50)).tolist()) for k in range(1, 16)]
+    got = ann.nearest(vectors(spark, rows), F.col("vec_id") == 0, Scratch(spark, "t")).orderBy("rank").collect()
+    best = {}
+    for i, v in rows[1:]:
+        best[i] = max(best.get(i, -np.inf), float(np.dot(np.array(v, np.float32).astype(float), cloud[0].astype(float))))
+    assert [r["vec_id"] for r in got] == sorted(best, key=lambda i: -best[i])[:20] and np.isclose(got[0]["score"], best[100])
+
+
 # --- PII
 
 
