@@ -121,8 +121,11 @@ def schedule(docs: DataFrame, sources: DataFrame, scratch: Scratch, params: Para
     inner = F.sum("n").over(Window.partitionBy("source", "epoch", "part").orderBy(order, "block").rowsBetween(Window.unboundedPreceding, -1))
     run = placed.join(before, ["source", "epoch", "part"]).withColumn("done", F.col("before") + F.coalesce(inner, F.lit(0)))
     share = F.when(F.col("tokens") > 0, F.col("done") / F.col("tokens")).otherwise(0.0)
-    given = run.withColumn("upto", F.col("epoch") + share).filter((F.col("upto") < F.col("passes")) | (F.col("tokens") == 0))
-    visits = given.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", (F.col("upto") / F.col("passes")).alias("at")))).alias("visits"))
+    # a whole pass gives every block, those without tokens behind its last token too
+    whole = F.col("epoch") + 1 <= F.col("passes")
+    given = run.withColumn("upto", F.col("epoch") + share).filter((F.col("upto") < F.col("passes")) | whole | (F.col("tokens") == 0))
+    at = F.least(F.col("upto") / F.col("passes"), F.lit(1 - 2.0**-53))
+    visits = given.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", at.alias("at")))).alias("visits"))
     return scratch.save(visits)
 
 

@@ -328,6 +328,13 @@ def test_mixture_meets_its_weights(spark):
     assert mixing.mixed_documents(df, Scratch(spark, "t"), params).columns == df.columns
 
 
+def test_mixture_gives_empty_texts_beside_a_long_one(spark):
+    rows = [(0, "w " * 500, "s")] + [(i, "" if i % 2 else None, "s") for i in range(1, 41)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), Scratch(spark, "t"), mixing.Params(block_tokens=50))
+    got = out.select("row.doc_id", "at").collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(41)) and all(0 <= r["at"] < 1 for r in got)
+
+
 # --- chat
 
 
