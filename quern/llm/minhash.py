@@ -88,12 +88,12 @@ def class_key(hashes: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, node, n, bits array<long>, keys array<long>``; node, bits and keys are null for an empty set."""
+    """``doc_id, hash, node, n, bits array<long>, keys array<long>``; hash is of the text as it stands; node, bits and keys are null for an empty set."""
 
     def run(batches):
         signer = _Signer(params)
         for batch in in_slices(batches):
-            data, off = utf8(batch.column(1))
+            data, off = utf8(batch.column(2))
             node, size, bits, keys = [], [], [], []
             for i in range(batch.num_rows):
                 hashes, _ = shingles.words(data[off[i] : off[i + 1]])
@@ -104,10 +104,10 @@ def signatures(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col
                 minima = signer.minima(items)
                 node.append(class_key(hashes)), size.append(len(items)), bits.append(signer.bits(minima, items)), keys.append(signer.keys(minima))
             many = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(bits, many), pa.array(keys, many)], names=["doc_id", "node", "n", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(bits, many), pa.array(keys, many)], names=["doc_id", "hash", "node", "n", "bits", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, node long, n long, bits array<long>, keys array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, hash long, node long, n long, bits array<long>, keys array<long>")
 
 
 def _alike(params: Params, a: str, b: str) -> Column:
@@ -186,8 +186,8 @@ def _buckets(shared: DataFrame, held: DataFrame, params: Params) -> DataFrame:
     return cells.select("bucket", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "node").join(held.select("node", "c", "n", "bits"), "node")
 
 
-def link(docs: DataFrame, scratch: Scratch, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row."""
+def _labels(docs: DataFrame, scratch: Scratch, params: Params, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, hash, root, n_shingles, component_id, kept`` for every row."""
     signed = scratch.save(signatures(docs, params, id_col, text_col))
     real = signed.filter("node is not null and doc_id is not null")
     chosen = scratch.save(real.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
@@ -212,15 +212,32 @@ def link(docs: DataFrame, scratch: Scratch, params: Params = Params(), id_col: s
 
     whole = chosen.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     named = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = whole.select("node", "root").join(named, "root").select("node", "component_id")
-    out = signed.select("doc_id", "node", "n").join(labels, "node", "left")
+    labels = whole.select("node", "root").join(named, "root").select("node", "root", "component_id")
+    out = signed.select("doc_id", "hash", "node", "n").join(labels, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "hash", "root", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def link(docs: DataFrame, scratch: Scratch, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row."""
+    return _labels(docs, scratch, params, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group, and every row without an id."""
-    gone = scratch.save(link(docs, scratch, params, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"))
-    kept = row.join(small_side(gone, params.broadcast_rows), F.col("_id") == F.col("_gone"), "left_anti")
-    return kept.select("_row.*")
+    labels = _labels(docs, scratch, params, id_col, text_col).filter("doc_id is not null")
+    texts = scratch.save(labels.groupBy("doc_id", "hash", "root", "kept").agg(F.count("*").alias("m")))
+    # an id with several texts in its group keeps one of them
+    several = texts.filter("kept and root is not null").groupBy("doc_id", "root").agg(F.min("hash").alias("h0"), F.max("hash").alias("h1")).filter("h0 <> h1").select("doc_id", "root", "h0")
+    marked = texts.join(several, ["doc_id", "root"], "left")
+    gone = ~F.col("kept") | (F.col("h0").isNotNull() & (F.col("hash") != F.col("h0")))
+    marks = scratch.save(marked.withColumn("gone", gone).filter("gone or m > 1").select(F.col("doc_id").alias("_gone"), F.col("hash").alias("_mark"), F.when(F.col("gone"), 0).otherwise(1).alias("_stay")))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"))
+    same = (F.col("_id") == F.col("_gone")) & (F.col("_hash") == F.col("_mark"))
+    kept = row.join(small_side(marks, params.broadcast_rows), same, "left_anti").select("_row")
+    # of the rows that repeat id and text, the one with the least hash
+    repeats = marks.filter("_stay = 1")
+    if repeats.isEmpty():
+        return kept.select("_row.*")
+    once = row.join(small_side(repeats, params.broadcast_rows), same).groupBy("_id", "_hash").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row")
+    return kept.unionByName(once).select("_row.*")

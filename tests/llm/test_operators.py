@@ -143,6 +143,14 @@ def test_minhash_odd_rows(spark):
     assert minhash.keep_one(docs(spark, []), Scratch(spark, "t")).count() == 0
 
 
+def test_keep_one_of_rows_that_repeat_an_id(spark):
+    long = [" ".join(f"{c}{k}" for k in range(60)) for c in "abc"]
+    rows = [(1, long[0]), (2, long[0] + " end"), (2, long[1]), (3, long[2]), (3, long[2]), (4, long[2].upper()), (5, "p q"), (5, "P  q"), (6, ""), (6, ""), (None, long[0]), (None, long[0])]
+    kept = minhash.keep_one(docs(spark, rows), Scratch(spark, "t")).select("doc_id", "text").collect()
+    got = sorted((r["doc_id"] or 0, r["text"].lower().replace("  ", " ")) for r in kept)
+    assert got == sorted([(0, long[0]), (0, long[0]), (1, long[0]), (2, long[1]), (3, long[2]), (5, "p q"), (6, "")])
+
+
 def test_words_do_not_depend_on_blocks(monkeypatch):
     data = np.frombuffer(("ab Cd  efghij\tk " * 50 + "z" * 40).encode(), np.uint8)
     whole, at = shingles.words(data)
