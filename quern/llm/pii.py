@@ -1,7 +1,8 @@
 """PII: detected entities get keyed surrogates of the same type; DataFrame functions only.
 
 Found are e-mail addresses, card numbers, IBANs, US social security numbers, phone
-numbers (with a country code or the North American form), IPv4 addresses, and names
+numbers (with a country code, in the North American form, or national with a leading
+0), IPv4 and IPv6 addresses, and names
 after one or more forms of address, with any number of words, initials, hyphens and
 apostrophes (a possessive 's is no part of them). A mention is one or more parts; each
 part is an entity (kind and canonical value) whose surrogate keeps its format: digits
@@ -48,9 +49,15 @@ ENDINGS = {
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)"
-SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
-CARD = r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}([\x20-])\d{4}\1\d{4}\1\d{1,7})(?![\p{L}\p{N}])"
-PHONE = r"(?<![\p{L}\p{N}+])(?:(?:\+|00)\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{2,4}(?:[\x20.-]?\d{2,4}){1,4}|(?:\(\d{3}\)\x20?|\d{3}[.-])\d{3}[.-]\d{4})(?![\p{L}\p{N}])"
+_H = "[0-9A-Fa-f]{1,4}"
+_V4 = r"(?:\d{1,3}\.){3}\d{1,3}"
+# all groups; or :: with at least one group before or after it, longest first
+IPV6 = rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_H}:){{6}}(?:{_V4}|{_H}:{_H})|(?:{'|'.join(f'(?:{_H}:){{{n}}}(?::{_H}){{0,{6 - n}}}:(?:{_V4}|{_H})' for n in range(6, 0, -1))}|:(?::{_H}){{0,5}}:(?:{_V4}|{_H})|(?:{_H}:){{1,7}}:))(?![\p{{L}}\p{{N}}:]|\.\d)"
+SSN = r"(?<![\p{L}\p{N}-])\d{3}(?:-\d{2}-|\x20\d{2}\x20)\d{4}(?![\p{L}\p{N}-])"
+CARD = r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}([\x20-])(?:\d{4}\1\d{4}\1\d{1,7}|\d{6}\1\d{4,5}))(?![\p{L}\p{N}])"
+# 01.02.2024 is no national number: its first part is longer than two digits, or all are pairs
+_NATIONAL = r"(?<!\d[.,/-])(?:0[1-9]\d{1,3}(?:\x20?[/-]\x20?|[\x20.])?|\(0[1-9]\d{0,3}\)[\x20.-]?)\d{3,4}(?:[\x20.-]?\d{2,4}){1,2}|(?<!\d[.,/-])0[1-9](?:(?:\x20\d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4})"
+PHONE = rf"(?<![\p{{L}}\p{{N}}+])(?:(?:\+|00)\d{{1,3}}[\x20.-]?(?:\(\d{{1,4}}\)[\x20.-]?)?\d{{2,4}}(?:[\x20.-]?\d{{2,4}}){{1,4}}|(?:\(\d{{3}}\)[\x20.-]?|\d{{3}}[\x20.-])\d{{3}}[\x20.-]\d{{4}}|{_NATIONAL})(?![\p{{L}}\p{{N}}])"
 _TITLES = "|".join((*MALE, *FEMALE, *NEUTRAL))
 # possessive loops, which Java runs without recursion however long a text's run of name words is
 _WORD = rf"(?!(?:{_TITLES})(?!\p{{L}}))\p{{Lu}}(?:[\p{{L}}\p{{M}}]|-(?=\p{{L}})|['’](?=\p{{L}})(?![sS](?![\p{{L}}\p{{N}}])))++(?![\p{{L}}\p{{N}}])"
@@ -59,11 +66,11 @@ _FORMS = rf"(?:(?:{_TITLES})(?:\.\x20?|\x20))++"
 NAME = rf"(?<![\p{{L}}\p{{N}}]){_FORMS}{_LEAD}{_WORD}(?:\x20{_LEAD}{_WORD})*+"
 #: A capitalised word, which may repeat a name of its document. Letters only, so that no other mention can begin inside.
 BARE = r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}\p{M}]++(?!\p{N})"
-_KINDS = (("email", EMAIL), ("iban", IBAN), ("ip", IP), ("ssn", SSN), ("card", CARD), ("phone", PHONE), ("name", NAME))
+_KINDS = (("email", EMAIL), ("iban", IBAN), ("ip", IP), ("ipv6", IPV6), ("ssn", SSN), ("card", CARD), ("phone", PHONE), ("name", NAME))
 ALL = "|".join(p.replace(r"\1", r"\k<gap>").replace(r"([\x20-])", r"(?<gap>[\x20-])") for _, p in _KINDS)
 ALL_BARE = f"{ALL}|{BARE}"
 #: Texts without any of these hold no entity.
-HINT = rf"@|\d{{4}}|\d\.\d|\d[\x20.)-]+\d|(?:{'|'.join((*MALE, *FEMALE, *NEUTRAL))})[.\x20]"
+HINT = rf"@|::|(?:{_H}:){{6}}|\d{{4}}|\d\.\d|\d[\x20.()/-]+\d|(?:{'|'.join((*MALE, *FEMALE, *NEUTRAL))})[.\x20]"
 
 #: Mentions that may be broadcast back to the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 60_000
@@ -102,8 +109,14 @@ def _parts(mention: Column, kind: Column) -> Column:
 
 
 def _canonical(kind: Column, value: Column) -> Column:
-    plain = F.regexp_replace(value, r"[\x20.()-]", "")
-    return F.when(kind == "email", F.lower(value)).when(kind.isin("iban", "ssn", "card", "phone"), plain).otherwise(value)
+    plain = F.regexp_replace(value, r"[\x20.()/-]", "")
+    # all eight groups; the two of an address that ends as IPv4 stay in that form
+    groups = lambda text: F.transform(F.filter(F.split(text, ":"), lambda g: g != ""), lambda g: F.when(g.contains("."), g).otherwise(F.lpad(g, 4, "0")))
+    halves = F.split(F.lower(value), "::")
+    left, right = groups(halves[0]), F.coalesce(groups(F.get(halves, F.lit(1))), F.array().cast("array<string>"))
+    zeros = F.greatest(F.lit(0), 8 - F.size(left) - F.size(right) - F.when(value.contains("."), 1).otherwise(0))
+    ipv6 = F.array_join(F.concat(left, F.array_repeat(F.lit("0000"), zeros), right), ":")
+    return F.when(kind == "email", F.lower(value)).when(kind == "ipv6", ipv6).when(kind.isin("iban", "ssn", "card", "phone"), plain).otherwise(value)
 
 
 def _stream(key: str, kind: Column, canon: Column, tries: Column) -> Column:
@@ -144,12 +157,13 @@ def surrogate(key: str, kind: Column, canon: Column, tries: Column) -> Column:
     user = F.regexp_extract(canon, "^([^@]*)@", 1)
     email = F.concat(_letters(user, s), F.lit("@"), F.lower(_letters(F.regexp_extract(canon, r"@(.*)\.[^.]+$", 1), F.substring(s, 65, 448))), F.lit("."), F.regexp_extract(canon, r"([^.]+)$", 1))
     ip = F.concat_ws(".", *[(_draw(s, k, 254) + 1).cast("string") for k in range(4)])
+    ipv6 = F.regexp_replace(F.substring(s, 1, 32), r"(.{4})(?!$)", "$1:")
     body = _letters(F.substring(canon, F.lit(1), F.length(canon) - 1), s)
     need = F.pmod(F.lit(10) - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
     off = F.when(_luhn(canon) == 0, F.lit(0)).otherwise(_draw(s, 120, 9) + 1)
     card = F.concat(body, ((need + off) % 10).cast("string"))
     iban = F.concat(F.substring(canon, 1, 2), _letters(F.substring(canon, F.lit(3), F.length(canon)), s))
-    lead = F.regexp_extract(canon, r"^((?:\+|00)\d)", 1)
+    lead = F.regexp_extract(canon, r"^((?:\+|00)\d|0)", 1)
     phone = F.concat(lead, _letters(F.substring(canon, F.length(lead) + 1, F.length(canon)), s))
     names = F.lit(None).cast("string")
     for script, endings in ENDINGS.items():
@@ -159,12 +173,12 @@ def surrogate(key: str, kind: Column, canon: Column, tries: Column) -> Column:
             longer = F.when(tries > 3, F.concat(made, _pick(s, 11, SYLLABLES[script]), _pick(s, 12, SYLLABLES[script]), _pick(s, 13, ends))).otherwise(made)
             mine = (kind == gender) & (canon.rlike(r"\p{IsCyrillic}") if script == "cyrillic" else ~canon.rlike(r"\p{IsCyrillic}"))
             names = F.when(mine, longer).otherwise(names)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "phone", phone).when(kind == "ssn", _letters(canon, s)).otherwise(names)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "card", card).when(kind == "iban", iban).when(kind == "phone", phone).when(kind == "ssn", _letters(canon, s)).otherwise(names)
 
 
 def _shaped(value: Column, made: Column) -> Column:
     """The canonical surrogate in the mention's own format: its separators and, for e-mail, its case."""
-    marks = r"[\x20.()-]"
+    marks = r"[\x20.()/-]"
     chars = F.filter(F.split(value, ""), lambda c: c != "")
     # the n-th character that is no separator becomes the n-th of the surrogate
     start = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))

@@ -274,6 +274,17 @@ def test_names_of_all_forms_and_their_repeats(spark):
     assert "Abc" not in long and len(long.split()) == 20001
 
 
+def test_written_forms_of_numbers_and_addresses(spark):
+    found = ["(555) 123 4567", "555 123 4567", "030 1234567", "(030) 1234567", "0171/1234567", "01 23 45 67 89", "123 45 6789", "3782 822463 10005", "2001:db8::1", "2001:0DB8:0:0:0:0:0:1", "fe80::a:b", "::1", "2001:db8:1:2:3:4:5:6", "::ffff:10.1.2.3", "2001:db8::"]
+    clean = ["01.02.2024 12:30:45", "2024-01-02", "std::vector", "3.0301234567", "1:2:3", "12:30", "a :: b"]
+    rows = {r["doc_id"]: r for r in pii.replace(docs(spark, [f"x {t}, y" for t in found + clean]), Scratch(spark, "t"), "k").collect()}
+    made = [re.fullmatch("x (.*), y", rows[i]["text"])[1] for i in range(len(found + clean))]
+    assert made[len(found):] == clean
+    assert all(len(rows[i]["entities"]) == 1 and made[i] != t for i, t in enumerate(found))
+    assert all(re.sub(r"\d", "0", made[i]) == re.sub(r"\d", "0", found[i]) for i in range(8)) and made[2].startswith("0")
+    assert made[8] == made[9] and len({made[8], *made[10:13]}) == 4 and made[8].count(":") == 7
+
+
 # --- classifiers
 
 
