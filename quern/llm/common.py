@@ -1,4 +1,4 @@
-"""Helpers shared by the training-data operators: scratch tables and Arrow text."""
+"""Helpers shared by the training-data operators: scratch tables, picking rows by key, Arrow text."""
 
 from __future__ import annotations
 
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, a laptop) a local folder is set.
+    Only where the session has none and runs in one process (tests, a laptop) a local
+    folder is set; on a cluster its absence is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
@@ -23,13 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="quern-")
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 class Scratch:
-    """Written tables of one run, in the shared folder; each can be dropped."""
+    """Written tables of one run, in the shared folder; each can be dropped, or all."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -45,9 +49,17 @@ class Scratch:
         out._quern_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that ``save`` wrote and nothing needs any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._quern_path)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that ``save`` wrote and nothing needs any more."""
+        for df in tables:
+            self._delete(df._quern_path)
+
+    def clear(self) -> None:
+        """Delete all tables of the run."""
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -55,6 +67,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: 64-bit words of the bitmap that ``apart`` broadcasts: its most rows, whatever the tables hold.
+FILTER_WORDS = 1 << 18
+
+
+def apart(rows: DataFrame, key: str, side: DataFrame, side_key: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose key may be in ``side``, and those whose key is surely not (null keys too).
+
+    A bitmap of the hashed keys of ``side`` is broadcast; it has at most FILTER_WORDS
+    rows of two numbers. So a join with a few rows of a large table shuffles these few
+    (and the share of the bitmap that is set), and the others stay where they are.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS * 64))
+    keys = side.select(spot(side_key).alias("spot")).select(F.shiftright("spot", 6).alias("_word"), F.col("spot").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    words = scratch.save(keys.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("_bits")))
+    own = rows.withColumn("_spot", spot(key))
+    met = own.join(F.broadcast(words), F.shiftright("_spot", 6) == F.col("_word"), "left")
+    maybe = F.col(key).isNotNull() & F.coalesce(F.expr("shiftright(_bits, cast(_spot & 63 as int)) & 1L"), F.lit(0)).eqNullSafe(F.lit(1))
+    return met.filter(maybe).select(rows.columns), met.filter(~maybe).select(rows.columns)
+
+
 def in_slices(batches, rows: int = 1000):
     """The batches in parts of at most ``rows`` rows; Arrow's spare memory is given back at the end."""
     for batch in batches:
@@ -90,8 +122,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def random_u64(seed: int, n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 2**64, n, np.uint64)
-
-
-def small_side(df: DataFrame, most: int) -> DataFrame:
-    """A written table as the small side of a join: broadcast when its counted rows allow it, else a shuffled hash side."""
-    return F.broadcast(df) if df.count() <= most else df.hint("shuffle_hash")

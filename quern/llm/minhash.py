@@ -3,12 +3,14 @@
 1. One pass over the texts gives each document its set's size, the minima of
    ``bands x rows`` universal hashes (kept as one key per band and one bit per
    minimum), a parity sketch of the set and the key of its class: documents with the
-   same words are one class and are compared once.
+   same words are one class and are compared once. A class is told by 128 bits of
+   BLAKE2b of its words; its node is 64 of them, and classes that share those 64 are
+   given nodes of their own.
 2. A band key that several classes share is a bucket. Every class is paired with a few
    pivots of its bucket, not with all others. Pairs are dropped whose signature bits
    differ too often (five standard deviations below the threshold) or whose parities
    differ in more places than the sets may have elements apart (which is certain);
-   the rest is confirmed on full shingle sets.
+   the rest is confirmed on full shingle sets, word by word, not by hashes.
 3. Connected components by large-star and small-star.
 4. In buckets that still hold several components, all pairs between different
    components are compared in the same way, whatever the bucket's size: a bucket is
@@ -16,18 +18,19 @@
    task has a large bucket's pairs. That work is quadratic in the bucket's classes.
    Pairs inside one component need no work: they cannot change the result.
 
-Hashes have 64 bits, for words, shingles and classes.
+Texts that are compared are picked out of the corpus through a broadcast bitmap of
+fixed size (``common.apart``), so only they are shuffled, at every size of the tables.
 
 Null and empty texts and texts without words have an empty set and link with nothing.
 A row without an id links with nothing and is kept. Rows that repeat an id are nodes of
 their own, by their words, and ``link`` labels each by its own text. ``keep_one`` keeps
 one row of each group: of the rows with the group's smallest id that of one text, and
-of rows that repeat id and text (of any length) one.
+of rows that repeat id and text (of any length) one. Other columns, whatever their
+names, are carried and never read.
 """
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import shingles
-from quern.llm.common import Scratch, in_slices, mix64, random_u64, small_side, utf8
+from quern.llm.common import Scratch, apart, in_slices, mix64, random_u64, utf8
 from quern.llm.components import components
 
 
@@ -49,9 +52,7 @@ class Params:
     #: Bits of the parity sketch.
     parity: int = 1024
     #: Classes in one part of a bucket; larger buckets are dealt into several.
-    refine_over: int = 4096
-    #: Documents whose ids may be broadcast to pick texts out of the corpus; more are joined by a shuffle.
-    broadcast_rows: int = 100_000
+    part_rows: int = 4096
 
     @property
     def most_different_bits(self) -> int:
@@ -83,31 +84,44 @@ class _Signer:
         return np.packbits(np.concatenate((low, np.zeros(-len(low) % 64, np.uint8), odd.astype(np.uint8)))).view(np.int64)
 
 
-def class_key(hashes: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
 def signatures(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, hash, node, n, bits array<long>, keys array<long>``; hash is of the text as it stands; node, bits and keys are null for an empty set."""
+    """``doc_id, hash, node, more, n, bits array<long>, keys array<long>``.
+
+    hash is of the text as it stands, (node, more) is the class; node, more, bits and
+    keys are null for an empty set.
+    """
 
     def run(batches):
         signer = _Signer(params)
         for batch in in_slices(batches):
             data, off = utf8(batch.column(2))
-            node, size, bits, keys = [], [], [], []
+            node, more, size, bits, keys = [], [], [], [], []
             for i in range(batch.num_rows):
-                hashes, _ = shingles.words(data[off[i] : off[i + 1]])
+                hashes, key = shingles.words_and_key(data[off[i] : off[i + 1]])
                 if not len(hashes):
-                    node.append(None), size.append(0), bits.append(None), keys.append(None)
+                    node.append(None), more.append(None), size.append(0), bits.append(None), keys.append(None)
                     continue
                 items = np.unique(shingles.shingle(hashes, params.width))
                 minima = signer.minima(items)
-                node.append(class_key(hashes)), size.append(len(items)), bits.append(signer.bits(minima, items)), keys.append(signer.keys(minima))
+                for column, half in ((node, key[:8]), (more, key[8:])):
+                    column.append(int.from_bytes(half, "little", signed=True))
+                size.append(len(items)), bits.append(signer.bits(minima, items)), keys.append(signer.keys(minima))
             many = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(bits, many), pa.array(keys, many)], names=["doc_id", "hash", "node", "n", "bits", "keys"])
+            columns = [pa.array(x, pa.int64()) for x in (node, more, size)] + [pa.array(x, many) for x in (bits, keys)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "hash", "node", "more", "n", "bits", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, hash long, node long, n long, bits array<long>, keys array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, hash long, node long, more long, n long, bits array<long>, keys array<long>")
+
+
+def one_node_a_class(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """``signed`` with nodes of their own for classes that agree in the first 64 bits of their keys only."""
+    seen = signed.filter("node is not null").groupBy("node").agg(F.min("more").alias("first"), F.max("more").alias("last")).filter("first <> last")
+    shared = scratch.save(seen.select("node", "first"))
+    if shared.isEmpty():
+        return signed
+    moved = F.when(F.col("first").isNotNull() & (F.col("more") != F.col("first")), F.xxhash64("node", "more")).otherwise(F.col("node"))
+    return scratch.save(signed.join(shared, "node", "left").withColumn("node", moved).drop("first").select(signed.columns))
 
 
 def _alike(params: Params, a: str, b: str) -> Column:
@@ -127,36 +141,26 @@ def _confirm(pairs: DataFrame, docs: DataFrame, chosen: DataFrame, params: Param
     """The pairs (u, v) that are linked by their full shingle sets, as a written table."""
     pairs = scratch.save(pairs)
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = scratch.save(chosen.join(nodes, "node"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    picked = scratch.save(texts.join(small_side(wanted, params.broadcast_rows), "doc_id").select("node", "text"))
+    wanted = scratch.save(chosen.join(nodes, "node").select("node", F.col("doc_id").alias("wanted_id"), F.col("hash").alias("wanted_hash")))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    maybe, _ = apart(texts, "doc_id", wanted, "wanted_id", scratch)
+    # a row that repeats the id with another text is another class
+    picked = maybe.join(wanted, (F.col("doc_id") == F.col("wanted_id")) & (F.col("hash") == F.col("wanted_hash"))).select("node", "text")
+    picked = scratch.save(picked)
 
     def run(batches):
-        last, held = None, None
         for batch in in_slices(batches):
             (da, oa), (db, ob) = utf8(batch.column(1)), utf8(batch.column(3))
-            u, v, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
-
-            def items(node, data):
-                hashes, _ = shingles.words(data)
-                # a row that repeats the id with another text is another class
-                return np.unique(shingles.shingle(hashes, params.width)) if len(hashes) and class_key(hashes) == node else None
-
+            ok = []
             for i in range(batch.num_rows):
-                if last != v[i] or held is None:
-                    last, held = v[i], items(v[i], db[ob[i] : ob[i + 1]])
-                one = items(u[i], da[oa[i] : oa[i + 1]])
-                ok = False
-                if one is not None and held is not None:
-                    both = len(np.intersect1d(one, held, assume_unique=True))
-                    ok = 100 * both >= params.percent * (len(one) + len(held) - both)
-                out.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.bool_())], names=["u", "v", "ok"])
+                m, n, both = shingles.common(da[oa[i] : oa[i + 1]], db[ob[i] : ob[i + 1]], params.width)
+                ok.append(100 * both >= params.percent * (m + n - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ok, pa.bool_())], names=["u", "v", "ok"])
 
     a, b = picked.select(F.col("node").alias("u"), F.col("text").alias("ta")), picked.select(F.col("node").alias("v"), F.col("text").alias("tb"))
     rows = pairs.join(a, "u").join(b, "v").select("u", "ta", "v", "tb")
     out = scratch.save(rows.mapInArrow(run, "u long, v long, ok boolean").filter("ok").select("u", "v").distinct())
-    scratch.drop(picked)
+    scratch.drop(picked, wanted, pairs)
     return out
 
 
@@ -180,7 +184,7 @@ def _buckets(shared: DataFrame, held: DataFrame, params: Params) -> DataFrame:
     in the cell (part, part).
     """
     rows = shared.join(held.select("node", "c"), "node")
-    size = rows.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).filter("c0 <> c1").select("bucket", F.ceil(F.col("m") / params.refine_over).cast("int").alias("parts"))
+    size = rows.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).filter("c0 <> c1").select("bucket", F.ceil(F.col("m") / params.part_rows).cast("int").alias("parts"))
     live = rows.join(size, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     cells = live.select("bucket", "node", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     return cells.select("bucket", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "node").join(held.select("node", "c", "n", "bits"), "node")
@@ -188,12 +192,15 @@ def _buckets(shared: DataFrame, held: DataFrame, params: Params) -> DataFrame:
 
 def _labels(docs: DataFrame, scratch: Scratch, params: Params, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, hash, root, n_shingles, component_id, kept`` for every row."""
-    signed = scratch.save(signatures(docs, params, id_col, text_col))
+    signed = one_node_a_class(scratch.save(signatures(docs, params, id_col, text_col)), scratch)
     real = signed.filter("node is not null and doc_id is not null")
-    chosen = scratch.save(real.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
-    pick = chosen.select("node", "doc_id")
-    # one row of bands for each class; a chosen id that is repeated may bring its row twice
-    classes = scratch.save(real.select("node", "doc_id", "n", "bits", "keys").join(pick, ["node", "doc_id"]).select("node", "n", "bits", "keys"))
+    first = F.min(F.struct("doc_id", "hash")).alias("x")
+    chosen = scratch.save(real.groupBy("node").agg(first).select("node", "x.doc_id", "x.hash"))
+    # one row of bands for each class; rows that repeat both id and text would bring it several times
+    classes = scratch.save(real.join(chosen, ["node", "doc_id", "hash"]).select("node", "n", "bits", "keys"))
+    if classes.count() > chosen.count():
+        classes = scratch.save(classes.dropDuplicates(["node"]))
+    pick = chosen
     single = classes.select("node", F.explode(F.array_distinct("keys")).alias("bucket"))
     pivots = single.groupBy("bucket").agg(F.min("node").alias("v"), F.max("node").alias("w")).filter("v <> w").select("bucket")
     shared = scratch.save(single.join(pivots, "bucket").select("bucket", "node"))  # buckets of several classes
@@ -210,10 +217,13 @@ def _labels(docs: DataFrame, scratch: Scratch, params: Params, id_col: str, text
     more = _confirm(rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), docs, pick, params, scratch, id_col, text_col)
     roots = scratch.save(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), scratch))
 
+    scratch.drop(shared, classes)
     whole = chosen.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     named = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = whole.select("node", "root").join(named, "root").select("node", "root", "component_id")
-    out = signed.select("doc_id", "hash", "node", "n").join(labels, "node", "left")
+    slim = signed.select("doc_id", "hash", "node", "n")
+    # documents without a class stay out of the join: they would all have the same key
+    out = slim.filter("node is not null").join(labels, "node", "left").unionByName(slim.filter("node is null"), allowMissingColumns=True)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "hash", "root", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
@@ -234,10 +244,11 @@ def keep_one(docs: DataFrame, scratch: Scratch, params: Params = Params(), id_co
     marks = scratch.save(marked.withColumn("gone", gone).filter("gone or m > 1").select(F.col("doc_id").alias("_gone"), F.col("hash").alias("_mark"), F.when(F.col("gone"), 0).otherwise(1).alias("_stay")))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"))
     same = (F.col("_id") == F.col("_gone")) & (F.col("_hash") == F.col("_mark"))
-    kept = row.join(small_side(marks, params.broadcast_rows), same, "left_anti").select("_row")
+    maybe, sure = apart(row, "_id", marks, "_gone", scratch)
+    kept = sure.select("_row").unionByName(maybe.join(marks, same, "left_anti").select("_row"))
     # of the rows that repeat id and text, the one with the least hash
     repeats = marks.filter("_stay = 1")
     if repeats.isEmpty():
         return kept.select("_row.*")
-    once = row.join(small_side(repeats, params.broadcast_rows), same).groupBy("_id", "_hash").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row")
+    once = maybe.join(repeats, same).groupBy("_id", "_hash").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row")
     return kept.unionByName(once).select("_row.*")

@@ -11,7 +11,8 @@ the target weights.
 
 Everything is grouped sums: of tokens by source (combined before the shuffle) and by
 block, with running sums in two levels so that a source of any size has no large
-window. Tokens are words here (runs of non-space characters).
+window. Tokens are words here (runs of non-space characters). Tables of sources and of
+blocks are joined without hints: Spark broadcasts them while their size allows it.
 
 Null texts have no tokens; a null source is a source of its own. Sources without
 tokens are given once. Rows that repeat are dealt to the same block. With an empty
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quern.llm.common import Scratch, small_side
+from quern.llm.common import Scratch
 
 
 @dataclass(frozen=True)
@@ -39,7 +40,6 @@ class Params:
     budget: int | None = None
     block_tokens: int = 100_000
     seed: int = 1
-    broadcast_rows: int = 50_000
 
 
 def tokens(text: Column) -> Column:
@@ -105,14 +105,14 @@ def plan(docs: DataFrame, scratch: Scratch, params: Params = Params(), source_co
 
 def _with_blocks(docs: DataFrame, sources: DataFrame, params: Params, id_col: str, source_col: str, text_col: str, keep: list[Column]) -> DataFrame:
     rows = docs.select(*keep, F.col(id_col).alias("_id"), source_of(F.col(source_col)).alias("source"), F.xxhash64(F.lit(params.seed), F.col(id_col), F.col(text_col)).alias("_h"))
-    return rows.join(small_side(sources.select("source", "n_blocks"), params.broadcast_rows), "source").withColumn("block", F.pmod("_h", "n_blocks"))
+    return rows.join(sources.select("source", "n_blocks"), "source").withColumn("block", F.pmod("_h", "n_blocks"))
 
 
 def schedule(docs: DataFrame, sources: DataFrame, scratch: Scratch, params: Params = Params(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """``source, block, visits array<struct<epoch, at>>``: when each block is given."""
     dealt = _with_blocks(docs, sources, params, id_col, source_col, text_col, [tokens(F.col(text_col)).alias("_n")])
     sums = scratch.save(dealt.groupBy("source", "block").agg(F.sum("_n").alias("n")))
-    passes = sums.join(small_side(sources.select("source", "tokens", "passes"), params.broadcast_rows), "source").select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("passes").cast("int") - 1, F.lit(0)))).alias("epoch"))
+    passes = sums.join(sources.select("source", "tokens", "passes"), "source").select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("passes").cast("int") - 1, F.lit(0)))).alias("epoch"))
     placed = passes.withColumn("h", F.xxhash64(F.lit(params.seed), "source", "epoch", "block")).withColumn("part", F.shiftrightunsigned("h", 54))
     parts = placed.groupBy("source", "epoch", "part").agg(F.sum("n").alias("pn"))
     before = parts.select("source", "epoch", "part", (F.sum("pn").over(Window.partitionBy("source", "epoch").orderBy("part")) - F.col("pn")).alias("before"))
@@ -135,8 +135,8 @@ def mix(docs: DataFrame, scratch: Scratch, params: Params = Params(), id_col: st
     times = schedule(docs, sources, scratch, params, id_col, source_col, text_col)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     dealt = _with_blocks(docs, sources, params, id_col, source_col, text_col, [row])
-    given = dealt.join(small_side(times, params.broadcast_rows), ["source", "block"]).select("row", "source", "block", F.explode("visits").alias("v"))
-    return given.join(small_side(sources.select("source", "weight"), params.broadcast_rows), "source").select("row", "source", "block", "v.epoch", "v.at", "weight")
+    given = dealt.join(times, ["source", "block"]).select("row", "source", "block", F.explode("visits").alias("v"))
+    return given.join(sources.select("source", "weight"), "source").select("row", "source", "block", "v.epoch", "v.at", "weight")
 
 
 def mixed_documents(docs: DataFrame, scratch: Scratch, params: Params = Params(), **columns: str) -> DataFrame:

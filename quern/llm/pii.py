@@ -7,8 +7,9 @@ after one or more forms of address, with any number of words, initials, hyphens
 apostrophes (a possessive 's is no part of them). A mention is one or more parts; each
 part is an entity (kind and canonical value) whose surrogate keeps its format: digits
 stay digits, letters stay letters of their case and script (Latin or Cyrillic),
-separators stay, a number that passes the Luhn test still does, an address stays an
-address, a first name keeps the gender of its form of address. A form without a gender
+separators stay, a country code and an IBAN's country stay, a number that passes the
+Luhn test or an IBAN's check still does and one that fails still fails, an address
+stays an address, a first name keeps the gender of its form of address. A form without a gender
 (or none) takes that of the same first name's other mentions: the only one in the
 corpus, or else the only one in the document, or else none. Initials become other
 letters; particles (von, de) and the O of O'Brien stay.
@@ -16,21 +17,28 @@ letters; particles (von, de) and the O of O'Brien stay.
 Name words of a document are also replaced where they stand without a form of address
 in it, as capitalised words; one that is both a first and a last name counts as first.
 
-Surrogates are a function of the key and the entity (of a first name, with its gender) alone, so all mentions of an
-entity, in any document, get the same one. A collision check over all entities of the
+Names that never stand behind a form of address of the list below are not found.
+
+Surrogates are drawn from HMAC-SHA512 under the key, of the entity (a first name with
+its gender) alone, so all mentions of an entity, in any document, get the same one. A collision check over all entities of the
 corpus moves an entity on to its next surrogate until no two share one and none equals
 a real entity of its kind. Collisions that are left after ``rounds`` raise.
 
+Texts are joined with what was found in them through a broadcast bitmap of fixed size
+(``common.apart``), so texts without entities are not shuffled.
+
 Null texts stay null, empty ones empty. All rows and columns are kept; a row without
 an id is treated as all others. Two rows with the same id and text are the same.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, small_side
+from quern.llm.common import Scratch, apart
 
 # Forms of address, and the syllables that surrogate names are made of.
 MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин")
@@ -54,10 +62,12 @@ _V4 = r"(?:\d{1,3}\.){3}\d{1,3}"
 # all groups; or :: with at least one group before or after it, longest first
 IPV6 = rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_H}:){{6}}(?:{_V4}|{_H}:{_H})|(?:{'|'.join(f'(?:{_H}:){{{n}}}(?::{_H}){{0,{6 - n}}}:(?:{_V4}|{_H})' for n in range(6, 0, -1))}|:(?::{_H}){{0,5}}:(?:{_V4}|{_H})|(?:{_H}:){{1,7}}:))(?![\p{{L}}\p{{N}}:]|\.\d)"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}(?:-\d{2}-|\x20\d{2}\x20)\d{4}(?![\p{L}\p{N}-])"
-CARD = r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}([\x20-])(?:\d{4}\1\d{4}\1\d{1,7}|\d{6}\1\d{4,5}))(?![\p{L}\p{N}])"
+CARD = r"(?<![\p{L}\p{N}])(?:(?!00)\d{13,19}|\d{4}([\x20-])(?:\d{4}\1\d{4}\1\d{1,7}|\d{6}\1\d{4,5}))(?![\p{L}\p{N}])"
 # 01.02.2024 is no national number: its first part is longer than two digits, or all are pairs
 _NATIONAL = r"(?<!\d[.,/-])(?:0[1-9]\d{1,3}(?:\x20?[/-]\x20?|[\x20.])?|\(0[1-9]\d{0,3}\)[\x20.-]?)\d{3,4}(?:[\x20.-]?\d{2,4}){1,2}|(?<!\d[.,/-])0[1-9](?:(?:\x20\d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4})"
-PHONE = rf"(?<![\p{{L}}\p{{N}}+])(?:(?:\+|00)\d{{1,3}}[\x20.-]?(?:\(\d{{1,4}}\)[\x20.-]?)?\d{{2,4}}(?:[\x20.-]?\d{{2,4}}){{1,4}}|(?:\(\d{{3}}\)[\x20.-]?|\d{{3}}[\x20.-])\d{{3}}[\x20.-]\d{{4}}|{_NATIONAL})(?![\p{{L}}\p{{N}}])"
+PHONE = rf"(?<![\p{{L}}\p{{N}}+])(?:(?:\+|00)(?=(?:[\x20.()-]{{0,3}}\d){{7}})\d{{1,3}}[\x20.-]?(?:\(\d{{1,4}}\)[\x20.-]?)?\d{{1,4}}(?:[\x20.-]?\d{{2,4}}){{1,4}}|(?:\(\d{{3}}\)[\x20.-]?|\d{{3}}[\x20.-])\d{{3}}[\x20.-]\d{{4}}|{_NATIONAL})(?![\p{{L}}\p{{N}}])"
+# Fixed value: international calling codes of one and two digits; all others have three.
+CALLING = r"(?:\+|00)(?:1|7|2[07]|3[0-46-9]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _TITLES = "|".join((*MALE, *FEMALE, *NEUTRAL))
 # possessive loops, which Java runs without recursion however long a text's run of name words is
 _WORD = rf"(?!(?:{_TITLES})(?!\p{{L}}))\p{{Lu}}(?:[\p{{L}}\p{{M}}]|-(?=\p{{L}})|['’](?=\p{{L}})(?![sS](?![\p{{L}}\p{{N}}])))++(?![\p{{L}}\p{{N}}])"
@@ -72,10 +82,6 @@ ALL_BARE = f"{ALL}|{BARE}"
 #: Texts without any of these hold no entity.
 HINT = rf"@|::|(?:{_H}:){{6}}|\d{{4}}|\d\.\d|\d[\x20.()/-]+\d|(?:{'|'.join((*MALE, *FEMALE, *NEUTRAL))})[.\x20]"
 
-#: Mentions that may be broadcast back to the texts; more are joined by a shuffle.
-BROADCAST_ROWS = 60_000
-
-
 def _kind(mention: Column) -> Column:
     out = F.lit("name")
     for kind, pattern in reversed(_KINDS[:-1]):
@@ -119,9 +125,18 @@ def _canonical(kind: Column, value: Column) -> Column:
     return F.when(kind == "email", F.lower(value)).when(kind == "ipv6", ipv6).when(kind.isin("iban", "ssn", "card", "phone"), plain).otherwise(value)
 
 
+def _hmac(key: str, message: Column) -> Column:
+    """HMAC-SHA512 in hex."""
+    raw = key.encode()
+    raw = hashlib.sha512(raw).digest() if len(raw) > 128 else raw
+    pad = lambda byte: F.lit(bytes(x ^ byte for x in raw.ljust(128, b"\0")))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 512))
+    return F.sha2(F.concat(pad(0x5C), inner), 512)
+
+
 def _stream(key: str, kind: Column, canon: Column, tries: Column) -> Column:
     """512 keyed hex digits."""
-    return F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), kind, canon, tries.cast("string"), F.lit(str(k))), 512) for k in range(4)])
+    return F.concat(*[_hmac(key, F.concat_ws("|", kind, tries.cast("string"), F.lit(str(k)), canon)) for k in range(4)])
 
 
 def _draw(stream: Column, at: Column | int, n: int) -> Column:
@@ -140,6 +155,12 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda a, x: a + x) % 10
 
 
+def _rest97(text: Column) -> Column:
+    """An IBAN's digits, letters as 10 to 35, modulo 97."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0), lambda a, c: F.when(c.rlike(r"\d"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97).cast("int"))
+
+
 def _letters(value: Column, stream: Column) -> Column:
     """Each digit or letter replaced by another of its kind; the rest stays."""
     def one(c, i):
@@ -162,8 +183,12 @@ def surrogate(key: str, kind: Column, canon: Column, tries: Column) -> Column:
     need = F.pmod(F.lit(10) - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
     off = F.when(_luhn(canon) == 0, F.lit(0)).otherwise(_draw(s, 120, 9) + 1)
     card = F.concat(body, ((need + off) % 10).cast("string"))
-    iban = F.concat(F.substring(canon, 1, 2), _letters(F.substring(canon, F.lit(3), F.length(canon)), s))
-    lead = F.regexp_extract(canon, r"^((?:\+|00)\d|0)", 1)
+    land, account = F.substring(canon, 1, 2), _letters(F.substring(canon, F.lit(5), F.length(canon)), s)
+    check = 98 - _rest97(F.concat(account, land, F.lit("00")))
+    held = _rest97(F.concat(F.substring(canon, F.lit(5), F.length(canon)), F.substring(canon, 1, 4))) == 1
+    wrong = F.pmod(check - 1 + _draw(s, 120, 96), F.lit(97)) + 2
+    iban = F.concat(land, F.lpad(F.when(held, check).otherwise(wrong).cast("string"), 2, "0"), account)
+    lead = F.regexp_extract(canon, rf"^({CALLING}|0)", 1)
     phone = F.concat(lead, _letters(F.substring(canon, F.length(lead) + 1, F.length(canon)), s))
     names = F.lit(None).cast("string")
     for script, endings in ENDINGS.items():
@@ -177,7 +202,7 @@ def surrogate(key: str, kind: Column, canon: Column, tries: Column) -> Column:
 
 
 def _shaped(value: Column, made: Column) -> Column:
-    """The canonical surrogate in the mention's own format: its separators and, for e-mail, its case."""
+    """The canonical surrogate in the mention's own format: with its separators."""
     marks = r"[\x20.()/-]"
     chars = F.filter(F.split(value, ""), lambda c: c != "")
     # the n-th character that is no separator becomes the n-th of the surrogate
@@ -186,6 +211,13 @@ def _shaped(value: Column, made: Column) -> Column:
     return folded["out"]
 
 
+def _cased(value: Column, made: Column) -> Column:
+    """The surrogate with capitals where the mention has them; as it is if their lengths differ."""
+    chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    own = F.array_join(F.zip_with(chars(value), chars(made), lambda c, m: F.when(c.rlike(r"\p{Lu}"), F.upper(m)).otherwise(m)), "")
+    return F.when(F.length(value) == F.length(made), own).otherwise(made)
+
+
 def _found(docs: DataFrame, pattern: str, kind) -> DataFrame:
     """``id, hash, place, type, part, kind, value, canon`` of all matches in ``docs (id, hash, text)``."""
     found = docs.select("id", "hash", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("place", "mention"))
@@ -213,7 +245,7 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sc
     only = lambda df, *by: df.filter("kind <> 'any'").groupBy(*by).agg(F.min("kind").alias("g0"), F.max("kind").alias("g1")).filter("g0 = g1").select(*by, F.col("g0").alias("gender"))
     everywhere = scratch.save(only(firsts, "canon"))
     here = only(firsts, "id", "hash", "canon")
-    a = firsts.join(small_side(everywhere, BROADCAST_ROWS), "canon", "left").withColumnRenamed("gender", "wide").alias("a")
+    a = firsts.join(everywhere, "canon", "left").withColumnRenamed("gender", "wide").alias("a")
     b = here.alias("b")
     seen = a.join(b, _same_row("a", "b") & (F.col("a.canon") == F.col("b.canon")), "left")
     one = F.when(F.col("a.kind") == "any", F.coalesce("a.wide", "b.gender", F.lit("any"))).otherwise(F.col("a.kind"))
@@ -221,8 +253,9 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sc
     resolved = scratch.save(resolved)
 
     held = scratch.save(plain.filter("type = 'name'").select("id", "hash").distinct())
-    n = small_side(held, BROADCAST_ROWS).alias("n")
-    again = rows.alias("r").join(n, _same_row("r", "n")).select("r.id", "r.hash", "r.text")
+    n = held.alias("n")
+    maybe, _ = apart(rows, "hash", held.withColumnRenamed("hash", "held_hash"), "held_hash", scratch)
+    again = maybe.alias("r").join(n, _same_row("r", "n")).select("r.id", "r.hash", "r.text")
     every = _found(again, ALL_BARE, lambda m: F.when(~m.rlike(f"^(?:{BARE})$"), _kind(m)).otherwise("bare")).alias("e")
     # a mention's own kind, or for a bare word that of the name it repeats
     own = resolved.select("id", "hash", "canon", "kind", "now")
@@ -261,21 +294,31 @@ def entities(mentioned: DataFrame, key: str, scratch: Scratch, rounds: int = 20)
 
 
 def replace(docs: DataFrame, scratch: Scratch, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with their entities replaced, and ``entities array<string>``: the kinds found, in order."""
+    """The rows of ``docs`` with their entities replaced, and as last column ``entities array<string>``: the kinds found, in order.
+
+    If ``docs`` has a column of that name (in any case), the new one gets underscores behind.
+    """
     found = mentions(docs, id_col, text_col, scratch)
     named = entities(found, key, scratch)
-    parts = found.join(named, ["kind", "canon"], "left")
+    # parts that are kept or drawn on the spot stay out of the join: titles and spaces would be a few hot keys
+    joins = F.coalesce(F.col("kind") != "initial", F.lit(False))
+    parts = found.filter(joins).join(named, ["kind", "canon"], "left").unionByName(found.filter(~joins), allowMissingColumns=True)
     letter = _letters(F.col("value"), _stream(key, F.col("kind"), F.col("canon"), F.lit(0)))
-    shaped = F.when(F.col("kind").isNull(), F.col("value")).when(F.col("kind") == "initial", letter).when(F.col("kind").isin("card", "phone", "ssn", "iban"), _shaped(F.col("value"), F.col("made"))).otherwise(F.col("made"))
+    numbers = F.col("kind").isin("card", "phone", "ssn", "iban")
+    shaped = F.when(F.col("kind").isNull(), F.col("value")).when(F.col("kind") == "initial", letter).when(numbers, _shaped(F.col("value"), F.col("made"))).when(F.col("kind") == "email", _cased(F.col("value"), F.col("made"))).otherwise(F.col("made"))
     whole = lambda c: F.array_sort(F.collect_list(c))
     # a mention has a few parts, and a document as many mentions as its text has room for
     by_place = parts.groupBy("id", "hash", "place", "type").agg(whole(F.struct("part", shaped.alias("s"))).alias("p")).select("id", "hash", "place", "type", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("s"))
     by_doc = scratch.save(by_place.groupBy("id", "hash").agg(whole(F.struct("place", "type", "s")).alias("found")))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id0"), F.xxhash64(F.col(text_col)).alias("hash0"), F.col(text_col).alias("text0"))
-    joined = row.join(small_side(by_doc, BROADCAST_ROWS), F.col("id0").eqNullSafe(F.col("id")) & (F.col("hash0") == F.col("hash")), "left")
+    maybe, sure = apart(row, "hash0", by_doc, "hash", scratch)
+    joined = maybe.join(by_doc, F.col("id0").eqNullSafe(F.col("id")) & (F.col("hash0") == F.col("hash")), "left").drop("id", "hash").unionByName(sure, allowMissingColumns=True)
     gaps = F.when(F.exists("found", lambda x: x["type"].isNull() | (x["type"] == "name")), F.split("text0", ALL_BARE, -1)).otherwise(F.split("text0", ALL, -1))
     made = F.array_join(F.flatten(F.zip_with(gaps, F.transform("found", lambda x: x["s"]), lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
     text = F.when(F.col("found").isNull(), F.col("text0")).otherwise(made)
     kinds = F.coalesce(F.filter(F.transform("found", lambda x: x["type"]), lambda t: t.isNotNull()), F.array().cast("array<string>"))
     columns = [text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
-    return joined.select(*columns, kinds.alias("entities"))
+    name = "entities"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return joined.select(*columns, kinds.alias(name))

@@ -62,7 +62,7 @@ def statistics(data: np.ndarray) -> np.ndarray:
         counts += np.bincount(data[at : at + (1 << 22)], minlength=256)
     upper, digit, space, punct, odd, pipe, comma, tail = _KIND @ counts
     n = len(data) - tail
-    hashes, starts = shingles.words(data)
+    hashes, starts = shingles.words(data), shingles.starts(data)
     w, letters = len(hashes), n - space
     breaks = np.flatnonzero(data == 10)
     lengths = np.diff(np.concatenate((starts, [len(data)]))) if w else np.zeros(1)

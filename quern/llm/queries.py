@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from quern.llm import ann, bpe, chat, embdedup, langid, minhash, mixing, pii, quality, secrets
 from quern.llm.common import Scratch, table
 
-#: The key of the surrogates; a deployment sets its own.
-PII_KEY = "quern"
+
+def pii_key(spark: SparkSession) -> str:
+    """The key of the surrogates: the session's ``spark.quern.pii.key``; a public one only where none is set."""
+    return spark.conf.get("spark.quern.pii.key", "not secret")
 
 
 def remainder(doc_id: str, n: int) -> Column:
@@ -41,7 +43,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pii.replace(docs, Scratch(spark, "op4"), PII_KEY)
+    out = pii.replace(docs, Scratch(spark, "op4"), pii_key(spark))
     return out.select("doc_id", F.size("entities").cast("long").alias("n_entities"), F.array_join("entities", ",").alias("kinds"), "text")
 
 

@@ -7,10 +7,12 @@ a document is a candidate of a rule if it has all trigrams of one of its sets. O
 candidates are searched with the expression; a rule without mandatory trigrams is
 searched for in every text.
 
-Texts are compared in lower case for the index, so it never misses. Spans are code
-points, end exclusive. Null texts count as empty and have no spans. Rows that repeat
-an id may be searched in vain, which changes nothing; rows without an id are searched
-for every rule. Only id and text are read.
+Texts are compared in lower case for the index, so it never misses. Candidates are
+joined back to their texts through a broadcast bitmap of fixed size (``common.apart``):
+only texts that hold a candidate's trigrams are shuffled. Spans are code points, end
+exclusive. Null texts count as empty and have no spans. Rows that repeat an id may be
+searched in vain, which changes nothing; rows without an id are searched for every
+rule. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, small_side
+from quern.llm.common import Scratch, apart
 
 
 @dataclass(frozen=True)
@@ -47,10 +49,6 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
-#: A document's ids and rule masks that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
-
-
 def alternatives(pattern: str, most: int = 64) -> list[frozenset[str]]:
     """Sets of lower-case trigrams; a match contains all of at least one set. Empty list: no such sets."""
     # a state: trigrams so far, and the literal text that the next characters continue
@@ -115,13 +113,28 @@ def _walk(items, states, most):
     return states
 
 
+# Fixed value: letters from the commonest in English on.
+_COMMON = "etaoinshrdlcumwfgypbvkjxqz"
+
+
+def _rare(gram: str) -> int:
+    """Larger for trigrams that texts are likely to lack."""
+    return sum(_COMMON.index(c) if c in _COMMON else 2 * len(_COMMON) for c in gram)
+
+
 def index(docs: DataFrame, rules: tuple[Rule, ...], scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings ``trigram, doc_id`` of the trigrams that the rules ask for, as a written table."""
-    asked = sorted({t for r in rules for s in alternatives(r.pattern) for t in s})
-    grams = F.array(*[F.lit(t) for t in asked]).cast("array<string>")
+    """Postings ``trigram, doc_id`` for the rules' sets of trigrams, as a written table.
+
+    A set's rarest trigram is looked for first: a text without it gets no postings of
+    that set, whose intersection would be empty.
+    """
+    sets = sorted({tuple(sorted(s, key=lambda t: (-_rare(t), t))) for r in rules for s in alternatives(r.pattern)})
+    strings = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    asked = F.array(*[F.struct(F.lit(x[0]).alias("first"), strings(x[1:]).alias("more")) for x in sets]).cast("array<struct<first:string,more:array<string>>>")
     lowered = F.array(F.lower(F.col(text_col)))  # in an array, so that it is made once for all trigrams
-    held = F.transform(lowered, lambda s: F.filter(grams, lambda t: F.contains(s, t)))[0]
-    return scratch.save(docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(held).alias("trigram")).select("trigram", "doc_id"))
+    own = lambda s: F.flatten(F.transform(F.filter(asked, lambda x: F.contains(s, x["first"])), lambda x: F.concat(F.array(x["first"]), F.filter(x["more"], lambda t: F.contains(s, t)))))
+    real = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    return scratch.save(real.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(F.transform(lowered, own)[0])).alias("trigram")).select("trigram", "doc_id"))
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -129,42 +142,76 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     spark = postings.sparkSession
     asked = [(k, a, t, len(s)) for k, r in enumerate(rules) for a, s in enumerate(alternatives(r.pattern)) for t in s]
     terms = F.broadcast(spark.createDataFrame(asked, "rule int, way int, trigram string, need int"))  # as many rows as the rules have trigrams
-    whole = postings.join(terms, "trigram").groupBy("doc_id", "rule", "way", "need").count().filter("count >= need")
+    # rows that repeat an id repeat its postings
+    whole = postings.distinct().join(terms, "trigram").groupBy("doc_id", "rule", "way", "need").count().filter("count >= need")
     return whole.groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("mask"))
 
 
+_SPAN = "array<struct<at:int,rule:int,kind:string,stop:int>>"
+#: Matches whose places are summed up in one go; the sums of these groups are summed up in turn.
+_GROUP = 256
+
+
 def _spans(text: Column, rule: Rule, number: int) -> Column:
     """``array<struct<at, rule, kind, stop>>`` of the rule's leftmost non-overlapping matches.
 
-    Nothing before a match, back to the end of the one before, could begin a match, so
-    a match's text is first found at its own place.
+    The text is cut at its matches; a match begins where the lengths of the gaps and
+    matches before it end. They are added up in groups, so the work is nearly
+    proportional to the matches, however many a text has.
     """
-    zero = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<at:int,rule:int,kind:string,stop:int>>").alias("out"))
+    matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    gaps = F.split(text, rule.pattern, -1)
+    size = lambda m: F.length(m) if rule.group == 0 else F.length(F.regexp_extract(m, rule.pattern, rule.group))
+    cut = lambda ms: F.zip_with(F.slice(gaps, F.lit(1), F.size(ms)), ms, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("n"), (size(m) >= rule.least).alias("ok")))
+
+    def in_groups(p):
+        groups = F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _GROUP).cast("int"))
+        return F.transform(groups, lambda k: F.slice(p, k * _GROUP + 1, F.lit(_GROUP)))
+
+    def placed(group, begin):
+        zero = F.struct(begin.cast("int").alias("at"), F.array().cast(_SPAN).alias("out"))
+
+        def step(held, x):
+            at = held["at"] + x["gap"]
+            stop = (at + x["n"]).cast("int")
+            item = F.struct(at.cast("int").alias("at"), F.lit(number).alias("rule"), F.lit(rule.kind).alias("kind"), stop.alias("stop"))
+            return F.struct(stop.alias("at"), F.when(x["ok"], F.concat(held["out"], F.array(item))).otherwise(held["out"]).alias("out"))
 
-    def step(held, match):
-        at = F.position(match, text, held["next"]) - 1
-        stop = at + F.length(match)
-        size = F.length(match) if rule.group == 0 else F.length(F.regexp_extract(match, rule.pattern, rule.group))
-        item = F.struct(at.cast("int").alias("at"), F.lit(number).alias("rule"), F.lit(rule.kind).alias("kind"), stop.cast("int").alias("stop"))
-        return F.struct((stop + 1).cast("int").alias("next"), F.when(size >= rule.least, F.concat(held["out"], F.array(item))).otherwise(held["out"]).alias("out"))
+        return F.aggregate(group, zero, step, lambda x: x["out"])
 
-    return F.aggregate(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), zero, step, lambda x: x["out"])
+    def begins(groups):
+        total = lambda g: F.aggregate(g, F.lit(0), lambda n, x: (n + x["gap"] + x["n"]).cast("int"))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(groups, zero, lambda held, g: F.struct((held["at"] + total(g)).cast("int").alias("at"), F.concat(held["out"], F.array(held["at"])).alias("out")), lambda x: x["out"])
 
+    # a variable of a lambda is evaluated once, where an expression would be once a use
+    whole = lambda groups: F.flatten(F.zip_with(groups, begins(groups), placed))
+    found = F.array(matches)
+    for step in (cut, in_groups, whole):
+        found = F.transform(found, step)
+    found = found[0]
+    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(_SPAN))
 
-def scan(docs: DataFrame, scratch: Scratch, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, found``: all spans ``array<struct<at, rule, kind, stop>>`` of every text, by place, then rule."""
-    masks = scratch.save(candidates(index(docs, rules, scratch, id_col, text_col), rules))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(small_side(masks, BROADCAST_ROWS), "doc_id", "left")
-    none = F.array().cast("array<struct<at:int,rule:int,kind:string,stop:int>>")
+
+def scan(docs: DataFrame, scratch: Scratch, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", postings: DataFrame | None = None) -> DataFrame:
+    """``doc_id, found``: all spans ``array<struct<at, rule, kind, stop>>`` of every text, by place, then rule.
+
+    ``postings`` of an earlier ``index`` over the same documents and rules save making
+    them anew.
+    """
+    posted = index(docs, rules, scratch, id_col, text_col) if postings is None else postings
+    masks = scratch.save(candidates(posted, rules).select(F.col("doc_id").alias("held_id"), "mask"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    maybe, sure = apart(rows, "doc_id", masks, "held_id", scratch)
+    marked = maybe.join(masks, F.col("doc_id") == F.col("held_id"), "left").select("doc_id", "text", "mask").unionByName(sure, allowMissingColumns=True)
+    none = F.array().cast(_SPAN)
     found = []
     for k, rule in enumerate(rules):
         spans = _spans(F.col("text"), rule, k)
         if alternatives(rule.pattern):
             spans = F.when(F.col("doc_id").isNull() | (F.col("mask").bitwiseAND(F.lit(1 << k)) != 0), spans).otherwise(none)
-        else:
-            spans = F.when(F.col("text").rlike(rule.pattern), spans).otherwise(none)
         found.append(spans)
-    return rows.select("doc_id", F.array_sort(F.concat(*found)).alias("found"))
+    return marked.select("doc_id", F.array_sort(F.concat(*found)).alias("found"))
 
 
 def digest(found: Column) -> Column:
