@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import bpe, langid, minhash, mixing, pii
 from quern.llm.common import Scratch, table
-from quern.llm.queries import PII_KEY, remainder, vocabulary
+from quern.llm.queries import pii_key, remainder, vocabulary
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by surrogates."""
-    out = pii.replace(docs, Scratch(spark, "pii"), PII_KEY)
-    size = F.when(F.size("entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    out = pii.replace(docs, Scratch(spark, "pii"), pii_key(spark))
+    size = F.when(F.size(out.columns[-1]) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.select(*[size.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -52,7 +52,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written to the shared folder before the next reads it."""
     docs = table(spark, sf_dir, "documents")
-    scratch = Scratch(spark, "pipeline")
+    scratch, last = Scratch(spark, "pipeline"), None
     for _, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir))
+        if last is not None:
+            scratch.drop(last)
+        last = docs
     return docs
