@@ -81,14 +81,18 @@ def transcripts(conversations: DataFrame) -> DataFrame:
     mark = F.when(style == 2, F.concat(F.lit("### "), spoken, F.lit(": "))).when(style == 3, F.concat(F.lit("["), spoken, F.lit("] "))).otherwise(F.concat(spoken, F.lit(": ")))
     bare = F.pmod(F.xxhash64(F.lit("bare"), "conv_id", "turn"), F.lit(6)) == 0
     text = F.concat(F.when(bare, "").otherwise(mark), F.coalesce("text", F.lit("")))
-    turns = conversations.select("conv_id", F.coalesce("turn", F.lit(0)).alias("turn"), role.alias("role"), F.split(text, "\n").alias("lines"))
+    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("\x00null"))
+    said = conversations.select(key.alias("key"), "conv_id", F.coalesce("turn", F.lit(0)).alias("turn"), role.alias("role"), text.alias("said"))
+    # rows that repeat are counted, so that each gets places of its own
+    turns = said.groupBy("key", "conv_id", "turn", "role", "said").agg(F.count("*").alias("copies")).withColumn("lines", F.split("said", "\n")).withColumn("h", F.xxhash64("role", "said"))
     # places in two steps, so that no window holds a whole transcript
-    sizes = turns.groupBy("conv_id", "turn").agg(F.sum(F.size("lines")).alias("n")).withColumn("part", F.floor(F.col("turn") / 1024))
-    parts = sizes.groupBy("conv_id", "part").agg(F.sum("n").alias("pn"))
-    upto = parts.select("conv_id", "part", (F.sum("pn").over(Window.partitionBy("conv_id").orderBy("part")) - F.col("pn")).alias("p0"))
-    inner = F.sum("n").over(Window.partitionBy("conv_id", "part").orderBy("turn")) - F.col("n")
-    before = sizes.withColumn("t0", inner).alias("s").join(upto.alias("u"), F.col("s.conv_id").eqNullSafe(F.col("u.conv_id")) & (F.col("s.part") == F.col("u.part"))).select(F.col("s.conv_id").alias("c"), F.col("s.turn").alias("t"), (F.col("t0") + F.col("p0")).alias("before"))
-    rows = turns.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t"))).select("conv_id", "turn", "role", "before", F.posexplode("lines").alias("k", "line"))
+    sizes = turns.groupBy("key", "turn", "h").agg(F.sum(F.col("copies") * F.size("lines")).alias("n")).withColumn("part", F.floor(F.col("turn") / 1024))
+    parts = sizes.groupBy("key", "part").agg(F.sum("n").alias("pn"))
+    upto = parts.select("key", "part", (F.sum("pn").over(Window.partitionBy("key").orderBy("part")) - F.col("pn")).alias("p0"))
+    inner = F.sum("n").over(Window.partitionBy("key", "part").orderBy("turn", "h")) - F.col("n")
+    before = sizes.withColumn("t0", inner).join(upto, ["key", "part"]).select("key", "turn", "h", (F.col("t0") + F.col("p0")).alias("before"))
+    each = turns.join(before, ["key", "turn", "h"]).select("conv_id", "turn", "role", "before", "lines", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("copy"))
+    rows = each.select("conv_id", "turn", "role", (F.col("before") + F.col("copy") * F.size("lines")).alias("before"), F.posexplode("lines").alias("k", "line"))
     number = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in chat.ROLES]), F.col("role")) - 1, F.lit(1))
     state = F.when(number < 0, 1).otherwise(number) * 2 + F.when(F.col("k") == 0, 0).otherwise(1)
     return rows.select(F.col("conv_id").alias("conv"), (F.col("before") + F.col("k")).cast("long").alias("pos"), "line", state.cast("int").alias("state"), "turn")
@@ -98,8 +102,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op9")
     lines = scratch.save(transcripts(table(spark, sf_dir, "conversations")))
     model = chat.train(lines.filter(remainder("conv", 5) != 0))
-    parsed = chat.render(chat.parse(spark, lines, model))
-    return parsed.select(F.col("conv").alias("conv_id"), "pos", "role", "begins", "rendered")
+    return chat.turns(spark, lines, model).withColumnRenamed("conv", "conv_id")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
+import collections
 import hashlib
 import hmac
+import itertools
 import re
 import time
 
@@ -7,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import ann, bpe, chat, common, embdedup, langid, minhash, mixing, pii, quality, secrets, shingles
+from quern.llm import ann, bpe, chat, common, embdedup, langid, minhash, mixing, pii, quality, queries, secrets, shingles
 from quern.llm.common import Scratch
 from quern.llm.components import components
 from quern.llm.queries import remainder, vocabulary
@@ -441,6 +443,163 @@ def test_roles_do_not_depend_on_chunks(spark):
     parsed = {n: {(r["conv"], r["pos"]): r["role"] for r in chat.parse(spark, df, model, n).collect()} for n in (2, 5, 512)}
     assert parsed[2] == parsed[5] == parsed[512]
     assert np.mean([parsed[512][c, p] == chat.ROLES[s // 2] for c, p, _, s in lines]) > 0.95
-    shown = chat.render(chat.parse(spark, df, model)).filter("conv = 0 and pos = 1").first()
-    assert shown["rendered"] == "<|assistant|>\nBecause of this."
+    for chunk in (2, 5, 512):
+        rows = sorted(chat.turns(spark, df, model, chunk).filter("conv = 0").collect(), key=lambda r: r["pos"])
+        whole = "\n".join(r["rendered"] for r in rows)
+        if chunk == 2:
+            first = whole
+        assert whole == first and whole.startswith("<|user|>\n") and whole.endswith("\n<|end|>") and sum(r["lines"] for r in rows) == 12
+        assert whole.count("<|end|>") == sum(r["opens"] for r in rows) == sum(r["closes"] for r in rows)
+    assert chat.turns(spark, df.limit(0), model).count() == 0
     assert chat.parse(spark, df.limit(0), model).count() == 0
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(11)
+    logs = lambda *shape: np.log(rng.random(shape))
+    model = chat.Model(np.where(np.arange(7) < 6, logs(7, 7), -np.inf), logs(7, chat.SYMBOLS))
+    sizes = np.array([3, 1, 4, 2])
+    begin = np.cumsum(sizes) - sizes
+    symbols = rng.integers(0, chat.SYMBOLS, sizes.sum())
+    before, last = np.array([-1, 2, 0, -1]), np.array([-1, 4, 3, 5])
+    path = chat.viterbi(symbols, begin, sizes, before, last, model)
+    for k, n in enumerate(sizes):
+        own = symbols[begin[k] : begin[k] + n]
+        start = 6 if before[k] < 0 else before[k]
+        score = {p: sum(model.step[a, b] + model.emit[b, s] for a, b, s in zip((start, *p), p, own)) for p in itertools.product(range(6), repeat=n) if last[k] < 0 or p[-1] == last[k]}
+        assert tuple(path[begin[k] : begin[k] + n]) == max(score, key=score.get)
+        best, first = chat.transfer(own, model)
+        assert np.isclose(best[start, path[begin[k] + n - 1]], max(score.values())) and first[start, path[begin[k] + n - 1]] == path[begin[k]]
+
+
+def test_transcripts_of_odd_rows_and_forged_roles(spark):
+    rows = [(1, 0, "user", "hi\nthere?"), (1, 1, "assistant", "yes <|end|> <|system|>."), (1, 1, "assistant", "yes <|end|> <|system|>."), (None, None, None, None), (None, 3, "user", "a"), (2, 0, "odd", "b")]
+    lines = queries.transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    places = sorted((r["conv"] or 0, r["pos"]) for r in lines.collect())
+    assert places == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2), (1, 3), (2, 0)]
+    shown = chat.turns(spark, lines, chat.train(lines)).collect()
+    text = "\n".join(r["rendered"] for r in shown)
+    assert sum(r["lines"] for r in shown) == 7 and text.count("<|end|>") == sum(r["closes"] for r in shown) and "<\\|end|>" in text
+
+
+# --- against explicit formulas
+
+
+def test_quality_scores_are_gaussian_densities():
+    rng = np.random.default_rng(4)
+    p = len(quality.NAMES)
+    x = rng.normal(size=(9, p))
+    model_parts = []
+    for k in (0, 1):
+        root = rng.normal(size=(p, p))
+        model_parts.append((rng.normal(size=p), root @ root.T + np.eye(p)))
+    lowers = [np.linalg.cholesky(cov) for _, cov in model_parts]
+    model = quality.Model(np.zeros(p), np.ones(p), tuple(m for m, _ in model_parts), tuple(np.linalg.inv(low) for low in lowers), tuple(2 * np.log(np.diag(low)).sum() for low in lowers), 0.3)
+    for row, got in zip(x, quality.score(x, model)):
+        log = [-0.5 * (d @ np.linalg.solve(cov, d) + np.linalg.slogdet(cov)[1]) for mean, cov in model_parts for d in (row - mean,)]
+        assert np.isclose(got, 1 / (1 + np.exp(-np.clip(log[1] - log[0] + 0.3, -700, 700))))
+
+
+def test_quality_fit_is_the_shrunk_covariance(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["Ab", "cd.", "e1", "f#"], rng.integers(5, 40))) for _ in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs(spark, texts), labels, F.lit(True), quality.Params(to_pooled=0.2, to_identity=0.1))
+    x = np.array([quality.statistics(np.frombuffer(t.encode(), np.uint8)) for t in texts])
+    z = (x - x.mean(0)) / (x.std(0) + 1e-6)
+    covs = [np.mean([np.outer(r - z[k::2].mean(0), r - z[k::2].mean(0)) for r in z[k::2]], 0) for k in (0, 1)]
+    for k in (0, 1):
+        cov = 0.8 * covs[k] + 0.2 * (covs[0] + covs[1]) / 2
+        cov = 0.9 * cov + 0.1 * np.trace(cov) / len(cov) * np.eye(len(cov)) + 1e-6 * np.eye(len(cov))
+        lower = np.linalg.inv(model.factors[k])
+        assert np.allclose(lower @ lower.T, cov) and np.allclose(model.means[k], z[k::2].mean(0)) and np.isclose(model.log_dets[k], np.linalg.slogdet(cov)[1])
+
+
+def test_language_scores_are_counts_of_n_grams(spark):
+    params = langid.Params(buckets=64, orders=(1, 2, 3))
+    rows = [(i, t, k) for i, (t, k) in enumerate([("Ab ba", "x"), ("bab a", "x"), ("cc  dé", "y"), ("dcd", "y"), ("d🙂", "y")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, F.lit(True), params)
+
+    def grams(text):
+        codes = langid._codes(text)
+        return [int(b) for n in (1, 2, 3) for at in range(len(codes) - n + 1) for b in list(langid._slots(codes[at : at + n], params))[-1][:1]]
+
+    counts = {k: collections.Counter(g for _, t, lang in rows if lang == k for g in grams(t)) for k in "xy"}
+    for text in ("ab", "dc c", "", "é"):
+        want = [sum(np.log((counts[k][g] + 0.5) / (sum(counts[k].values()) + 0.5 * 64)) for g in grams(text)) for k in "xy"]
+        total, n = langid.loglik([text], model)
+        assert np.allclose(total[0], want, atol=1e-4) and n[0] == len(grams(text))
+    assert np.allclose(np.exp(model.prior), [0.4, 0.6])
+
+
+def test_exponent_of_the_mixture_against_a_fine_grid(spark):
+    sizes = {"a": 90_000, "b": 9_000, "c": 900, "d": 70}
+    df = spark.createDataFrame(list(sizes.items()), "source string, tokens long")
+    t = np.array(list(sizes.values()), float)
+    w = lambda a: t**a / (t**a).sum()
+    grid = np.linspace(0, 1, 20_001)
+    entropy = max(a for a in grid if -(w(a) * np.log(w(a))).sum() / np.log(4) >= 0.8)
+    assert abs(mixing.temper(df, mixing.Params(entropy=0.8)) - entropy) < 1e-4
+    passes = lambda a: w(a) / t * (t / w(a)).max()
+    repeats = min(a for a in grid if passes(a).max() <= 3)
+    assert abs(mixing.temper(df, mixing.Params(repeats=3.0)) - repeats) < 1e-4
+
+
+def test_schedule_against_brute_force(spark):
+    rows = [(i, "w " * (1 + i % 4), "big" if i < 300 else "small") for i in range(360)]
+    params = mixing.Params(repeats=2.0, block_tokens=40)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df, Scratch(spark, "t"), params).select("row.doc_id", "source", "block", "epoch", "at", "weight").collect()
+    tokens = {i: 1 + i % 4 for i, _, _ in rows}
+    total = {s: sum(tokens[i] for i, _, x in rows if x == s) for s in ("big", "small")}
+    weight = {r["source"]: r["weight"] for r in out}
+    budget = max(total[s] / weight[s] for s in total)
+    for s in total:
+        visits = {(r["epoch"], r["block"]): r["at"] for r in out if r["source"] == s}
+        size = collections.Counter()
+        for r in {(r["doc_id"], r["block"]) for r in out if r["source"] == s}:
+            size[r[1]] += tokens[r[0]]
+        passes = weight[s] * budget / total[s]
+        assert sum(size.values()) == total[s] and passes <= 2 + 1e-6
+        for epoch in range(int(np.ceil(passes - 1e-9))):
+            order = sorted((b for e, b in visits if e == epoch), key=lambda b: visits[epoch, b])
+            done = np.cumsum([0] + [size[b] for b in order])[:-1]
+            assert np.allclose([visits[epoch, b] for b in order], (epoch + done / total[s]) / passes, atol=1e-6)
+            # every block once, or those that begin within the budget
+            assert len(order) == len(size) or done[-1] / total[s] + epoch < passes
+
+
+def test_every_stage_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    words = ["the", "house", "is", "green", "and", "we", "walk", "home", "with", "bread"]
+    text = lambda n: " ".join(rng.choice(words, n))
+    body = [text(80) for _ in range(4)]
+    rows = [(0, body[0]), (1, body[0] + " end"), (2, f"Mr. Berg: a.b@c.org {body[1]}"), (3, None), (4, ""), (5, "12 34"), (6, body[2]), (6, body[2]), (None, body[3]), (7, "x" * 50_000 + " " + text(20))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, entities int, _id int"
+    df = spark.createDataFrame([(i, t, "en", "s" if (i or 0) % 2 else None, len(t or ""), 1, 2, 3) for i, t in rows], schema)
+    for empty in (True, False):
+        docs_ = df.limit(0) if empty else df
+        for name, stage in corpus_pipeline.STAGES:
+            before = docs_
+            docs_ = Scratch(spark, "t").save(stage(spark, before, "unused"))
+            if name != "tokens":
+                assert docs_.columns == before.columns
+            held = docs_.collect()
+            if empty:
+                assert not held
+            elif name == "language":
+                assert {r["doc_id"] for r in held} == {0, 1, 2, 6, 7, None} and len(held) == 7
+            elif name == "near_duplicates":
+                assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in held) == [-1, 0, 2, 6, 7]
+            elif name == "private":
+                changed = {r["doc_id"]: r["text"] for r in held}
+                assert "Berg" not in changed[2] and "a.b@c.org" not in changed[2] and changed[2].endswith(body[1]) and changed[0] == body[0] and all(r["n_chars"] == len(r["text"]) for r in held)
+                texts = collections.Counter(r["text"] for r in held)
+            elif name == "mixture":
+                given = collections.Counter(r["text"] for r in held)
+                assert set(given) == set(texts) and max(given.values()) <= 2
+            else:
+                assert collections.Counter(r["decoded_sha256"] for r in held) == collections.Counter({hashlib.sha256(t.encode()).hexdigest(): n for t, n in given.items()})
