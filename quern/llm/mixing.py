@@ -97,7 +97,8 @@ def plan(docs: DataFrame, scratch: Scratch, params: Params = Params(), source_co
     total = sizes.agg(F.sum(power).alias("all"), F.max(F.when(F.col("tokens") > 0, F.col("tokens") / power)).alias("least"))
     weight = F.when(F.col("all") > 0, power / F.col("all")).otherwise(0.0)
     budget = F.lit(params.budget).cast("double") if params.budget else F.col("least") * F.col("all")
-    passes = F.when(F.col("tokens") > 0, F.round(weight * budget / F.col("tokens"), 9)).otherwise(F.lit(1.0))
+    # the limit holds to 1e-9, so a digit less than that
+    passes = F.when(F.col("tokens") > 0, F.round(weight * budget / F.col("tokens"), 7)).otherwise(F.lit(1.0))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("tokens") / params.block_tokens)).cast("long")
     # total is one row
     return scratch.save(sizes.join(F.broadcast(total), F.lit(True)).select("source", "tokens", weight.alias("weight"), passes.alias("passes"), blocks.alias("n_blocks")))
