@@ -29,6 +29,9 @@ class Settings:
     grounding_threshold: float = 0.52
     ood_min_overlap: float = 0.06
     guard_rerank_floor: float = 0.0
+    answerer: str = "extractive"
+    llm_max_tokens: int = 700
+    llm_temperature: float = 0.1
     eval_hit1_floor: float = 0.50
     eval_hit5_floor: float = 0.88
     eval_ndcg_floor: float = 0.72
@@ -41,6 +44,6 @@ class Settings:
 
     @classmethod
     def from_env(cls, prefix: str = "QN_") -> Settings:
-        kinds = {"int": int, "float": float, "bool": lambda x: x.lower() in ("1", "true", "yes")}
+        kinds = {"int": int, "float": float, "str": str, "bool": lambda x: x.lower() in ("1", "true", "yes")}
         given = {f.name: kinds[f.type](os.environ[prefix + f.name.upper()]) for f in fields(cls) if prefix + f.name.upper() in os.environ}
         return cls(**given)

@@ -32,7 +32,7 @@ def normalise(section_id: Column) -> Column:
         .when(section_id.rlike(BARE), cfr(BARE))
         .when(section_id.rlike(DOCUMENT), F.concat(F.lit("OSHA "), F.upper(F.regexp_extract(section_id, DOCUMENT, 1))))
         .when(section_id.rlike(NUMBER), cfr(NUMBER))
-        .otherwise(F.trim(section_id))
+        .otherwise(F.regexp_replace(section_id, r"(?U)^\s+|\s+$", ""))
     )
 
 
@@ -69,16 +69,15 @@ def roots(text: Column) -> Column:
 
 
 def chain_exists(text: Column, markers: Column) -> Column:
-    """Each ``(marker)`` occurs after the one before, whatever its case."""
-    pattern = F.concat(F.lit(r"(?is)"), F.array_join(F.transform(markers, lambda m: F.concat(F.lit(r"\(\s*"), m, F.lit(r"\s*\)"))), ".*"))
+    """Each ``(marker)`` occurs after the one before, whatever its case; the earliest place of each is taken for good, so nothing is tried twice."""
+    one = lambda m: F.concat(F.lit(r"(?>.*?\(\s*\Q"), m, F.lit(r"\E\s*\))"))
+    pattern = F.concat(F.lit(r"(?is)\A"), F.array_join(F.transform(markers, one), ""))
     return F.when(F.size(markers) == 0, F.lit(True)).otherwise(F.call_function("rlike", text, pattern))
 
 
 def pages(section_id: Column) -> tuple[Column, Column]:
-    """First and last page of ``(pp. a-b)`` or ``(p. a)``; null without."""
-    pattern = r"\(pp?\.\s*(\d+)(?:\s*[-–]\s*(\d+))?\)"
-    lo = F.regexp_extract(section_id, pattern, 1)
-    hi = F.regexp_extract(section_id, pattern, 2)
+    """First and last page of a publication's ``(pp. a-b)``, ``(p. a)`` or ``(pages a-b)``; null without."""
+    lo, hi = (F.regexp_extract(section_id, DOCUMENT, k) for k in (2, 3))
     first = F.when(lo != "", lo).cast("int")
     return first, F.coalesce(F.when(hi != "", hi).cast("int"), first)
 

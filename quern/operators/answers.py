@@ -50,11 +50,3 @@ def messages(asked: DataFrame, system: str) -> DataFrame:
     past = F.filter(F.slice("history", F.greatest(F.size("history") - 3, F.lit(1)), 4), lambda h: h["role"].isin("user", "assistant") & (F.length(h["content"]) > 0))
     past = F.transform(past, lambda h: F.struct(h["role"].alias("role"), F.substring(h["content"], 1, 2000).alias("content")))
     return asked.select("qid", F.concat(F.array(message("system", fenced)), F.coalesce(past, F.array().cast("array<struct<role:string,content:string>>")), F.array(message("user", F.col("query")))).alias("messages"))
-
-
-def extractive(hits: DataFrame) -> DataFrame:
-    """The offline answer: the first sentence of each hit ``qid, place, section, body`` with its citation."""
-    from quern.functions import text as T
-
-    first = F.concat(T.sentences(F.col("body"))[0], F.lit(" ["), F.col("section"), F.lit("]"))
-    return hits.withColumn("s", F.when(F.size(T.sentences(F.col("body"))) > 0, first)).groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "s"))), lambda x: F.coalesce(x["s"], F.lit(""))), " ").alias("answer"))

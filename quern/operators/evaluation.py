@@ -83,9 +83,25 @@ def answer_metrics(validated: DataFrame) -> DataFrame:
     return out.withColumn("groundedness", near("context_vec")).withColumn("relevance", near("question_vec"))
 
 
-def render(rows: list[dict]) -> str:
-    """The report of a few configurations as a Markdown table."""
-    names = list(rows[0]) if rows else []
-    line = lambda cells: "| " + " | ".join(cells) + " |"
-    shown = lambda x: "-" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
-    return "\n".join([line(names), line(["---"] * len(names)), *[line([shown(r[n]) for n in names]) for r in rows]])
+def _table(names: list[str], rows: list[list]) -> list[str]:
+    shown = lambda x: "-" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x)
+    line = lambda cells: "| " + " | ".join(map(shown, cells)) + " |"
+    return [line(names), line(["---"] * len(names)), *map(line, rows), ""]
+
+
+ANSWERS = ("citation_precision", "citation_rate", "hallucinated_citations", "groundedness", "relevance")
+RATES = ("subsection_evidence", "answered_rate", "refusal_rate")
+
+
+def render(report: dict) -> str:
+    """A stored report, ``{created_at, runs, items}`` as ``Engine.evaluate`` leaves it, in Markdown: a table of rankings and rates, one of answers if there are any, and the items of the last configuration."""
+    runs, items = report.get("runs", []), report.get("items", [])
+    out = ["# Evaluation", "", f"Made at {report.get('created_at', 'unknown')}; {len(runs)} configurations.", "", "## Retrieval", ""]
+    out += _table(["config", *METRICS, *RATES, "passed"], [[r["config"], *(r.get(m) for m in (*METRICS, *RATES)), r.get("passed")] for r in runs])
+    answered = [r for r in runs if r.get("citation_rate") is not None]
+    if answered:
+        out += ["## Answers", "", *_table(["config", *ANSWERS], [[r["config"], *(r.get(m) for m in ANSWERS)] for r in answered])]
+    if items:
+        last = [i for i in items if i["config"] == items[-1]["config"]]
+        out += [f"## Items of {last[0]['config']}", "", *_table(["id", "adversarial", "refused", "reason", "grounding", "hit5", "mrr", "first"], [[i["id"], i["adversarial"], i["refused"], i["reason"], i["grounding"], i["hit5"], i["mrr"], i["first"]] for i in last])]
+    return "\n".join(out)

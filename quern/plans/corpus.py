@@ -12,8 +12,20 @@ from quern.plans.registry import query
 from quern.sources import tables
 from quern.sources.tables import parquet
 
-_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.;:!?])\s+([A-Z(§])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
-_TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]'))"
+
+
+def sentences_of(x: str) -> str:
+    return rf"list_filter(list_transform(string_split(regexp_replace({x}, '([.;:!?])\s+([A-Z(§])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
+
+
+_SENTENCES = sentences_of("text")
+
+
+def count_of(x: str) -> str:
+    return rf"len(regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+|[^\s\p{{L}}\p{{N}}_]'))"
+
+
+_TOKENS = count_of("text")
 
 
 @query(f"SELECT doc_id, unnest({_SENTENCES}) AS sentence, unnest(range(len({_SENTENCES}))) AS pos FROM documents")
@@ -31,9 +43,19 @@ def _sections(spark, sf_dir):
     return docs.select(F.col("doc_id").cast("string").alias("section_id"), "source", F.col("lang").alias("part"), cleaning.parent_path(F.col("lang"), F.col("source")).alias("parent_path"), F.substring("text", 1, 60).alias("heading"), "text", F.lit("").alias("url"))
 
 
-@query()
+_PIECE = "STRUCT(s VARCHAR, n BIGINT)[]"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text, {_TOKENS} AS tokens, list_transform(flatten(list_transform({_SENTENCES}, lambda x: CASE WHEN {count_of("x")} > 440 THEN string_split(regexp_replace(x, '([,;])\s+', '\1' || chr(1), 'g'), chr(1)) ELSE [x] END)), lambda x: {{'s': x, 'n': {count_of("x")}}}) AS p FROM documents),
+    g AS (SELECT *, list_reduce(list_prepend({{'full': []::{_PIECE}[], 'held': []::{_PIECE}, 'used': 0::BIGINT}}, list_transform(p, lambda x: {{'full': []::{_PIECE}[], 'held': [x], 'used': x.n}})),
+             lambda a, x: CASE WHEN len(a.held) > 0 AND a.used + x.used > 220 THEN {{'full': list_append(a.full, a.held), 'held': x.held, 'used': x.used}} ELSE {{'full': a.full, 'held': list_concat(a.held, x.held), 'used': a.used + x.used}} END) AS r FROM d),
+    w AS (SELECT doc_id, text, tokens, list_append(r.full, r.held) AS runs FROM g),
+    t AS (SELECT *, list_transform(runs, lambda run: list_reduce(list_prepend({{'m': 0::BIGINT, 'used': 0::BIGINT, 'stop': false}}, list_transform(list_reverse(run), lambda x: {{'m': 1::BIGINT, 'used': x.n, 'stop': false}})),
+             lambda a, x: CASE WHEN a.stop OR (a.m > 0 AND a.used + x.used > 48) THEN {{'m': a.m, 'used': a.used, 'stop': true}} ELSE {{'m': a.m + 1, 'used': a.used + x.used, 'stop': a.used + x.used >= 48}} END).m) AS tails FROM w),
+    b AS (SELECT doc_id, text, CASE WHEN tokens <= 252 THEN [text] ELSE list_transform(range(1, len(runs) + 1), lambda k: array_to_string(list_transform(CASE WHEN k = 1 THEN runs[1] ELSE list_concat(list_slice(runs[k - 1], len(runs[k - 1]) - tails[k - 1] + 1, len(runs[k - 1])), runs[k]) END, lambda x: x.s), ' ')) END AS bodies FROM t)
+    SELECT doc_id || '#' || k AS chunk_id, k::INTEGER AS chunk_idx, md5(doc_id || ' — ' || left(text, 60) || chr(10) || body) AS text FROM (SELECT doc_id, text, unnest(bodies) AS body, unnest(range(len(bodies))) AS k FROM b)""")
 def chunk_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk(_sections(spark, sf_dir))
+    return chunking.chunk(_sections(spark, sf_dir)).select("chunk_id", "chunk_idx", F.md5("text").alias("text"))
 
 
 @query("SELECT doc_id, lang || ' › ' || source AS path, left(text, 300) AS heading FROM documents WHERE length(text) >= 120 AND NOT contains(left(text, 60), '[Reserved]')")
@@ -78,36 +100,49 @@ def id_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.unique_ids(rows, "id", "doc_id", F.lit("dup")).select("doc_id", "unique_id")
 
 
-_WRITTEN = "CASE doc_id % 5 WHEN 0 THEN '29 CFR 1910.' || doc_id || '(b)(1)' WHEN 1 THEN '§1926.' || doc_id || '(d)(2)(ii)' WHEN 2 THEN '1910.' || doc_id WHEN 3 THEN 'OSHA ' || (3000 + doc_id) || ' (pp. 4-6)' ELSE 'OSHA FS-' || upper(lang) || doc_id || ' (p. 1)' END"
+#: Section ids in the forms that a corpus has, and texts that cite some of them; the same SQL makes them on both sides.
+_WRITTEN = "CASE doc_id % 6 WHEN 0 THEN '29 CFR 1910.' || doc_id || '(b)(1)' WHEN 1 THEN '§1926.' || doc_id || '(d)(2)(ii)' WHEN 2 THEN ' 1910.' || doc_id || 'a ' WHEN 3 THEN 'OSHA ' || (3000 + doc_id) || ' (pp. 4-' || (4 + doc_id % 9) || ')' WHEN 4 THEN 'osha FS-' || upper(lang) || doc_id || ' (p. ' || doc_id % 8 || ')' ELSE ' ' || source || ' ' END"
+_ALSO = "CASE doc_id % 3 WHEN 0 THEN '29 C.F.R. § 1926.' || doc_id % 7 || '(a)(1)(i)' WHEN 1 THEN 'OSHA 31' || (10 + doc_id % 50) || ' (pages ' || doc_id % 7 || '–' || (doc_id % 7 + doc_id % 3) || ')' ELSE '[OSHA FS-3529]' END"
+_CITING = f"substr(text, 1, 400) || ' See ' || ({_WRITTEN}) || ', or ' || ({_ALSO}) || '; an OSHA question. Again [' || ({_WRITTEN}) || '] and 【29 CFR 1910.7(c)】 and § 1910.7(c). ' || substr(text, 401, 400)"
+
+
+def _regex(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
 
 
-def _written(spark, sf_dir):
-    k = F.col("doc_id").cast("string")
-    five = F.col("doc_id") % 5
-    made = F.when(five == 0, F.concat(F.lit("29 CFR 1910."), k, F.lit("(b)(1)"))).when(five == 1, F.concat(F.lit("§1926."), k, F.lit("(d)(2)(ii)"))).when(five == 2, F.concat(F.lit("1910."), k))
-    made = made.when(five == 3, F.concat(F.lit("OSHA "), (F.col("doc_id") + 3000).cast("string"), F.lit(" (pp. 4-6)"))).otherwise(F.concat(F.lit("OSHA FS-"), F.upper("lang"), k, F.lit(" (p. 1)")))
-    return parquet(spark, sf_dir, "documents").select("doc_id", "lang", "text", made.alias("cited"))
+def _root(number: str) -> str:
+    return f"'29 CFR ' || regexp_replace({number}, '(?:\\([0-9a-zA-Z]+\\))+$', '')"
 
 
-@query(f"""WITH c AS (SELECT doc_id, {_WRITTEN} AS s FROM documents) SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '29 CFR 1910.' || doc_id WHEN 1 THEN '29 CFR 1926.' || doc_id WHEN 2 THEN '29 CFR 1910.' || doc_id
-    ELSE 'OSHA ' || upper(regexp_extract(s, '(?i)\\bOSHA[- ]([A-Z0-9\\-]{{2,20}})', 1)) END AS root FROM c""")
+def _written(spark, sf_dir, expression):
+    return parquet(spark, sf_dir, "documents").select("doc_id", F.expr(expression).alias("cited"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, {_WRITTEN} AS s FROM documents)
+    SELECT doc_id, CASE WHEN regexp_matches(s, {_regex(C.CFR)}) THEN {_root(f"regexp_extract(s, {_regex(C.CFR)}, 1)")} WHEN regexp_matches(s, {_regex(C.BARE)}) THEN {_root(f"regexp_extract(s, {_regex(C.BARE)}, 1)")}
+    WHEN regexp_matches(s, {_regex(C.DOCUMENT)}) THEN 'OSHA ' || upper(regexp_extract(s, {_regex(C.DOCUMENT)}, 1)) WHEN regexp_matches(s, {_regex(C.NUMBER)}) THEN {_root(f"regexp_extract(s, {_regex(C.NUMBER)}, 1)")} ELSE trim(s) END AS root FROM c""")
 def citation_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _written(spark, sf_dir).select("doc_id", C.normalise(F.col("cited")).alias("root"))
+    return _written(spark, sf_dir, _WRITTEN).select("doc_id", C.normalise(F.col("cited")).alias("root"))
+
+
+def _numbered(pattern: str) -> str:
+    return f"SELECT doc_id, {_root('n')} AS root, array_to_string(regexp_extract_all(regexp_extract(n, '((?:\\([0-9a-zA-Z]+\\))*)$', 1), '\\(([0-9a-zA-Z]+)\\)', 1), ',') AS subsections, NULL::INTEGER AS page_lo, NULL::INTEGER AS page_hi FROM (SELECT doc_id, unnest(regexp_extract_all(s, {_regex(pattern)}, 1)) AS n FROM c)"
 
 
-@query(f"""WITH c AS (SELECT doc_id, {_WRITTEN} AS s FROM documents) SELECT doc_id,
-    CASE doc_id % 5 WHEN 0 THEN '29 CFR 1910.' || doc_id WHEN 1 THEN '29 CFR 1926.' || doc_id ELSE 'OSHA ' || regexp_extract(s, 'OSHA ([A-Z0-9-]+)', 1) END AS root,
-    CASE doc_id % 5 WHEN 0 THEN 'b,1' WHEN 1 THEN 'd,2,ii' ELSE '' END AS subsections,
-    CASE doc_id % 5 WHEN 3 THEN 4 WHEN 4 THEN 1 END AS page_lo, CASE doc_id % 5 WHEN 3 THEN 6 WHEN 4 THEN 1 END AS page_hi FROM c WHERE doc_id % 5 <> 2""")
+@query(f"""WITH c AS (SELECT doc_id, {_CITING} AS s FROM documents),
+    p AS (SELECT doc_id, d, nullif(regexp_extract(r, {_regex(C.DOCUMENT)}, 2), '')::INTEGER AS lo, nullif(regexp_extract(r, {_regex(C.DOCUMENT)}, 3), '')::INTEGER AS hi
+          FROM (SELECT doc_id, r, regexp_extract(r, {_regex(C.DOCUMENT)}, 1) AS d FROM (SELECT doc_id, unnest(regexp_extract_all(s, {_regex(C.DOCUMENT)}, 0)) AS r FROM c)) WHERE regexp_matches(d, '[0-9]') OR NOT regexp_matches(d, '[a-z]'))
+    SELECT DISTINCT * FROM ({_numbered(C.CFR)} UNION ALL {_numbered(C.BARE)} UNION ALL SELECT doc_id, 'OSHA ' || upper(d), '', lo, coalesce(hi, lo) FROM p)""")
 def citation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = _written(spark, sf_dir).select("doc_id", F.explode(C.parse(F.concat(F.lit("see "), "cited", F.lit(", an OSHA question; again "), "cited"))).alias("r"))
+    refs = _written(spark, sf_dir, _CITING).select("doc_id", F.explode(C.parse(F.col("cited"))).alias("r"))
     return refs.select("doc_id", "r.root", F.array_join("r.subsections", ",").alias("subsections"), "r.page_lo", "r.page_hi")
 
 
-@query(f"""WITH c AS (SELECT doc_id, {_WRITTEN} AS s FROM documents) SELECT doc_id, 'as ' || CASE WHEN doc_id % 5 IN (1, 2) THEN '[' || s || ']'
-    ELSE '[' || s || '](#cite:' || replace(replace(replace(url_encode(s), '+', '%20'), '%28', '('), '%29', ')') || ')' END || ' says.' AS linked FROM c""")
+@query(f"""WITH c AS (SELECT doc_id, {_CITING} AS s FROM documents),
+    g AS (SELECT doc_id, string_split_regex(s, {_regex(C.BRACKETED.replace("(29", "(?:29"))}) AS gaps, list_transform(regexp_extract_all(s, {_regex(C.BRACKETED)}, 1), lambda x: '[' || x || '](#cite:' || replace(replace(replace(url_encode(x), '+', '%20'), '%28', '('), '%29', ')') || ')') AS links FROM c)
+    SELECT doc_id, array_to_string(flatten(list_transform(range(1, len(gaps) + 1), lambda i: [gaps[i], coalesce(links[i], '')])), '') AS linked FROM g""")
 def citation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _written(spark, sf_dir).select("doc_id", C.linked(F.concat(F.lit("as ["), "cited", F.lit("] says."))).alias("linked"))
+    return _written(spark, sf_dir, _CITING).select("doc_id", C.linked(F.col("cited")).alias("linked"))
 
 
 @query(r"SELECT doc_id, regexp_matches('x (' || lang || ') of (1) ' || text, '(?is)\(\s*' || 'en' || '\s*\).*\(\s*1\s*\)') AS chained FROM documents")
@@ -116,13 +151,12 @@ def citation_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "documents").select("doc_id", C.chain_exists(text, F.array(F.lit("en"), F.lit("1"))).alias("chained"))
 
 
-@query("""WITH p AS (SELECT doc_id, doc_id % 7 AS lo, doc_id % 7 + doc_id % 3 AS hi FROM documents)
-    SELECT doc_id, lo::INTEGER AS lo, hi::INTEGER AS hi, NOT (hi < 3 OR lo > 5) AS overlaps FROM p""")
+@query(f"""WITH p AS (SELECT doc_id, nullif(regexp_extract(s, {_regex(C.DOCUMENT)}, 2), '')::INTEGER AS lo, nullif(regexp_extract(s, {_regex(C.DOCUMENT)}, 3), '')::INTEGER AS hi FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_WRITTEN} ELSE {_ALSO} END AS s FROM documents))
+    SELECT doc_id, lo, coalesce(hi, lo) AS hi, NOT (coalesce(hi, lo) < 3 OR lo > 5) AS overlaps FROM p""")
 def citation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lo = F.col("doc_id") % 7
-    label = F.concat(F.lit("OSHA 3151 (pp. "), lo, F.lit("-"), lo + F.col("doc_id") % 3, F.lit(")"))
-    first, last = C.pages(label)
-    return parquet(spark, sf_dir, "documents").select("doc_id", first.alias("lo"), last.alias("hi"), (~((last < 3) | (first > 5))).alias("overlaps"))
+    ids = _written(spark, sf_dir, f"CASE WHEN doc_id % 2 = 0 THEN {_WRITTEN} ELSE {_ALSO} END")
+    first, last = C.pages(F.col("cited"))
+    return ids.select("doc_id", first.alias("lo"), last.alias("hi"), (~((last < 3) | (first > 5))).alias("overlaps"))
 
 
 @query("""SELECT doc_id AS aid, CASE WHEN lang = 'es' THEN 'section_not_in_context' WHEN lang = 'de' AND NOT regexp_matches(text, '(?is)\\(\\s*b\\s*\\)') THEN 'subsection (b) not found in cited section' ELSE '' END AS reason,
@@ -196,9 +230,10 @@ def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.corpus_manifest(_sections(spark, sf_dir), "corpus")
 
 
-@query("""SELECT lang AS part, count(*) AS sections, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang ORDER BY lang""")
+@query(f"""SELECT lang AS part, count(*) AS sections, count(*) AS chunks, sum({_TOKENS})::BIGINT AS tokens FROM documents GROUP BY lang""")
 def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sections(spark, sf_dir).groupBy("part").agg(F.count("*").alias("sections"), F.sum(F.length("text")).alias("chars")).orderBy("part")
+    sections = _sections(spark, sf_dir)
+    return tables.ingest_stats(sections, sections, T.count_tokens)
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL")

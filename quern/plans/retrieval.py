@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import chunking, evaluation, retrieval
+from quern.plans.corpus import count_of, sentences_of
 from quern.plans.registry import query
-from quern.sources.tables import parquet
+from quern.sources.tables import parquet, work_dir
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 
@@ -23,21 +26,21 @@ BM25 = f"""
     df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
     st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM dw),
     qt AS (SELECT DISTINCT item_id AS qid, t FROM (SELECT item_id, unnest({words("text")}) AS t FROM benchmark)),
-    bs AS (SELECT qid, doc_id AS id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.5::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS sparse_score
+    bs AS (SELECT qid, doc_id AS id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.5::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
            FROM qt JOIN tf USING (t) JOIN df USING (t), st GROUP BY qid, doc_id),
-    bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sparse_score DESC, id) AS sparse_rank FROM bs) WHERE sparse_rank <= 30)"""
+    bm AS (SELECT qid, id, round(score, 6) AS sparse_score, sparse_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 10) DESC, id) AS sparse_rank FROM bs) WHERE sparse_rank <= 30)"""
 
 
 def dense(queries: str) -> str:
     return f"""
-    ds AS (SELECT q.vec_id AS qid, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS dense_score FROM ({queries}) q, embeddings v),
-    dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense_score DESC, id) AS dense_rank FROM ds) WHERE dense_rank <= 30)"""
+    ds AS (SELECT q.vec_id AS qid, v.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM ({queries}) q, embeddings v),
+    dn AS (SELECT qid, id, round(score, 6) AS dense_score, dense_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 10) DESC, id) AS dense_rank FROM ds) WHERE dense_rank <= 30)"""
 
 
 ITEMS = "SELECT e.* FROM embeddings e JOIN benchmark b ON b.item_id = e.vec_id"
 FUSED = f"""{BM25}, {dense(ITEMS)},
     fu AS (SELECT coalesce(d.qid, s.qid) AS qid, coalesce(d.id, s.id) AS id, dense_score, dense_rank, sparse_score, sparse_rank,
-                  round(coalesce(0.65::DOUBLE / (60 + dense_rank), 0) + coalesce(0.35::DOUBLE / (60 + sparse_rank), 0), 6) AS rrf
+                  coalesce(0.65::DOUBLE / (60 + dense_rank), 0) + coalesce(0.35::DOUBLE / (60 + sparse_rank), 0) AS rrf
            FROM dn d FULL JOIN bm s ON d.qid = s.qid AND d.id = s.id),
     ok AS (SELECT fu.* FROM fu SEMI JOIN documents ON documents.doc_id = fu.id)"""
 
@@ -46,8 +49,22 @@ def _asked(spark, sf_dir):
     return parquet(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
+#: Where the indexes of this process's sessions lie.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, sf_dir):
+    """The BM25 tables of the documents, written by the session's first query that asks for them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = f"{work_dir(spark)}/bm25-{uuid.uuid4().hex}"
+        retrieval.write_bm25(parquet(spark, sf_dir, "documents"), path)
+        _INDEXES[key] = path
+    return retrieval.load_bm25(spark, _INDEXES[key])
+
+
 def _bm25(spark, sf_dir, k=30):
-    return retrieval.bm25_topk(parquet(spark, sf_dir, "documents"), _asked(spark, sf_dir), k)
+    return retrieval.bm25_search(_index(spark, sf_dir), _asked(spark, sf_dir), k)
 
 
 def _dense(spark, sf_dir, k=30):
@@ -72,10 +89,10 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense_topk(vectors, vectors.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), 30)
 
 
-@query("SELECT d.doc_id, e.vec_id IS NOT NULL AS found, e.label FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
+@query("SELECT d.doc_id, e.vec_id IS NOT NULL AS found, e.label, md5(array_to_string(list_transform(e.embedding, lambda x: round(x::DOUBLE * 1e6)::BIGINT), ',')) AS vector FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
 def vector_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids, vectors = parquet(spark, sf_dir, "documents").select("doc_id"), parquet(spark, sf_dir, "embeddings")
-    return ids.join(vectors, F.col("doc_id") == F.col("vec_id"), "left").select("doc_id", F.col("vec_id").isNotNull().alias("found"), "label")
+    return ids.join(vectors, F.col("doc_id") == F.col("vec_id"), "left").select("doc_id", F.col("vec_id").isNotNull().alias("found"), "label", F.md5(F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1e6).cast("long").cast("string")), ",")).alias("vector"))
 
 
 @query("""SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS before,
@@ -85,14 +102,14 @@ def l2_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "embeddings").select("vec_id", norm(F.col("embedding")).alias("before"), norm(T.l2_normalise(F.col("embedding"))).alias("after"))
 
 
-@query(f"WITH {FUSED} SELECT qid, id, dense_score, dense_rank, sparse_score, sparse_rank, rrf FROM ok")
+@query(f"WITH {FUSED} SELECT qid, id, dense_score, dense_rank, sparse_score, sparse_rank, round(rrf, 6) AS rrf FROM ok")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(spark, sf_dir).select("qid", "id", "dense_score", "dense_rank", "sparse_score", "sparse_rank", "rrf")
+    return _fused(spark, sf_dir).select("qid", "id", "dense_score", "dense_rank", "sparse_score", "sparse_rank", F.round("rrf", 6).alias("rrf"))
 
 
 #: The exact hit of a question is the document of its number.
 _BOOSTED = f"""{FUSED}, bo AS (SELECT *, qid = id AS exact, rrf + CASE WHEN qid = id THEN 1.0 ELSE 0.0 END AS score FROM ok),
-    od AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST, id) AS pos FROM bo)"""
+    od AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 10) DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST, id) AS pos FROM bo)"""
 
 
 def _ordered(spark, sf_dir):
@@ -125,7 +142,15 @@ def pool_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir).select("qid", "id", F.round(retrieval.min_max("rrf"), 6).alias("relevance"))
 
 
-@query()
+_UNIT = "list_transform(e.embedding::DOUBLE[], lambda x: x / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) + 1e-12))"
+
+
+@query(f"""WITH {_SECTIONED}, n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos) AS i, count(*) OVER (PARTITION BY qid) AS n FROM se WHERE pos <= 24),
+    p AS (SELECT qid, list(id ORDER BY i) AS ids, list(section ORDER BY i) AS secs, list(1 - (pos - 1) / greatest(n - 1, 1) ORDER BY i) AS rel, list({_UNIT} ORDER BY i) AS v, max(n) AS n FROM n LEFT JOIN embeddings e ON e.vec_id = id GROUP BY qid),
+    t AS (SELECT *, list_reduce(list_transform(range(7), lambda x: []::BIGINT[]), lambda s, x: list_concat(s, coalesce([list_aggregate(list_transform(list_filter(range(1, n + 1), lambda i: v[i] IS NOT NULL AND NOT list_contains(s, i) AND len(list_filter(s, lambda u: secs[u] = secs[i])) < 2),
+             lambda i: {{'w': CASE WHEN len(s) = 0 THEN rel[i] ELSE 0.7::DOUBLE * rel[i] - 0.3::DOUBLE * list_max(list_transform(s, lambda u: list_dot_product(v[i], v[u]))) END, 'b': -i}}), 'max')], []::STRUCT(w DOUBLE, b BIGINT)[]).list_filter(lambda x: x IS NOT NULL).list_transform(lambda x: -x.b))) AS taken FROM p),
+    f AS (SELECT qid, ids, list_concat(taken, list_slice(list_filter(range(1, n + 1), lambda i: NOT list_contains(taken, i)), 1, greatest(6 - len(taken), 0))) AS c FROM t)
+    SELECT qid, unnest(list_transform(c, lambda i: ids[i])) AS id, unnest(range(1, len(c) + 1))::INTEGER AS place FROM f""")
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six diverse documents a question out of the first 24, at most two of a source."""
     vectors = parquet(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
@@ -143,15 +168,18 @@ def parent_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir).select("qid", "id", F.col("pos").alias("rank"), F.round("rrf", 6).alias("rrf"), F.length("parent_text").alias("parent_chars"), "excerpt")
 
 
-@query(f"""WITH {_BOOSTED} SELECT od.qid, od.id, pos, round(sigmoid, 6) AS coverage FROM (
-    SELECT od.qid, od.id, pos, CASE WHEN len(list_distinct({words("b.text")})) > 0 THEN len(list_intersect(list_distinct({words("b.text")}), {words("left(d.text, 400)")})) / len(list_distinct({words("b.text")})) ELSE 0 END AS sigmoid
-    FROM od JOIN documents d ON doc_id = id JOIN benchmark b ON item_id = qid WHERE pos <= 24) od""")
+def _coverage(question: str, text: str) -> str:
+    return f"CASE WHEN len(list_distinct({words(question)})) > 0 THEN len(list_intersect(list_distinct({words(question)}), {words(text)})) / len(list_distinct({words(question)})) ELSE 0 END"
+
+
+@query(f"""WITH {_BOOSTED}, sc AS (SELECT od.*, CASE WHEN pos <= 24 THEN {_coverage("b.text", "left(d.text, 400)")} END AS coverage FROM od JOIN documents d ON doc_id = id JOIN benchmark b ON item_id = qid)
+    SELECT qid, id, round(coverage, 6) AS rerank_score, row_number() OVER (PARTITION BY qid ORDER BY round(CASE WHEN exact THEN 1e6 ELSE 0 END + coalesce(coverage, -1e9) + 10 * score, 8) DESC, pos) AS pos FROM sc""")
 def rerank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The offline scorer on the pool: coverage of the question's words by the first 400 characters."""
+    """The pool scored offline (coverage of the question's words by the first 400 characters), and all candidates in the new order."""
     docs = parquet(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 400).alias("head"))
-    pool = _ordered(spark, sf_dir).filter("pos <= 24").join(docs, "id").join(_asked(spark, sf_dir), "qid")
+    found = _ordered(spark, sf_dir).join(docs, "id").join(_asked(spark, sf_dir), "qid")
     score = T.overlap(T.content_words(F.col("text")), T.content_words(F.col("head")))
-    return pool.select("qid", "id", "pos", F.round(score, 6).alias("coverage"))
+    return retrieval.rerank(found, score, 24).select("qid", "id", F.round("rerank_score", 6).alias("rerank_score"), "pos")
 
 
 _EVIDENCE = f"""{_BOOSTED}, top AS (SELECT od.*, d.text FROM od JOIN documents d ON doc_id = id WHERE pos <= 6),
@@ -181,13 +209,34 @@ def grounding_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.guard(_evidence(spark, sf_dir)).select("qid", "grounding", "refused", "reason")
 
 
-@query()
+def _packed(body: str, room: str) -> str:
+    """What ``chunking.pack`` gives, as nested folds."""
+    each = lambda lines, x: f"list_transform({lines}, lambda {x}: {{'kept': [{x}], 'left': {count_of(x)}::BIGINT, 'done': false}})"
+    more = lambda h, p: f"{{'kept': list_concat({h}.kept, {p}.kept), 'left': {h}.left - {p}.left, 'done': false}}"
+    cut = f"CASE WHEN len(g.kept) = 0 AND g.left = {room} THEN [left(q.kept[1], floor(length(q.kept[1]) * {room} / q.left)::BIGINT) || ' [...]'] ELSE g.kept END"
+    inner = f"list_reduce(list_prepend(h, {each(sentences_of('p.kept[1]'), 'y')}), lambda g, q: CASE WHEN g.done THEN g WHEN q.left <= g.left THEN {more('g', 'q')} ELSE {{'kept': {cut}, 'left': g.left, 'done': true}} END)"
+    zero = f"{{'kept': []::VARCHAR[], 'left': {room}::BIGINT, 'done': false}}"
+    fold = f"list_reduce(list_prepend({zero}, {each(f'string_split({body}, chr(10))', 'x')}), lambda h, p: CASE WHEN h.done THEN h WHEN p.left <= h.left THEN {more('h', 'p')} ELSE {{'kept': ({inner}).kept, 'left': h.left, 'done': true}} END)"
+    return f"CASE WHEN {count_of(body)} <= {room} THEN {{'text': {body}, 'cut': false}} ELSE {{'text': array_to_string(({fold}).kept, chr(10)), 'cut': true}} END"
+
+
+_ITEM = "STRUCT(id VARCHAR, text VARCHAR, block VARCHAR)[]"
+
+
+@query(f"""WITH {_BOOSTED},
+    h AS (SELECT od.qid, list({{'out': [{{'id': od.id::VARCHAR, 'text': d.text, 'block': '### [' || od.id || '] ' || d.lang || chr(10) || '(path: ' || d.source || '; source: ' || d.source || ')' || chr(10)}}], 'left': 0::BIGINT, 'done': false}} ORDER BY pos) AS hits
+          FROM od JOIN documents d ON doc_id = od.id WHERE pos <= 6 GROUP BY od.qid),
+    f AS (SELECT qid, list_reduce(list_prepend({{'out': []::{_ITEM}, 'left': 2400::BIGINT, 'done': false}}, hits), lambda a, b: CASE WHEN a.done OR a.left - {count_of("b.out[1].block")} < 60 THEN {{'out': a.out, 'left': a.left, 'done': true}}
+          ELSE list_transform(list_transform([a.left - {count_of("b.out[1].block")}], lambda r: {_packed("b.out[1].text", "r")}), lambda z: list_transform([b.out[1].block || z.text || CASE WHEN z.cut THEN chr(10) || '[...remainder of this section omitted to fit the context budget...]' ELSE '' END],
+               lambda blk: {{'out': list_append(a.out, {{'id': b.out[1].id, 'text': z.text, 'block': blk}}), 'left': a.left - {count_of("blk")}, 'done': false}})[1])[1] END).out AS o FROM h)
+    SELECT qid, md5(array_to_string(list_transform(o, lambda x: x.block), chr(10) || chr(10) || '---' || chr(10) || chr(10))) AS context, array_to_string(list_transform(o, lambda x: x.id), ',') AS included,
+           length(array_to_string(list_transform(o, lambda x: x.block), chr(10) || chr(10) || '---' || chr(10) || chr(10))) AS chars FROM f""")
 def pack_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The context of every question, packed under the token budget."""
     hits = _hits(spark, sf_dir).join(parquet(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source"), "id")
     rows = hits.select("qid", F.col("pos").alias("place"), F.col("id").cast("string").alias("section"), F.col("lang").alias("heading"), F.col("source").alias("path"), "source", F.col("parent_text").alias("body"))
     out = chunking.assemble(rows)
-    return out.select("qid", "context", "included", F.length("context").alias("chars"))
+    return out.select("qid", F.md5("context").alias("context"), F.array_join("included", ",").alias("included"), F.length("context").alias("chars"))
 
 
 def _relevant(spark, sf_dir):

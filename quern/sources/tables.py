@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,19 @@ from pyspark.sql import functions as F
 from quern import schemas
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder for written tables that driver and executors share: ``spark.checkpoint.dir``; a local one only where Spark is one process."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = tempfile.mkdtemp(prefix="quern-")
+    spark.sparkContext.setCheckpointDir(path)
+    return path
+
+
 def parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -56,12 +70,42 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).filter(F.substring("content", 1, 4) == F.lit(b"%PDF"))
 
 
-def manifest(spark: SparkSession, path: str) -> dict:
-    """A manifest; empty if it is missing or no JSON."""
+def publications(spark: SparkSession, path: str) -> DataFrame:
+    """The publications' manifest ``slug, title, url, kind``: a YAML file with the list ``documents`` (a small file, read on the driver)."""
+    import yaml
+
+    raw = yaml.safe_load("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())) or {}
+    return spark.createDataFrame([tuple(x.get(c) for c in ("slug", "title", "url", "kind")) for x in raw.get("documents") or []], schemas.PUBLICATION)
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    """A JSON object; empty if it is missing or no JSON."""
     try:
-        return json.loads(spark.read.text(path, wholetext=True).first()[0])
+        found = json.loads(spark.read.text(path, wholetext=True).first()[0])
     except Exception:  # missing and broken files count alike, whatever store they are in
         return {}
+    return found if isinstance(found, dict) else {}
+
+
+def write_json(spark: SparkSession, path: str, value: dict) -> None:
+    """One small JSON file, replaced as a whole."""
+    spark.createDataFrame([(json.dumps(value, indent=2, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def version(manifest: dict) -> str:
+    return manifest.get("corpus_version", "unknown")
+
+
+def file_hashes(files: DataFrame) -> DataFrame:
+    """``path, sha256`` of ``files (path, content)``."""
+    return files.select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def ingest_stats(sections_: DataFrame, chunks_: DataFrame, count) -> DataFrame:
+    """``part, sections, chunks, tokens``: by part; tokens are those of the chunks."""
+    own = sections_.groupBy("part").agg(F.count("*").alias("sections"))
+    cut = chunks_.groupBy("part").agg(F.count("*").alias("chunks"), F.sum(count(F.col("text"))).cast("long").alias("tokens"))
+    return own.join(cut, "part", "left").select("part", "sections", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
 
 
 def write(df: DataFrame, path: str, form: str = "parquet") -> None:
@@ -75,7 +119,11 @@ def corpus_manifest(sections_: DataFrame, date: str) -> DataFrame:
     return inner.agg(F.concat(F.lit(f"{date}-"), F.substring(F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "")), 1, 8)).alias("version"), F.sum("n").alias("n_sections"))
 
 
+def content_hash():
+    return F.sha1(F.concat("chunk_id", F.coalesce("text", F.lit(""))))
+
+
 def changed(old: DataFrame, new: DataFrame) -> DataFrame:
     """Chunks of ``new (chunk_id, text)`` whose content hash ``old (chunk_id, hash)`` does not hold: those to embed."""
-    hashed = new.withColumn("hash", F.sha1(F.concat("chunk_id", "text")))
+    hashed = new.withColumn("hash", content_hash())
     return hashed.join(old.select("chunk_id", "hash"), ["chunk_id", "hash"], "left_anti")
