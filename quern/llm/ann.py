@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import Scratch
-from quern.llm.vectors import Quantised, blocks, clean, exact, how_many, products, unpack
+from quern.llm.vectors import Quantised, blocks, clean, exact, how_many, kind_of, products, unpack
 
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -68,6 +68,7 @@ def tile(qids: np.ndarray, qs: np.ndarray, cids: np.ndarray, cs: np.ndarray, k:
 
 def nearest(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 8192) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest rows of each row with ``is_query`` by inner product."""
+    kind = kind_of(vectors, vector_col)
     rows = scratch.save(clean(vectors, id_col, vector_col).distinct())
     asked = scratch.save(clean(vectors.filter(is_query), id_col, vector_col).distinct())
     n, m = rows.count(), asked.count()
@@ -83,7 +84,7 @@ def nearest(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int = 20,
         for batch in batches:
             for x in range(batch.num_rows):
                 dim, *raw = (batch.column(c)[x].as_py() for c in range(5))
-                (qids, qs), (cids, cs) = unpack(raw[0], raw[1], dim), unpack(raw[2], raw[3], dim)
+                (qids, qs, _), (cids, cs, _) = unpack(raw[0], raw[1], dim, kind), unpack(raw[2], raw[3], dim, kind)
                 found = tile(qids, qs, cids, cs, k)
                 q, c, s = zip(*found) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], schema=_OUT)

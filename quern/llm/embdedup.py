@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import Scratch
 from quern.llm.components import components
-from quern.llm.vectors import Quantised, blocks, clean, exact, how_many, products, unpack
+from quern.llm.vectors import Quantised, blocks, clean, exact, how_many, kind_of, products, unpack
 
 
 def forest(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -79,6 +79,7 @@ def tile(x: np.ndarray, wx: np.ndarray, y: np.ndarray | None, wy: np.ndarray | N
 
 def link(vectors: DataFrame, scratch: Scratch, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 8192) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row."""
+    kind = kind_of(vectors, vector_col)
     cleaned = scratch.save(clean(vectors, id_col, vector_col))
     groups = scratch.save(cleaned.groupBy("dim", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     number = how_many(groups.count(), block_rows, 8)
@@ -92,9 +93,8 @@ def link(vectors: DataFrame, scratch: Scratch, least: float = 0.9, id_col: str =
         dim = table["dim"][0].as_py()
         parts = []
         for own, ids, raw in sorted(zip(table["block"].to_pylist(), table["ids"].to_pylist(), table["rows"].to_pylist())):
-            ids, wide = unpack(ids, raw, dim + 1)
-            copies = np.ascontiguousarray(wide[:, dim]).view(">i8").astype(np.int64)
-            parts.append((ids, np.ascontiguousarray(wide[:, :dim]), copies))
+            ids, x, copies = unpack(ids, raw, dim, kind, behind=8)
+            parts.append((ids, x, np.ascontiguousarray(copies).view(">i8")[:, 0].astype(np.int64)))
         if len(parts) == 1 and table["lo"][0].as_py() != table["hi"][0].as_py():
             parts = []  # the other block is empty
         names = [("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())]
