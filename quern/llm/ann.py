@@ -10,7 +10,8 @@ Ties go to the smaller id. A query is never its own neighbour; with fewer candid
 than k all are returned; a query that takes no part (null, zero or non-finite vector)
 has no rows. Of rows that repeat an id, a query's nearest one counts and the others take
 no place: rows that repeat the vector too are made one first, and heaps and bounds count
-ids.
+ids. Of equal vectors only the k + 1 with the smallest ids are candidates: the others have
+k nearer ones for any query, since ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -28,6 +29,20 @@ from quern.llm.vectors import Quantised, blocks, clean, exact, how_many, kind_of
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
+def first_of(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of a query and a candidate with their scores, each query's k nearest different candidates."""
+    order = np.lexsort((-s, c, q))
+    q, c, s = q[order], c[order], s[order]
+    once = np.ones(len(q), bool)
+    once[1:] = (q[1:] != q[:-1]) | (c[1:] != c[:-1])
+    q, c, s = q[once], c[once], s[once]
+    order = np.lexsort((c, -s, q))
+    q, c, s = q[order], c[order], s[order]
+    ahead = np.zeros(len(q), bool)  # k places further up is the same query: k of its candidates are nearer
+    ahead[k:] = q[k:] == q[:-k]
+    return q[~ahead], c[~ahead], s[~ahead]
+
+
 def tile(qids: np.ndarray, qs: np.ndarray, cids: np.ndarray, cs: np.ndarray, k: int, step: int = 4096) -> list[tuple[int, int, float]]:
     """(query, candidate, score) of the k nearest candidates of each query."""
     a = Quantised.of(qs)
@@ -50,7 +65,7 @@ def tile(qids: np.ndarray, qs: np.ndarray, cids: np.ndarray, cs: np.ndarray, k:
             if len(first) > k:
                 floor = np.maximum(floor, np.partition(low, len(first) - k, axis=1)[:, len(first) - k])
             i, j = np.nonzero((dot + bound >= floor[:, None]) & ~same)
-            for q, c, s in zip((i + lo).tolist(), own[j].tolist(), exact(qs, i + lo, b.x, j).tolist()):
+            for q, c, s in zip(*(part.tolist() for part in first_of(i + lo, own[j], exact(qs, i + lo, b.x, j), k))):
                 heap, ids, item = best[q], held[q], (s, -c)
                 if c in ids:
                     if s > ids[c]:
@@ -69,7 +84,8 @@ def tile(qids: np.ndarray, qs: np.ndarray, cids: np.ndarray, cs: np.ndarray, k:
 def nearest(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 8192) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest rows of each row with ``is_query`` by inner product."""
     kind = kind_of(vectors, vector_col)
-    rows = scratch.save(clean(vectors, id_col, vector_col).distinct())
+    same = Window.partitionBy("dim", "vec").orderBy("id")
+    rows = scratch.save(clean(vectors, id_col, vector_col).distinct().withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1).drop("n"))
     asked = scratch.save(clean(vectors.filter(is_query), id_col, vector_col).distinct())
     n, m = rows.count(), asked.count()
     cols = how_many(n, block_rows, 24)

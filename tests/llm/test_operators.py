@@ -224,8 +224,8 @@ def test_components_of_a_chain_and_a_star(spark):
 # --- vectors
 
 
-def vectors(spark, rows):
-    return spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int")
+def vectors(spark, rows, kind="float"):
+    return spark.createDataFrame([(i, v, 0) for i, v in rows], f"vec_id long, embedding array<{kind}>, label int")
 
 
 @pytest.fixture(scope="module")
@@ -280,6 +280,42 @@ def test_neighbours_of_repeated_ids(spark, cloud):
     assert [r["vec_id"] for r in got] == sorted(best, key=lambda i: -best[i])[:20] and np.isclose(got[0]["score"], best[100])
 
 
+def test_neighbours_among_many_equal_and_near_vectors(spark, cloud):
+    rng = np.random.default_rng(5)
+    near = cloud[0] + 1e-3 * rng.normal(size=(400, 16)).astype(np.float32)
+    x = np.concatenate([np.repeat(cloud[:1], 400, 0), near, cloud[:50]]).astype(float)
+    ids = rng.permutation(len(x))
+    frame = vectors(spark, [(int(i), v.tolist()) for i, v in zip(ids, x)])
+    got = ann.nearest(frame, F.col("vec_id") % 50 == 0, Scratch(spark, "t"), block_rows=256).collect()
+    x = x[np.argsort(ids)].astype(np.float32).astype(float)
+    for q in range(0, len(x), 50):
+        score = np.array([sum(a * b for a, b in zip(v, x[q])) for v in x])
+        want = [i for i in np.lexsort((np.arange(len(x)), -score)) if i != q][:20]
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
+def test_first_of_each_query():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 5, 300):
+        q, c, s = rng.integers(0, 9, n), rng.integers(0, 30, n), rng.integers(0, 12, n) / 4
+        best = {}
+        for a, b, v in zip(q.tolist(), c.tolist(), s.tolist()):
+            best[a, b] = max(v, best.get((a, b), -1))
+        want = [(a, b, v) for x in range(9) for a, b, v in sorted(((a, b, v) for (a, b), v in best.items() if a == x), key=lambda r: (-r[2], r[1]))[:4]]
+        assert list(zip(*(part.tolist() for part in ann.first_of(q, c, s, 4)))) == want
+
+
+def test_double_components_are_not_rounded(spark):
+    x = np.random.default_rng(7).normal(size=(60, 16))
+    x[30:] = x[:30] * (1 + 1e-9 * np.arange(1, 31))[:, None]  # equal as floats
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = ann.nearest(vectors(spark, rows, "double"), F.col("vec_id") == 59, Scratch(spark, "t")).orderBy("rank").collect()
+    score = x @ x[59]
+    assert [r["vec_id"] for r in got] == [i for i in np.argsort(-score) if i != 59][:20] and np.allclose([r["score"] for r in got], np.sort(np.delete(score, 59))[::-1][:20], rtol=1e-14)
+    links = embdedup.link(vectors(spark, rows, "double"), Scratch(spark, "t")).collect()
+    assert {r["component_id"] for r in links} == set(range(30)) and all(r["n_links"] == 1 for r in links)
+
+
 # --- PII
 
 
