@@ -122,7 +122,7 @@ class Engine:
             return found.withColumn("rerank_score", F.lit(None).cast("double")).withColumn("rerank_best", F.lit(None).cast("double"))
         score = self.models.scorer.score(F.col("query"), F.substring("chunk", 1, 400))
         scored = retrieval.rerank(found.join(asked.select("qid", F.col("text").alias("query")), "qid"), score, max(s.rerank_top_n, s.final_top_k))
-        return scored.withColumn("rerank_best", F.max("rerank_score").over(retrieval.Window.partitionBy("qid")))
+        return scored.withColumn("rerank_best", retrieval.pool_best())
 
     def search(self, asked: DataFrame, top_k: int | None = None, rerank: bool | None = None, **override) -> DataFrame:
         """Hits ``qid, rank, section, id, heading, parent_path, source, part, url, chunk, final_score, rrf, rerank_score, dense_score, sparse_score, exact, parent_text, excerpt``."""
@@ -139,9 +139,8 @@ class Engine:
             found = retrieval.section_cap(found, s.max_children_per_section, max(3 * s.final_top_k, 24)).filter(F.col("place") <= s.final_top_k)
         sections = self._read("sections").select(F.col("section_id").alias("section"), F.col("text").alias("parent_text"))
         joined = found.join(sections, "section", "left").withColumn("parent_text", F.coalesce("parent_text", F.lit("")))
-        final = F.round(F.coalesce("rerank_score", F.col("rrf") * 10), 4)
         text = F.when(F.col("parent_text") != "", F.col("parent_text")).otherwise(F.col("chunk"))
-        return joined.select("qid", F.col("place").alias("rank"), "section", "id", "heading", "parent_path", "source", "part", "url", "chunk", final.alias("final_score"), F.round("rrf", 6).alias("rrf"), F.round("rerank_score", 4).alias("rerank_score"), "dense_score", "sparse_score", "exact", "parent_text", F.substring(text, 1, 1600).alias("excerpt"), "rerank_best")
+        return joined.select("qid", F.col("place").alias("rank"), "section", "id", "heading", "parent_path", "source", "part", "url", "chunk", retrieval.final_score().alias("final_score"), F.round("rrf", 6).alias("rrf"), F.round("rerank_score", 4).alias("rerank_score"), "dense_score", "sparse_score", "exact", "parent_text", F.substring(text, 1, 1600).alias("excerpt"), "rerank_best")
 
     def retrieve(self, asked: DataFrame, **override) -> DataFrame:
         """One row a question: ``qid, query, overlap, grounding, exact, rerank_best, refused, reason, context, included, texts, hits``."""

@@ -118,9 +118,14 @@ def _written(spark, sf_dir, expression):
     return parquet(spark, sf_dir, "documents").select("doc_id", F.expr(expression).alias("cited"))
 
 
-@query(f"""WITH c AS (SELECT doc_id, {_WRITTEN} AS s FROM documents)
-    SELECT doc_id, CASE WHEN regexp_matches(s, {_regex(C.CFR)}) THEN {_root(f"regexp_extract(s, {_regex(C.CFR)}, 1)")} WHEN regexp_matches(s, {_regex(C.BARE)}) THEN {_root(f"regexp_extract(s, {_regex(C.BARE)}, 1)")}
-    WHEN regexp_matches(s, {_regex(C.DOCUMENT)}) THEN 'OSHA ' || upper(regexp_extract(s, {_regex(C.DOCUMENT)}, 1)) WHEN regexp_matches(s, {_regex(C.NUMBER)}) THEN {_root(f"regexp_extract(s, {_regex(C.NUMBER)}, 1)")} ELSE trim(s) END AS root FROM c""")
+def normal(s: str) -> str:
+    """What ``citations.normalise`` gives, in SQL."""
+    part = lambda p: f"regexp_extract({s}, {_regex(p)}, 1)"
+    has = lambda p: f"regexp_matches({s}, {_regex(p)})"
+    return f"CASE WHEN {has(C.CFR)} THEN {_root(part(C.CFR))} WHEN {has(C.BARE)} THEN {_root(part(C.BARE))} WHEN {has(C.DOCUMENT)} THEN 'OSHA ' || upper({part(C.DOCUMENT)}) WHEN {has(C.NUMBER)} THEN {_root(part(C.NUMBER))} ELSE trim({s}) END"
+
+
+@query(f"SELECT doc_id, {normal('s')} AS root FROM (SELECT doc_id, {_WRITTEN} AS s FROM documents)")
 def citation_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(spark, sf_dir, _WRITTEN).select("doc_id", C.normalise(F.col("cited")).alias("root"))
 

@@ -14,7 +14,7 @@ from quern.functions import citations as C
 from quern.functions import text as T
 from quern.operators import answers, chunking, cleaning, evaluation, retrieval, traces
 from quern.sources import tables
-from quern.plans import corpus, registry  # noqa: F401
+from quern.plans import answers as answer_plans, corpus, registry  # noqa: F401
 from quern.plans import retrieval as plans  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
