@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.ranges import part_of
+
 
 def upsert(traces: DataFrame, key: str, *order: Column | str) -> DataFrame:
     """The latest row of each key, as insert-or-replace leaves it."""
@@ -19,18 +21,16 @@ def recent(traces: DataFrame, ts: str, key: str, n: int = 50) -> DataFrame:
 def at_index(traces: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     """One row: for each share p the sorted value at place min(n-1, int(p*n)).
 
-    Values are counted, their running counts are kept in two levels (hash-free ranges of
-    the value), so no task sorts them all.
+    Values are counted, their running counts are kept in two levels (even ranges of the
+    distinct values), so no task sorts them all.
     """
     counts = traces.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).count()
-    low = F.min("v").alias("a")
-    bounds = counts.agg(low, F.max("v").alias("b"), F.sum("count").alias("n"))  # one row
-    width = F.greatest((F.col("b") - F.col("a")) / 1024, F.lit(1e-12))
-    ranged = counts.crossJoin(F.broadcast(bounds)).withColumn("part", F.floor((F.col("v") - F.col("a")) / width))
+    total = counts.agg(F.sum("count").alias("n"))  # one row
+    ranged = counts.withColumn("part", part_of(counts, "v"))
     parts = ranged.groupBy("part").agg(F.sum("count").alias("pn"))
-    before = parts.select("part", (F.sum("pn").over(Window.partitionBy(F.lit(1)).orderBy("part")) - F.col("pn")).alias("before"))  # at most 1025 rows
+    before = parts.select("part", (F.sum("pn").over(Window.partitionBy(F.lit(1)).orderBy("part")) - F.col("pn")).alias("before"))  # a row a range
     inner = Window.partitionBy("part").orderBy("v")
-    placed = ranged.join(before, "part").withColumn("end", F.col("before") + F.sum("count").over(inner)).withColumn("start", F.col("end") - F.col("count"))
+    placed = ranged.crossJoin(F.broadcast(total)).join(F.broadcast(before), "part").withColumn("end", F.col("before") + F.sum("count").over(inner)).withColumn("start", F.col("end") - F.col("count"))
     at = lambda p: F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n")))
     pick = lambda p: F.max(F.when((F.col("start") <= at(p)) & (at(p) < F.col("end")), F.col("v")))
     return placed.agg(*[F.round(pick(p), 1).alias(name) for name, p in shares.items()])

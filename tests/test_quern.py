@@ -257,6 +257,27 @@ def test_percentile_by_index(spark):
     assert (r["a"], r["b"]) == (3.0, 5.0)
 
 
+def test_percentile_beside_an_outlier_and_a_frequent_value(spark):
+    values = [1e12, -5.0] + [7.0] * 500 + [k / 10 for k in range(1000)]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = traces.at_index(rows, "v", {"p50": 0.5, "p95": 0.95}).first()
+    assert (got["p50"], got["p95"]) == tuple(round(sorted(values)[int(p * len(values))], 1) for p in (0.5, 0.95))
+
+
+def test_ids_of_a_frequent_name_are_numbered_in_order(spark):
+    rng = np.random.default_rng(3)
+    names = ["hot" if k % 3 else f"n{k % 50}" for k in range(900)] + [None] * 5
+    orders = [f"{k:04}" for k in rng.permutation(len(names))]
+    frame = spark.createDataFrame(list(zip(names, orders)), "name string, at string")
+    seen, want = {}, []
+    for at, name in sorted(zip(orders, names)):
+        n = seen[name] = seen.get(name, 0) + 1
+        want.append((at, name and name + ("" if n == 1 else " again" if n == 2 else f" again#{n}")))
+    got = cleaning.unique_ids(frame, "name", "at", F.lit("again"))
+    assert got.columns == ["name", "at", "unique_id"] and sorted((r["at"], r["unique_id"]) for r in got.collect()) == want
+    assert cleaning.unique_ids(frame.limit(0), "name", "at", F.lit("again")).count() == 0
+
+
 def test_stream(spark, tmp_path):
     from quern.streaming.traces import windowed_stats
 
