@@ -73,7 +73,9 @@ def transcripts(conversations: DataFrame) -> DataFrame:
     """``conv, pos, line, state, turn``: conversations written as plain transcripts.
 
     By a hash of the conversation, turns are marked ``User:``, ``Human:``, ``### User:``
-    or ``[User]``, and in each style about one turn in six has no marker.
+    or ``[User]``, and in each style about one turn in six has no marker. A null turn is
+    turn 0; rows that share a turn number stand in the order of a hash of role and text,
+    one after the other, and rows that repeat all of it are turns of their own.
     """
     role = F.coalesce("role", F.lit("user"))
     style = F.pmod(F.xxhash64(F.lit("style"), "conv_id"), F.lit(4))
@@ -85,12 +87,15 @@ def transcripts(conversations: DataFrame) -> DataFrame:
     said = conversations.select(key.alias("key"), "conv_id", F.coalesce("turn", F.lit(0)).alias("turn"), role.alias("role"), text.alias("said"))
     # rows that repeat are counted, so that each gets places of its own
     turns = said.groupBy("key", "conv_id", "turn", "role", "said").agg(F.count("*").alias("copies")).withColumn("lines", F.split("said", "\n")).withColumn("h", F.xxhash64("role", "said"))
-    # places in two steps, so that no window holds a whole transcript
-    sizes = turns.groupBy("key", "turn", "h").agg(F.sum(F.col("copies") * F.size("lines")).alias("n")).withColumn("part", F.floor(F.col("turn") / 1024))
-    parts = sizes.groupBy("key", "part").agg(F.sum("n").alias("pn"))
+    # places in three steps, so that no window holds a whole transcript, nor all rows of a turn number that many rows share
+    sizes = turns.groupBy("key", "turn", "h").agg(F.sum(F.col("copies") * F.size("lines")).alias("n")).withColumn("slot", F.shiftright("h", 54))
+    slots = sizes.groupBy("key", "turn", "slot").agg(F.sum("n").alias("sn")).withColumn("part", F.floor(F.col("turn") / 1024))
+    parts = slots.groupBy("key", "part").agg(F.sum("sn").alias("pn"))
     upto = parts.select("key", "part", (F.sum("pn").over(Window.partitionBy("key").orderBy("part")) - F.col("pn")).alias("p0"))
-    inner = F.sum("n").over(Window.partitionBy("key", "part").orderBy("turn", "h")) - F.col("n")
-    before = sizes.withColumn("t0", inner).join(upto, ["key", "part"]).select("key", "turn", "h", (F.col("t0") + F.col("p0")).alias("before"))
+    placed = slots.withColumn("s0", F.sum("sn").over(Window.partitionBy("key", "part").orderBy("turn", "slot")) - F.col("sn"))
+    begins = placed.join(upto, ["key", "part"]).select("key", "turn", "slot", (F.col("s0") + F.col("p0")).alias("b0"))
+    inner = F.sum("n").over(Window.partitionBy("key", "turn", "slot").orderBy("h")) - F.col("n")
+    before = sizes.withColumn("t0", inner).join(begins, ["key", "turn", "slot"]).select("key", "turn", "h", (F.col("t0") + F.col("b0")).alias("before"))
     each = turns.join(before, ["key", "turn", "h"]).select("conv_id", "turn", "role", "before", "lines", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("copy"))
     rows = each.select("conv_id", "turn", "role", (F.col("before") + F.col("copy") * F.size("lines")).alias("before"), F.posexplode("lines").alias("k", "line"))
     number = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in chat.ROLES]), F.col("role")) - 1, F.lit(1))

@@ -165,6 +165,13 @@ def test_minhash_odd_rows(spark):
     assert minhash.keep_one(docs(spark, []), Scratch(spark, "t")).count() == 0
 
 
+def test_links_beside_rows_that_repeat_id_and_text(spark):
+    words = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(words))] * 30 + [(2, " ".join(words[:39]))] * 30 + [(3, "some other words that link with nothing")]
+    got = {tuple(r) for r in minhash.link(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()}
+    assert got == {(1, 36, 1, True), (2, 35, 1, False), (3, 3, 3, True)}
+
+
 def test_keep_one_of_rows_that_repeat_an_id(spark):
     long = [" ".join(f"{c}{k}" for k in range(60)) for c in "abc"]
     rows = [(1, long[0]), (2, long[0] + " end"), (2, long[1]), (3, long[2]), (3, long[2]), (4, long[2].upper()), (5, "p q"), (5, "P  q"), (6, ""), (6, ""), (None, long[0]), (None, long[0])]
@@ -518,6 +525,17 @@ def test_transcripts_of_odd_rows_and_forged_roles(spark):
     assert sum(r["lines"] for r in shown) == 7 and text.count("<|end|>") == sum(r["closes"] for r in shown) and "<\\|end|>" in text
 
 
+def test_places_of_rows_that_share_a_turn_number(spark):
+    rows = [(c, turn, "user", f"text {k}\nof two lines" if k % 2 else f"text {k}") for c in (1, 2) for k, turn in enumerate([None] * 1500 + [0] * 500 + [1] * 20 + [5000])]
+    lines = queries.transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for c in (1, 2):
+        own = sorted((r["pos"], r["line"], r["turn"]) for r in lines if r["conv"] == c)
+        assert [p for p, _, _ in own] == list(range(len(own))) and len(own) == 1500 * 3 // 2 + 500 * 3 // 2 + 20 * 3 // 2 + 1
+        # turns in order, and the two lines of a text one after the other
+        assert [t for _, _, t in own] == sorted(t for _, _, t in own)
+        assert all(int(own[p - 1][1].split()[-1]) % 2 for p, line, _ in own if line == "of two lines")
+
+
 # --- against explicit formulas
 
 
