@@ -137,13 +137,19 @@ def _alike(params: Params, a: str, b: str) -> Column:
     return size & (far(0, words) <= params.most_different_bits) & apart
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, chosen: DataFrame, params: Params, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (u, v) that are linked by their full shingle sets, as a written table."""
+def _confirm(pairs: DataFrame, docs: DataFrame, chosen: DataFrame, repeated: bool, params: Params, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (u, v) that are linked by their full shingle sets, as a written table.
+
+    ``repeated`` says that rows of ``chosen`` may stand for several rows of ``docs``, of
+    which one is compared.
+    """
     pairs = scratch.save(pairs)
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     wanted = scratch.save(chosen.join(nodes, "node").select("node", F.col("doc_id").alias("wanted_id"), F.col("hash").alias("wanted_hash")))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
     maybe, _ = apart(texts, "doc_id", wanted, "wanted_id", scratch)
+    if repeated:
+        maybe = maybe.dropDuplicates(["doc_id", "hash"])
     # a row that repeats the id with another text is another class
     picked = maybe.join(wanted, (F.col("doc_id") == F.col("wanted_id")) & (F.col("hash") == F.col("wanted_hash"))).select("node", "text")
     picked = scratch.save(picked)
@@ -198,23 +204,23 @@ def _labels(docs: DataFrame, scratch: Scratch, params: Params, id_col: str, text
     chosen = scratch.save(real.groupBy("node").agg(first).select("node", "x.doc_id", "x.hash"))
     # one row of bands for each class; rows that repeat both id and text would bring it several times
     classes = scratch.save(real.join(chosen, ["node", "doc_id", "hash"]).select("node", "n", "bits", "keys"))
-    if classes.count() > chosen.count():
+    repeated = classes.count() > chosen.count()
+    if repeated:
         classes = scratch.save(classes.dropDuplicates(["node"]))
-    pick = chosen
     single = classes.select("node", F.explode(F.array_distinct("keys")).alias("bucket"))
     pivots = single.groupBy("bucket").agg(F.min("node").alias("v"), F.max("node").alias("w")).filter("v <> w").select("bucket")
     shared = scratch.save(single.join(pivots, "bucket").select("bucket", "node"))  # buckets of several classes
     stars = _stars(shared)
     marks = classes.select("node", "n", "bits")
     near = stars.join(marks.select(F.col("node").alias("u"), F.struct("n", "bits").alias("a")), "u").join(marks.select(F.col("node").alias("v"), F.struct("n", "bits").alias("b")), "v")
-    links = _confirm(near.filter(_alike(params, "a", "b")).select("u", "v").distinct(), docs, pick, params, scratch, id_col, text_col)
+    links = _confirm(near.filter(_alike(params, "a", "b")).select("u", "v").distinct(), docs, chosen, repeated, params, scratch, id_col, text_col)
     roots = scratch.save(components(links, scratch))
 
     held = classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("c"), "n", "bits")
     rows = _buckets(shared, held, params)
     a, b = rows.alias("a"), rows.alias("b")
     rest = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.one") == F.col("b.one")) & (F.col("a.two") == F.col("b.two")) & (F.col("a.node") < F.col("b.node")) & ((F.col("a.part") != F.col("b.part")) | (F.col("a.one") == F.col("a.two"))) & (F.col("a.c") != F.col("b.c")) & _alike(params, "a", "b"))
-    more = _confirm(rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), docs, pick, params, scratch, id_col, text_col)
+    more = _confirm(rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), docs, chosen, repeated, params, scratch, id_col, text_col)
     roots = scratch.save(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), scratch))
 
     scratch.drop(shared, classes)
