@@ -54,6 +54,14 @@ class Scratch:
         for df in tables:
             self._delete(df._quern_path)
 
+    def only(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` as ``save`` does, then delete all other tables of the run."""
+        earlier = range(1, self._n + 1)
+        out = self.save(df)
+        for n in earlier:
+            self._delete(f"{self.root}/{n}")
+        return out
+
     def clear(self) -> None:
         """Delete all tables of the run."""
         self._delete(self.root)

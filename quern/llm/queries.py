@@ -1,11 +1,11 @@
-"""The queries op1 to op10: each operator over its whole table, with its production parameters."""
+"""The queries op1 to op13: each operator over its whole table, with its production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm import ann, bpe, chat, embdedup, langid, minhash, mixing, pii, quality, secrets
+from quern.llm import ann, bpe, chat, divergence, embdedup, langid, minhash, mixing, packing, pii, quality, repair, secrets
 from quern.llm.common import Scratch, table
 
 
@@ -114,9 +114,92 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_bpe, op4_pii, op5_quality, op6_neighbours, op7_embedding_dedup, op8_language, op9_chat, op10_minhash)}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair_all(repair.damaged(conversations), conversations, Scratch(spark, "op11"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), Scratch(spark, "op12"))
+
+
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"), Scratch(spark, "op13"), word_vocabulary())
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_bpe, op4_pii, op5_quality, op6_neighbours, op7_embedding_dedup, op8_language, op9_chat, op10_minhash, op11_repair, op12_divergence, op13_packing)}
+
+def _repair_sql() -> str:
+    """The cheapest repair as a recursion over rows. A state is the least ``c`` (cost), ``a`` (audit) of the ways to it; ``r`` is the text that they give."""
+    add = lambda v, c, s, r: f"CASE WHEN {v} IS NOT NULL THEN {{'c': {v}.c + ({c}), 'a': {v}.a || {s}, 'r': {v}.r || {r}}} END"
+    least = lambda *xs: f"list_min([{', '.join(xs)}])"
+    put = lambda v, who: add(v, 2, "'I'", f"chr(10) || '{who}:'")
+    turn = lambda v, who: add(v, f"CASE WHEN x.i = '{who[0]}' THEN 0 ELSE 2 END + x.cut", f"CASE WHEN x.i = '{who[0]}' THEN 'K' ELSE 'R' END", f"chr(10) || CASE WHEN x.i = '{who[0]}' THEN x.role ELSE '{who}' END || ':' || x.text")
+    out = lambda v: add(v, 3, "'D'", "''")
+    asked, told = least("s.a", put("s.b", "user"), put("s.h", "user"), put("s.t", "user")), least("s.t", put("s.a", "assistant"))
+    none = "NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR)"
+    kept = lambda *xs: f"CASE WHEN x.gone THEN NULL ELSE {least(*xs)} END"
+    return f"""
+        WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+        bits AS (SELECT k, list_concat([4294967295::BIGINT], flatten(list_transform(string_split(k, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))) AS steps FROM (SELECT DISTINCT k FROM o)),
+        crc AS (SELECT k, xor(list_reduce(steps, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295::BIGINT) % 20 AS n FROM bits),
+        m AS (SELECT o.conv_id, turn, CASE WHEN n = 4 THEN 'user' ELSE role END AS role,
+                     CASE n WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN n = 3 THEN [0, 1] ELSE [0] END) AS copy
+              FROM o JOIN crc USING (k) WHERE n <> 0),
+        p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM m),
+        f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                     WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                     WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+                     lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || substr(role, 1, 1) AS met FROM p),
+        x AS (SELECT conv_id, pos, role, text, substr(role, 1, 1) AS i, fault IN ('blank', 'duplicate') AS gone, (fault = 'truncated')::BIGINT AS cut FROM f),
+        w AS (SELECT conv_id, 0::BIGINT AS pos, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS b, {none} AS h, {none} AS a, {none} AS t FROM (SELECT DISTINCT conv_id FROM conversations)
+              UNION ALL
+              SELECT s.conv_id, x.pos, {out("s.b")}, {least(out("s.h"), f"CASE WHEN NOT x.gone AND x.i = 's' THEN {add('s.b', 'x.cut', chr(39) + 'K' + chr(39), 'chr(10) || x.role || chr(58) || x.text')} END")},
+                     {least(out("s.a"), kept(turn("s.b", "user"), turn("s.h", "user"), turn("s.t", "user")))}, {least(out("s.t"), kept(turn("s.a", "assistant")))}
+              FROM (SELECT conv_id, pos, b, h, a, {told} AS t FROM (SELECT conv_id, pos, b, h, {asked} AS a, t FROM w s) s) s
+              JOIN x ON x.conv_id IS NOT DISTINCT FROM s.conv_id AND x.pos = s.pos + 1),
+        e AS (SELECT conv_id, {least("s.b", told)} AS v FROM (SELECT conv_id, pos, b, h, {asked} AS a, t FROM w s) s
+              QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1),
+        n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                     count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                     count(*) FILTER (met NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+        SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, v.c AS cost, v.a AS audit, sha256(substr(v.r, 2)) AS repaired_sha256
+        FROM e LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
 
 ORACLES = {
+    "op11_repair": _repair_sql(),
+    "op12_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+        l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+        g AS (SELECT o.lang, o.source, coalesce(l.v, 0) AS v, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) o
+              LEFT JOIN l ON l.lang = o.lang LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) s ON s.lang = o.lang AND s.source = o.source),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.n + 2 * g.v)::HUGEINT)::HUGEINT AS p
+              FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        q AS (SELECT k.lang, k.term, (1 + (1000000000::HUGEINT * (k.n + 2)) // (l.n + 2 * l.v)::HUGEINT)::HUGEINT AS q FROM k JOIN l ON l.lang = k.lang),
+        s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+              FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+              UNION ALL
+              SELECT p.lang, p.source, 'term', p.term, (((p.p - q.q) * (p.p - q.q)) // (p.p + q.q))::BIGINT
+              FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q)
+        SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+        WHERE part = 'pair' OR rank <= 10""",
     "op6_neighbours": """
         WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
