@@ -1,7 +1,7 @@
 """Best-fit packing by minimum bin slack: token ids of whole documents in as few sequences as can be found.
 
-``pieces`` encodes every text (words between ASCII white space are looked up in a
-bounded memo of the worker, the rest goes through the tokenizers library) and cuts only
+``pieces`` encodes every text (units such as words are looked up in a bounded memo of
+the worker, the others go through the tokenizers library) and cuts only
 documents longer than a sequence. A packing depends on nothing but how many pieces
 have each length, so ``plan`` works on that histogram, of at most ``capacity`` rows
 however large the corpus is: the longest length left opens a sequence, a subset-sum
@@ -33,15 +33,29 @@ from pyspark.sql import functions as F
 from quern.llm.common import Scratch, utf8
 
 #: Bytes of text that are cut into words at once, and words that a worker remembers in each of two generations.
-SLICE_BYTES, MEMO_WORDS = 4 << 20, 200_000
+SLICE_BYTES, MEMO_WORDS = 4 << 20, 400_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: What a byte is: a byte of other characters than ASCII may be anything.
+_OTHER, _BLANK, _LETTER, _DIGIT, _MARK = range(5)
+_KIND = np.full(256, _MARK, np.uint8)
+_KIND[128:] = _OTHER
+_KIND[_SPACE] = _BLANK
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[48:58] = _DIGIT
+#: Whether every match ends between bytes of these kinds.
+_BORDER = np.array([[a != b and (_OTHER not in (a, b) or _BLANK in (a, b)) or a == _DIGIT for b in range(5)] for a in range(5)]).ravel()
+#: The vocabulary is of lower case.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 class Words:
-    """One vocabulary in one Python process: words without white space to ids.
+    """One vocabulary in one Python process: units to ids.
 
-    No token crosses white space, so a text's ids are those of its words in a row.
+    A unit is a text's stretch between two places where every match of the vocabulary's
+    pattern ends: white space, a digit, or the border of ASCII punctuation and letters. So a
+    text's ids are those of its units in a row.
     """
 
     def __init__(self, vocabulary: str):
@@ -52,25 +66,30 @@ class Words:
         self.model.encode_special_tokens = True
         self.memo, self.older = {}, {}
 
-    def ids(self, words: list[str]) -> list[np.ndarray]:
-        missing = [w for w in words if w not in self.memo and w not in self.older]
-        made = {}
-        for at in range(0, len(missing), 2000):
-            part = missing[at : at + 2000]
-            made.update((w, np.asarray(e.ids, "<u4")) for w, e in zip(part, self.model.encode_batch(part, add_special_tokens=False)))
-        out = []
-        for w in words:
-            x = made.get(w)
-            if x is None:
-                x = self.memo.get(w)
-                if x is None:
-                    x = self.older[w]
-            out.append(x)
-        for w, x in zip(words, out):
-            if len(w) <= 64:
-                if len(self.memo) >= MEMO_WORDS:
-                    self.older, self.memo = self.memo, {}
-                self.memo[w] = x
+    def _made(self, units: list[str]):
+        """Each unit's ids as bytes. The library takes many units as words of one text, and names the word of each id."""
+        for at in range(0, len(units), 5000):
+            part = units[at : at + 5000]
+            coded = self.model.encode(part, is_pretokenized=True, add_special_tokens=False)
+            raw = np.asarray(coded.ids, "<u4").tobytes()
+            begin = 0
+            for end in (4 * np.cumsum(np.bincount(np.asarray(coded.word_ids, np.int64), minlength=len(part)))).tolist():
+                yield raw[begin:end]
+                begin = end
+
+    def ids(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units, as little-endian uint32. When the memo is full, it becomes the older generation; units in use come back from there."""
+        out = list(map(self.memo.get, units))
+        missing = [k for k, x in enumerate(out) if x is None]
+        for k in missing:
+            out[k] = self.older.get(units[k])
+        new = [k for k in missing if out[k] is None]
+        for k, x in zip(new, self._made([units[k] for k in new])):
+            out[k] = x
+        if missing:
+            if len(self.memo) + len(missing) > MEMO_WORDS:
+                self.memo, self.older = {}, self.memo
+            self.memo.update((units[k], out[k]) for k in missing if len(units[k]) <= 64)
         return out
 
 
@@ -98,30 +117,35 @@ def by_bytes(batches, column: int, most: int = SLICE_BYTES):
 def _encoded(own: Words, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts in a row, each text's with the end token behind, and their n+1 offsets."""
     data, off = utf8(column)
-    # a space before each text keeps the last word of one and the first of the next apart
-    room = np.full(len(data) + len(off) - 1, 32, np.uint8)
-    starts = off[:-1] + np.arange(len(off) - 1)
-    place = np.arange(len(data)) + np.repeat(np.arange(1, len(off)), np.diff(off))
-    room[place] = data
-    inside = np.concatenate(([False], ~_SPACE[room], [False]))
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    begins, ends = edge[0::2], edge[1::2]
-    held = room[np.repeat(begins, ends - begins) + _within(ends - begins)] if len(begins) else room[:0]
-    cuts = np.concatenate(([0], np.cumsum(ends - begins))).astype(np.int64)
+    data = _LOWER[data]
+    kind = _KIND[data]
+    # the two bytes of a Latin letter with an accent
+    pair = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    kind[:-1][pair] = kind[1:][pair] = _LETTER
+    border = np.zeros(len(data) + 1, bool)
+    border[1:-1] = _BORDER[kind[:-1] * 5 + kind[1:]]
+    quote = np.flatnonzero(data[:-1] == 39) + 1
+    border[quote[kind[quote] == _LETTER]] = False  # 's is one match
+    border[off] = True
+    edges = np.flatnonzero(border)
+    begins, lengths = edges[:-1], np.diff(edges)
+    real = kind[begins] != _BLANK
+    begins, lengths = begins[real], lengths[real]
+    held = data[kind != _BLANK]
+    cuts = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
     words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(cuts.tobytes()), pa.py_buffer(held.tobytes())).dictionary_encode()
-    codes = words.indices.to_numpy().astype(np.int64)
+    codes = words.indices.to_numpy()
     tables = own.ids(words.dictionary.to_pylist())
-    size = np.fromiter(map(len, tables), np.int64, len(tables))
-    first = np.concatenate(([0], np.cumsum(size)))[:-1].astype(np.int64)
-    flat = np.concatenate(tables) if tables else np.empty(0, "<u4")
-    # the end token is one more word of each text
-    doc = np.searchsorted(starts, begins, "right") - 1
+    size = np.fromiter(map(len, tables), np.int64, len(tables)) // 4
+    flat = np.frombuffer(b"".join(tables), "<u4")
     n = size[codes]
-    per_doc = np.bincount(doc, n, len(starts)).astype(np.int64) + 1 if len(starts) else np.zeros(0, np.int64)
-    offsets = np.concatenate(([0], np.cumsum(per_doc)))
+    upto = np.concatenate(([0], np.cumsum(n)))
+    own_ids = np.diff(upto[np.searchsorted(begins, off)])
+    offsets = np.concatenate(([0], np.cumsum(own_ids + 1)))
     ids = np.full(int(offsets[-1]), end_id, "<u4")
-    spot = np.cumsum(n) - n + doc  # one end token for each text before
-    ids[np.repeat(spot, n) + _within(n)] = flat[np.repeat(first[codes], n) + _within(n)]
+    every = np.arange(int(upto[-1]))
+    # one end token for each text before
+    ids[every + np.repeat(np.arange(len(off) - 1), own_ids)] = flat[every + np.repeat((np.cumsum(size) - size)[codes] - upto[:-1], n)]
     return ids, offsets
 
 
