@@ -13,11 +13,11 @@ Only id, text and (for training) lang are read, so other columns don't matter.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +25,8 @@ from quern.llm.common import in_slices, mix64
 
 #: Characters that are scored together; a longer text goes through in several pieces.
 PIECE = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter by its Unicode category; numeric signs and combining marks are none.
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
