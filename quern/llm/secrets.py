@@ -44,7 +44,8 @@ BASE_RULES = (
 MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    # begins where no token does already, and gives nothing back: a long run is read once
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 RULES = BASE_RULES + MORE_RULES
@@ -96,7 +97,7 @@ def _walk(items, states, most):
         elif op == parser.BRANCH:
             ways = [_walk(way, states, most) for way in arg[1]]
             states = None if None in ways else set().union(*ways)
-        elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT):
+        elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT, parser.POSSESSIVE_REPEAT):
             least, highest, inner = arg
             if (least, highest) == (0, 1):
                 way = _walk(inner, states, most)
