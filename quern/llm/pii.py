@@ -3,7 +3,7 @@
 Found are e-mail addresses, card numbers, IBANs, US social security numbers, phone
 numbers (with a country code, in the North American form, or national with a leading
 0), IPv4 and IPv6 addresses, and names
-after one or more forms of address, with any number of words, initials, hyphens and
+after one or more forms of address (also in capitals, and with a no-break space, a tab or a line's end behind), with any number of words, initials, hyphens and
 apostrophes (a possessive 's is no part of them). A mention is one or more parts; each
 part is an entity (kind and canonical value) whose surrogate keeps its format: digits
 stay digits, letters stay letters of their case and script (Latin or Cyrillic),
@@ -41,9 +41,11 @@ from pyspark.sql import functions as F
 from quern.llm.common import Scratch, apart
 
 # Forms of address, and the syllables that surrogate names are made of.
-MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа")
-NEUTRAL = ("Dr", "Prof")
+MALE = ("Mr", "Sir", "Lord", "Herr", "Herrn", "Señor", "Sr", "Don", "Monsieur", "Господин", "MR", "SIR", "HERR", "SEÑOR", "MONSIEUR", "ГОСПОДИН")
+FEMALE = ("Mrs", "Ms", "Miss", "Lady", "Frau", "Señora", "Señorita", "Sra", "Srta", "Doña", "Madame", "Mademoiselle", "Mme", "Mlle", "Госпожа", "MRS", "FRAU", "SEÑORA", "MADAME", "ГОСПОЖА")
+NEUTRAL = ("Dr", "Prof", "Rev")
+# only with a full stop behind: without one they are other words
+MALE_DOTTED, FEMALE_DOTTED, NEUTRAL_DOTTED = ("M", "SR", "Hr"), ("MS", "SRA", "MME"), ("DR", "PROF")
 PARTICLES = ("von", "van", "vom", "zu", "zum", "zur", "de", "del", "della", "der", "den", "des", "di", "da", "do", "dos", "du", "la", "le", "el", "al", "ter", "ten", "y", "d")
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe fi ga go ka ke ki la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si ta te ti to va vi za".split(),
@@ -55,32 +57,38 @@ ENDINGS = {
 }
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
-IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
+# Fixed value: countries whose IBANs are looked for in lower case, too.
+_LANDS = "ad ae al at az ba be bg br ch cy cz de dk ee es fi fo fr gb ge gi gr hr hu ie il is it kz lb li lt lu lv mc md me mk mt mu nl no pk pl ps pt qa ro rs sa se si sk sm tn tr ua vg xk".replace(" ", "|")
+# in lower case only the first four places behind the check digits may be letters
+IBAN = rf"(?<![\p{{L}}\p{{N}}])(?:[A-Z]{{2}}\d{{2}}(?:\x20?[A-Z0-9]{{4}}){{3,7}}(?:\x20?[A-Z0-9]{{1,3}})?|(?:{_LANDS})\d{{2}}\x20?(?:[a-z]{{4}}|\d{{4}})(?:\x20?\d{{4}}){{2,6}}(?:\x20?\d{{1,3}})?)(?![\p{{L}}\p{{N}}])"
 IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)"
 _H = "[0-9A-Fa-f]{1,4}"
 _V4 = r"(?:\d{1,3}\.){3}\d{1,3}"
 # all groups; or :: with at least one group before or after it, longest first
 IPV6 = rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_H}:){{6}}(?:{_V4}|{_H}:{_H})|(?:{'|'.join(f'(?:{_H}:){{{n}}}(?::{_H}){{0,{6 - n}}}:(?:{_V4}|{_H})' for n in range(6, 0, -1))}|:(?::{_H}){{0,5}}:(?:{_V4}|{_H})|(?:{_H}:){{1,7}}:))(?![\p{{L}}\p{{N}}:]|\.\d)"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}(?:-\d{2}-|\x20\d{2}\x20)\d{4}(?![\p{L}\p{N}-])"
-CARD = r"(?<![\p{L}\p{N}])(?:(?!00)\d{13,19}|\d{4}([\x20-])(?:\d{4}\1\d{4}\1\d{1,7}|\d{6}\1\d{4,5}))(?![\p{L}\p{N}])"
+CARD = r"(?<![\p{L}\p{N}])(?:(?!00)\d{13,19}|\d{4}([\x20.-])(?:\d{4}\1\d{4}\1\d{1,7}|\d{6}\1\d{4,5}))(?![\p{L}\p{N}])"
 # 01.02.2024 is no national number: its first part is longer than two digits, or all are pairs
 _NATIONAL = r"(?<!\d[.,/-])(?:0[1-9]\d{1,3}(?:\x20?[/-]\x20?|[\x20.])?|\(0[1-9]\d{0,3}\)[\x20.-]?)\d{3,4}(?:[\x20.-]?\d{2,4}){1,2}|(?<!\d[.,/-])0[1-9](?:(?:\x20\d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4})"
 PHONE = rf"(?<![\p{{L}}\p{{N}}+])(?:(?:\+|00)(?=(?:[\x20.()-]{{0,3}}\d){{7}})\d{{1,3}}[\x20.-]?(?:\(\d{{1,4}}\)[\x20.-]?)?\d{{1,4}}(?:[\x20.-]?\d{{2,4}}){{1,4}}|(?:\(\d{{3}}\)[\x20.-]?|\d{{3}}[\x20.-])\d{{3}}[\x20.-]\d{{4}}|{_NATIONAL})(?![\p{{L}}\p{{N}}])"
 # Fixed value: international calling codes of one and two digits; all others have three.
 CALLING = r"(?:\+|00)(?:1|7|2[07]|3[0-46-9]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
-_TITLES = "|".join((*MALE, *FEMALE, *NEUTRAL))
+_TITLES = "|".join((*MALE, *FEMALE, *NEUTRAL, rf"(?:{'|'.join((*MALE_DOTTED, *FEMALE_DOTTED, *NEUTRAL_DOTTED))})(?=\.)"))
+#: What may stand between the words of a name, and behind a form of address.
+_GAP = r"[\x20\xA0\u202F]"
+_AFTER = r"(?:[\x20\xA0\u202F\t]|\r?\n)"
 # possessive loops, which Java runs without recursion however long a text's run of name words is
 _WORD = rf"(?!(?:{_TITLES})(?!\p{{L}}))\p{{Lu}}(?:[\p{{L}}\p{{M}}]|-(?=\p{{L}})|['’](?=\p{{L}})(?![sS](?![\p{{L}}\p{{N}}])))++(?![\p{{L}}\p{{N}}])"
-_LEAD = rf"(?:\p{{Lu}}(?:\.[\x20-]?|\x20)|(?:{'|'.join(PARTICLES)})\x20|d['’])*+"
-_FORMS = rf"(?:(?:{_TITLES})(?:\.\x20?|\x20))++"
-NAME = rf"(?<![\p{{L}}\p{{N}}]){_FORMS}{_LEAD}{_WORD}(?:\x20{_LEAD}{_WORD})*+"
+_LEAD = rf"(?:\p{{Lu}}(?:\.(?:{_GAP}|-)?|{_GAP})|(?:{'|'.join(PARTICLES)}){_GAP}|d['’])*+"
+_FORMS = rf"(?:(?:{_TITLES})(?:\.{_AFTER}?|{_AFTER}))++"
+NAME = rf"(?<![\p{{L}}\p{{N}}]){_FORMS}{_LEAD}{_WORD}(?:{_GAP}{_LEAD}{_WORD})*+"
 #: A capitalised word, which may repeat a name of its document. Letters only, so that no other mention can begin inside.
 BARE = r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}\p{M}]++(?!\p{N})"
 _KINDS = (("email", EMAIL), ("iban", IBAN), ("ip", IP), ("ipv6", IPV6), ("ssn", SSN), ("card", CARD), ("phone", PHONE), ("name", NAME))
-ALL = "|".join(p.replace(r"\1", r"\k<gap>").replace(r"([\x20-])", r"(?<gap>[\x20-])") for _, p in _KINDS)
+ALL = "|".join(p.replace(r"\1", r"\k<gap>").replace(r"([\x20.-])", r"(?<gap>[\x20.-])") for _, p in _KINDS)
 ALL_BARE = f"{ALL}|{BARE}"
 #: Texts without any of these hold no entity.
-HINT = rf"@|::|(?:{_H}:){{6}}|\d{{4}}|\d\.\d|\d[\x20.()/-]+\d|(?:{'|'.join((*MALE, *FEMALE, *NEUTRAL))})[.\x20]"
+HINT = rf"@|::|(?:{_H}:){{6}}|\d{{4}}|\d\.\d|\d[\x20.()/-]+\d|(?:{'|'.join((*MALE, *FEMALE, *NEUTRAL, *MALE_DOTTED, *FEMALE_DOTTED, *NEUTRAL_DOTTED))})[.\x20\xA0\u202F\t\r\n]"
 
 def _kind(mention: Column) -> Column:
     out = F.lit("name")
@@ -94,7 +102,7 @@ def _parts(mention: Column, kind: Column) -> Column:
     part = lambda k, v: F.struct(F.lit(k).cast("string").alias("kind"), v.alias("value"))
     title = F.regexp_extract(mention, f"^{_FORMS}", 0)
     rest = F.substring(mention, F.length(title) + 1, F.length(mention))
-    last = F.regexp_extract(rest, r"[^\x20.]+$", 0)
+    last = F.regexp_extract(rest, r"[^\x20\xA0\u202F.]+$", 0)
     # a variable of a lambda is evaluated once, not once a piece
     bound = F.array(F.struct(title.alias("title"), F.substring(rest, F.lit(1), F.length(rest) - F.length(last)).alias("first"), last.alias("last")))
     pieces = lambda text: F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}]+|[^\p{L}\p{M}]+"), F.lit(0))
@@ -103,7 +111,8 @@ def _parts(mention: Column, kind: Column) -> Column:
     def named_parts(b):
         words = F.regexp_extract_all(b["title"], F.lit(r"\p{L}+"), F.lit(0))
         has = lambda forms: F.exists(words, lambda w: w.isin(*forms))
-        gender = F.when(has(MALE) & ~has(FEMALE), "male").when(has(FEMALE) & ~has(MALE), "female").otherwise("any")
+        male, female = has((*MALE, *MALE_DOTTED)), has((*FEMALE, *FEMALE_DOTTED))
+        gender = F.when(male & ~female, "male").when(female & ~male, "female").otherwise("any")
         return F.concat(
             F.array(part(None, b["title"])),
             split(b["first"], lambda x: F.when(F.length(x) == 1, "initial").otherwise(gender)),
@@ -122,7 +131,9 @@ def _canonical(kind: Column, value: Column) -> Column:
     left, right = groups(halves[0]), F.coalesce(groups(F.get(halves, F.lit(1))), F.array().cast("array<string>"))
     zeros = F.greatest(F.lit(0), 8 - F.size(left) - F.size(right) - F.when(value.contains("."), 1).otherwise(0))
     ipv6 = F.array_join(F.concat(left, F.array_repeat(F.lit("0000"), zeros), right), ":")
-    return F.when(kind == "email", F.lower(value)).when(kind == "ipv6", ipv6).when(kind.isin("iban", "ssn", "card", "phone"), plain).otherwise(value)
+    # a name in capitals is the name
+    name = F.when(value.rlike(r"^\p{Lu}{2,}$"), F.concat(F.substring(value, 1, 1), F.lower(F.substring(value, F.lit(2), F.length(value))))).otherwise(value)
+    return F.when(kind == "email", F.lower(value)).when(kind == "ipv6", ipv6).when(kind == "iban", F.upper(plain)).when(kind.isin("ssn", "card", "phone"), plain).otherwise(name)
 
 
 def _hmac(key: str, message: Column) -> Column:
@@ -305,7 +316,8 @@ def replace(docs: DataFrame, scratch: Scratch, key: str, id_col: str = "doc_id",
     parts = found.filter(joins).join(named, ["kind", "canon"], "left").unionByName(found.filter(~joins), allowMissingColumns=True)
     letter = _letters(F.col("value"), _stream(key, F.col("kind"), F.col("canon"), F.lit(0)))
     numbers = F.col("kind").isin("card", "phone", "ssn", "iban")
-    shaped = F.when(F.col("kind").isNull(), F.col("value")).when(F.col("kind") == "initial", letter).when(numbers, _shaped(F.col("value"), F.col("made"))).when(F.col("kind") == "email", _cased(F.col("value"), F.col("made"))).otherwise(F.col("made"))
+    small, large = F.col("value") == F.lower("value"), F.col("value").rlike(r"^\p{Lu}{2,}$")
+    shaped = F.when(F.col("kind").isNull(), F.col("value")).when(F.col("kind") == "initial", letter).when(numbers, _shaped(F.col("value"), F.when(small, F.lower("made")).otherwise(F.col("made")))).when(F.col("kind") == "email", _cased(F.col("value"), F.col("made"))).when(large, F.upper("made")).otherwise(F.col("made"))
     whole = lambda c: F.array_sort(F.collect_list(c))
     # a mention has a few parts, and a document as many mentions as its text has room for
     by_place = parts.groupBy("id", "hash", "place", "type").agg(whole(F.struct("part", shaped.alias("s"))).alias("p")).select("id", "hash", "place", "type", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("s"))

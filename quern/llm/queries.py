@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import cache
+from secrets import token_hex
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +12,14 @@ from quern.llm import ann, bpe, chat, divergence, embdedup, langid, minhash, mix
 from quern.llm.common import Scratch, table
 
 
+@cache
+def _session_key() -> str:
+    return token_hex(32)
+
+
 def pii_key(spark: SparkSession) -> str:
-    """The key of the surrogates: the session's ``spark.quern.pii.key``; a public one only where none is set."""
-    return spark.conf.get("spark.quern.pii.key", "not secret")
+    """The key of the surrogates: the session's ``spark.quern.pii.key``, or else a random one of this process, which nobody can know later."""
+    return spark.conf.get("spark.quern.pii.key", None) or _session_key()
 
 
 def remainder(doc_id: str, n: int) -> Column:
