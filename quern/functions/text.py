@@ -12,6 +12,8 @@ STOP_WORDS = (
     "i me my we our you your he she it they them as and or if then than so not "
     "can could should would may might must will shall"
 ).split()
+# The short English stop list of lexical search with stems.
+SEARCH_STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 # Where a sentence ends and the next begins, and lines that are page furniture.
 SENTENCE_GAP = r"(?<=[.;:!?])\s+(?=[A-Z(§])"
 NOISE_LINE = r"(?i)^(?:\s*\d+\s*|OSHA\s*\d{3,4}[A-Za-z0-9\- ]*|www\.osha\.gov\s*|1-800-321-OSHA.*|Occupational Safety and Health Administration\s*)$"
@@ -37,6 +39,15 @@ def content_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(CONTENT_WORD), F.lit(0))
 
 
+#: A whole run of two or more letters, digits and underscores that is none of SEARCH_STOP_WORDS.
+SEARCH_WORD = rf"(?<![\p{{L}}\p{{N}}_])(?!(?:{'|'.join(SEARCH_STOP_WORDS)})(?![\p{{L}}\p{{N}}_]))[\p{{L}}\p{{N}}_]{{2,}}"
+
+
+def search_words(text: Column) -> Column:
+    """Lower-case words of two or more characters of any script that are no stop words, in order, not yet stemmed."""
+    return F.regexp_extract_all(F.lower(text), F.lit(SEARCH_WORD), F.lit(0))
+
+
 def sentences(text: Column) -> Column:
     parts = F.filter(F.transform(F.split(text, SENTENCE_GAP), strip), lambda s: s != "")
     return F.coalesce(parts, F.array().cast("array<string>"))

@@ -103,7 +103,8 @@ def id_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Section ids in the forms that a corpus has, and texts that cite some of them; the same SQL makes them on both sides.
 _WRITTEN = "CASE doc_id % 6 WHEN 0 THEN '29 CFR 1910.' || doc_id || '(b)(1)' WHEN 1 THEN '§1926.' || doc_id || '(d)(2)(ii)' WHEN 2 THEN ' 1910.' || doc_id || 'a ' WHEN 3 THEN 'OSHA ' || (3000 + doc_id) || ' (pp. 4-' || (4 + doc_id % 9) || ')' WHEN 4 THEN 'osha FS-' || upper(lang) || doc_id || ' (p. ' || doc_id % 8 || ')' ELSE ' ' || source || ' ' END"
 _ALSO = "CASE doc_id % 3 WHEN 0 THEN '29 C.F.R. § 1926.' || doc_id % 7 || '(a)(1)(i)' WHEN 1 THEN 'OSHA 31' || (10 + doc_id % 50) || ' (pages ' || doc_id % 7 || '–' || (doc_id % 7 + doc_id % 3) || ')' ELSE '[OSHA FS-3529]' END"
-_CITING = f"substr(text, 1, 400) || ' See ' || ({_WRITTEN}) || ', or ' || ({_ALSO}) || '; an OSHA question. Again [' || ({_WRITTEN}) || '] and 【29 CFR 1910.7(c)】 and § 1910.7(c). ' || substr(text, 401, 400)"
+_MIDDLE = "CAST(floor(length(text) / 2) AS INT)"
+_CITING = f"substr(text, 1, {_MIDDLE}) || ' See ' || ({_WRITTEN}) || ', or ' || ({_ALSO}) || '; an OSHA question. Again [' || ({_WRITTEN}) || '] and 【29 CFR 1910.7(c)】 and § 1910.7(c). ' || substr(text, {_MIDDLE} + 1)"
 
 
 def _regex(pattern: str) -> str:

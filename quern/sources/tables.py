@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from quern import schemas
 
@@ -24,6 +27,17 @@ def work_dir(spark: SparkSession) -> str:
     return path
 
 
+def saver(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """Writes a table to the shared folder and reads it again: what is used twice is made once, and lost executors don't matter."""
+
+    def save(df: DataFrame) -> DataFrame:
+        path = f"{work_dir(spark)}/held-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return save
+
+
 def parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -79,10 +93,15 @@ def publications(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
-    """A JSON object; empty if it is missing or no JSON."""
+    """A JSON object; empty if it is missing or no JSON. Any other trouble of the store is an error."""
     try:
-        found = json.loads(spark.read.text(path, wholetext=True).first()[0])
-    except Exception:  # missing and broken files count alike, whatever store they are in
+        rows = spark.read.text(path, wholetext=True).take(1)
+        found = json.loads(rows[0][0]) if rows else {}
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    except json.JSONDecodeError:
         return {}
     return found if isinstance(found, dict) else {}
 
