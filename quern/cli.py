@@ -11,11 +11,11 @@ from quern import obs
 from quern.config import Settings
 from quern.engine import Engine
 from quern.operators import cleaning
-from quern.sources import tables
+from quern.sources import markup, tables
 
 
 def _corpus(spark: SparkSession, path: str) -> DataFrame:
-    return cleaning.parse_xml(tables.xml_files(spark, path)) if path.endswith(".xml") else tables.sections(spark, path)
+    return cleaning.name_units(markup.units(spark, path), markup.ORDER) if path.endswith(".xml") else tables.sections(spark, path)
 
 
 def main(argv: list[str] | None = None) -> None:

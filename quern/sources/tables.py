@@ -27,6 +27,11 @@ def work_dir(spark: SparkSession) -> str:
     return path
 
 
+def delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def saver(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
     """Writes a table to the shared folder and reads it again: what is used twice is made once, and lost executors don't matter."""
 
