@@ -1,4 +1,4 @@
-"""Lexical search with stems, and without most postings."""
+"""Search with stems, without most postings, after a refresh, and by cells of vectors; sections from markup."""
 
 from __future__ import annotations
 
@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from quern.functions import stems as S
 from quern.functions import text as T
-from quern.operators import pruned, retrieval
+from quern.operators import cleaning, ivf, pruned, retrieval
 from quern.plans import retrieval as plans
 from quern.plans.registry import ORACLES, query
+from quern.sources import markup, segments
 from quern.sources.tables import parquet, saver, work_dir
 
 
@@ -85,7 +86,7 @@ def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Where the indexes of this process's sessions lie.
-_INDEXES: dict[tuple[str, str, str], str] = {}
+_INDEXES: dict = {}
 
 
 def _index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -110,3 +111,59 @@ def impacts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def bm25_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``bm25_topk`` by opened blocks alone."""
     return pruned.search(impacts(spark, sf_dir), plans._asked(spark, sf_dir), 30, save=saver(spark))
+
+
+@query(ORACLES["bm25_topk"])
+def bm25_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bm25_topk`` on an index whose first segment had other texts, lacked some documents and had some that are gone, before a refresh."""
+    docs = parquet(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    key = (spark.sparkContext.applicationId, sf_dir, "segments")
+    if key not in _INDEXES:
+        path = f"{work_dir(spark)}/segments-{uuid.uuid4().hex}"
+        old = F.when(F.col("chunk_id") % 10 == 0, F.concat(F.lit("an earlier text "), "text")).otherwise(F.col("text"))
+        gone = docs.select((F.col("chunk_id") + 10**12).alias("chunk_id"), "text").filter(F.col("chunk_id") % 5 == 0)
+        no_vector = lambda text: F.array().cast("array<double>")
+        first = docs.filter("chunk_id % 7 <> 0").select("chunk_id", old.alias("text")).unionByName(gone)
+        held, _ = segments.refresh(spark, path, [], first, no_vector)
+        held, _ = segments.refresh(spark, path, held, docs, no_vector)
+        _INDEXES[key] = (path, held)
+    path, held = _INDEXES[key]
+    return retrieval.bm25_search(segments.tables(spark, path, held, "bigint"), plans._asked(spark, sf_dir), 30)
+
+
+@query(r"""WITH d AS (SELECT doc_id, lang, source, trim(regexp_replace(text, '\s+', ' ', 'g')) AS body FROM documents)
+    SELECT '29 CFR 1910.' || doc_id AS section_id, '1910' AS part, '29 CFR 1910 › Subpart ' || lang || ' › ' || source AS parent_path, 'Of ' || source AS heading, md5(body) AS text FROM d WHERE length(body) >= 120""")
+def xml_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of regulation markup that is made of the documents and read in parts."""
+    docs = parquet(spark, sf_dir, "documents")
+    plain = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    made = F.concat(F.lit('<DIV5 N="1910" TYPE="PART"><DIV6 TYPE="SUBPART"><HEAD>Subpart '), plain("lang"), F.lit('</HEAD><DIV7 TYPE="SUBJGRP"><HEAD>'), plain("source"), F.lit('</HEAD><DIV8 TYPE="SECTION" N="1910.'), F.col("doc_id").cast("string"), F.lit('"><HEAD>§ 1910.'), F.col("doc_id").cast("string"), F.lit(" Of "), plain("source"), F.lit("</HEAD><P>"), plain("text"), F.lit("</P></DIV8></DIV7></DIV6></DIV5>"))
+    path = f"{work_dir(spark)}/markup-{uuid.uuid4().hex}"
+    docs.select(made.alias("value")).write.text(path)
+    found = cleaning.name_units(markup.units(spark, path, "*"), markup.ORDER)
+    return found.select("section_id", "part", "parent_path", "heading", F.md5("text").alias("text"))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> dict:
+    key = (spark.sparkContext.applicationId, sf_dir, "cells")
+    if key not in _INDEXES:
+        path = f"{work_dir(spark)}/cells-{uuid.uuid4().hex}"
+        ivf.write_ivf(parquet(spark, sf_dir, "embeddings"), path)
+        _INDEXES[key] = path
+    return ivf.load_ivf(spark, _INDEXES[key])
+
+
+def _vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parquet(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+
+
+@query()
+def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 30 nearest of each vector among the cells nearest to it; approximate, its recall is tested."""
+    return ivf.search(_cells(spark, sf_dir), _vector_questions(spark, sf_dir), 30)
+
+
+@query(ORACLES["dense_topk"])
+def ivf_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same index searched in all cells with all candidates scored again: ``dense_topk``."""
+    return ivf.search(_cells(spark, sf_dir), _vector_questions(spark, sf_dir), 30, probes=ivf.Params.cells, refine=ivf.Params.block_rows)

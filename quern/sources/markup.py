@@ -64,9 +64,9 @@ def _read(pieces):
         yield table.drop(columns="markup").assign(head=heads, blocks=blocks)
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
+def pieces(spark: SparkSession, path: str, names: str = "*.xml") -> DataFrame:
     """``path, split, row, piece, level, opens, type, n, head, blocks``: a piece that opens a division of ``level``, or stands behind its closing."""
-    rows = spark.read.option("lineSep", "<DIV").option("pathGlobFilter", "*.xml").text(path)
+    rows = spark.read.option("lineSep", "<DIV").option("pathGlobFilter", names).text(path)
     # within a split the rows are numbered as they are read; a task's number is the same for all rows of a split
     rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), "value")
     tag = F.regexp_extract("value", r"^[1-9](?:\s[^>]*)?>", 0)
@@ -101,9 +101,9 @@ def _carried(events: DataFrame) -> DataFrame:
     return joined.select(*[c for c in events.columns if c not in names], *[F.coalesce(n, f"c{n}").alias(n) for n in names])
 
 
-def units(spark: SparkSession, path: str) -> DataFrame:
+def units(spark: SparkSession, path: str, names: str = "*.xml") -> DataFrame:
     """Sections and appendices as ``cleaning.UNIT`` has them, with ``path`` and, in the place of ``ord``, where each closes: ORDER."""
-    held = pieces(spark, path).withColumns({"type": _unescaped("type"), "n": _unescaped("n")})
+    held = pieces(spark, path, names).withColumns({"type": _unescaped("type"), "n": _unescaped("n")})
     opened = F.struct("type", "n", "head", *ORDER).cast(_OPENED)
     closed = F.lit(None).cast(_OPENED)
     # an event is an array: of what was opened, or of null where the level was closed

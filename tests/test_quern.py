@@ -165,9 +165,6 @@ def test_dense_in_blocks_equals_brute_force(spark):
         if i % 5 == 0:
             assert [k for _, k in sorted(got[i])] == ids[np.lexsort((ids, -np.round(x @ v, 10)))[:5]].tolist()
     assert retrieval.dense_topk(vectors, asked.limit(0), 5).count() == 0 == retrieval.dense_topk(vectors.limit(0), asked, 5).count()
-    near = {(r["qid"], r["id"]) for r in retrieval.dense_topk_approximate(vectors, asked, 5, least=-1.0).collect()}
-    want = {(q, i) for q, found in got.items() for _, i in found}
-    assert len(near & want) / len(want) > 0.9
 
 
 def test_bm25_tables_give_what_a_fresh_index_gives(spark, tmp_path):
