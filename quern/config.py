@@ -30,8 +30,8 @@ class Settings:
     ood_min_overlap: float = 0.06
     guard_rerank_floor: float = 0.0
     answerer: str = "extractive"
-    llm_max_tokens: int = 700
-    llm_temperature: float = 0.1
+    llm_max_tokens: int = 768
+    llm_temperature: float = 0.2
     eval_hit1_floor: float = 0.50
     eval_hit5_floor: float = 0.88
     eval_ndcg_floor: float = 0.72

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,26 +14,62 @@ from quern.functions import text as T
 METRICS = ("hit1", "hit3", "hit5", "hit10", "mrr", "ndcg")
 
 
-def ranking_metrics(items: DataFrame, ranking: DataFrame, relevant: DataFrame, depth: int = 10) -> DataFrame:
-    """``qid`` and METRICS of every item that has something relevant.
+def ranking_metrics(items: DataFrame, ranking: DataFrame, relevant: DataFrame, depth: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """``qid`` and METRICS of every item that has something relevant; with ``by``, for each of their values that ``items`` has.
 
     ``ranking (qid, id, place)`` is cut to ``depth`` after repeated ids are dropped;
     ``relevant (qid, id)``. Gains are binary; the ideal has as many as are relevant.
     """
-    first = ranking.groupBy("qid", "id").agg(F.min("place").alias("place"))
-    placed = first.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("place", "id"))).filter(F.col("rank") <= depth)
-    found = placed.join(relevant.select("qid", "id").distinct(), ["qid", "id"], "left_semi").groupBy("qid").agg(F.min("rank").alias("best"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
+    first = ranking.groupBy(*by, "qid", "id").agg(F.min("place").alias("place"))
+    placed = first.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "qid").orderBy("place", "id"))).filter(F.col("rank") <= depth)
+    found = placed.join(relevant.select("qid", "id").distinct(), ["qid", "id"], "left_semi").groupBy(*by, "qid").agg(F.min("rank").alias("best"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
     want = relevant.distinct().groupBy("qid").agg(F.count("*").alias("n"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(depth)).cast("int")), F.lit(0.0), lambda a, r: a + 1 / F.log2(r + 1.0))
-    joined = items.select("qid").join(want, "qid").join(found, "qid", "left")
+    joined = items.select(*by, "qid").join(want, "qid").join(found, [*by, "qid"], "left")
     hit = lambda k: F.coalesce((F.col("best") <= k).cast("double"), F.lit(0.0)).alias(f"hit{k}")
-    return joined.select("qid", hit(1), hit(3), hit(5), hit(10), F.round(F.coalesce(1 / F.col("best"), F.lit(0.0)), 6).alias("mrr"), F.round(F.coalesce(F.col("dcg") / ideal, F.lit(0.0)), 6).alias("ndcg"))
+    return joined.select(*by, "qid", hit(1), hit(3), hit(5), hit(10), F.round(F.coalesce(1 / F.col("best"), F.lit(0.0)), 6).alias("mrr"), F.round(F.coalesce(F.col("dcg") / ideal, F.lit(0.0)), 6).alias("ndcg"))
 
 
 def macro(per_item: DataFrame, *keys: str) -> DataFrame:
     return per_item.groupBy(*keys).agg(F.count("*").alias("items"), *[F.round(F.avg(m), 4).alias(m) for m in METRICS])
 
 
+@dataclass(frozen=True)
+class Config:
+    """A configuration that is compared: the weights of the legs (0: without), and whether cited sections are moved up, the pool is scored again, and only what the store holds counts."""
+
+    name: str
+    dense: float
+    sparse: float
+    boost: bool = False
+    rerank: bool = False
+    stored: bool = False
+
+
+def configured(candidates: DataFrame, configs: tuple[Config, ...], s: Settings = Settings()) -> DataFrame:
+    """``config, qid, id, place`` and the scores that the configuration sees, all configurations in one plan.
+
+    ``candidates (qid, id, dense_score, dense_rank, sparse_score, sparse_rank, exact, candidate_stored, relevance)`` are both
+    legs' rows, found once; each is taken up by every configuration that has its leg. ``relevance``
+    is the scorer's; only the first ``rerank_top_n`` of a configuration that scores again have it.
+    """
+    rows = F.array(*[F.struct(*[F.lit(getattr(c, f.name)).alias(f.name) for f in fields(Config)]) for c in configs])
+    each = candidates.withColumn("c", F.explode(rows)).select("*", "c.*").drop("c").withColumnRenamed("name", "config")
+    seen = lambda weight, c: F.when(F.col(weight) > 0, F.col(c))
+    each = each.withColumns({"dense_score": seen("dense", "dense_score"), "dense_rank": seen("dense", "dense_rank"), "sparse_score": seen("sparse", "sparse_score"), "sparse_rank": seen("sparse", "sparse_rank"), "exact": F.col("exact") & F.col("boost")})
+    each = each.filter((F.col("dense_rank").isNotNull() | F.col("sparse_rank").isNotNull()) & (F.col("candidate_stored") | ~F.col("stored")))
+    part = lambda weight, rank: F.coalesce(F.col(weight) / (s.rrf_k + F.col(rank)), F.lit(0.0))
+    score = part("dense", "dense_rank") + part("sparse", "sparse_rank") + F.when(F.col("exact"), 1.0).otherwise(0.0)
+    own = Window.partitionBy("config", "qid")
+    ordered = each.withColumn("rrf", score).withColumn("pos", F.row_number().over(own.orderBy(F.desc(F.round("rrf", 10)), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("sparse_rank"), "id")))
+    scored = ordered.withColumn("rerank_score", F.when(F.col("rerank") & (F.col("pos") <= max(s.rerank_top_n, s.final_top_k)), F.col("relevance")))
+    again = F.when(F.col("exact"), 1e6).otherwise(0.0) + F.coalesce("rerank_score", F.lit(-1e9)) + 10 * F.col("rrf")
+    # without scores the first order stays
+    key = F.when(F.col("rerank"), F.round(again, 8)).otherwise(F.lit(0.0))
+    placed = scored.withColumn("place", F.row_number().over(own.orderBy(F.desc(key), "pos"))).withColumn("rerank_best", F.max("rerank_score").over(own))
+    return placed.select("config", "qid", "id", "place", "dense_score", "sparse_score", "exact", "rerank_score", "rerank_best")
+
+
 def rate(flag: Column, among: Column) -> Column:
     """Share of rows with the flag among some; null if there are none."""
     return F.round(F.avg(F.when(among, flag.cast("int"))), 4)
