@@ -1,4 +1,4 @@
-"""Search with stems, without most postings, after a refresh, and by cells of vectors; sections from markup."""
+"""Search with stems, without most postings, after a refresh, by cells of vectors and by learned factors; sections from markup."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import stems as S
 from quern.functions import text as T
-from quern.operators import cleaning, ivf, pruned, retrieval
+from quern.operators import cleaning, factors, ivf, pruned, retrieval
 from quern.plans import retrieval as plans
 from quern.plans.registry import ORACLES, query
 from quern.sources import markup, segments
@@ -167,3 +167,13 @@ def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ivf_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same index searched in all cells with all candidates scored again: ``dense_topk``."""
     return ivf.search(_cells(spark, sf_dir), _vector_questions(spark, sf_dir), 30, probes=ivf.Params.cells, refine=ivf.Params.block_rows)
+
+
+@query()
+def factors_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 30 documents nearest to each question in the space of factors learned from the documents."""
+    docs, asked = parquet(spark, sf_dir, "documents"), plans._asked(spark, sf_dir)
+    made = factors.train(docs, save=saver(spark))
+    vectors = docs.select("doc_id", factors.embedding(F.col("text"), made).alias("vector"))
+    questions = asked.select("qid", factors.embedding(F.col("text"), made).alias("vector"))
+    return retrieval.dense_topk(vectors, questions, 30, "doc_id", "vector")
