@@ -60,7 +60,7 @@ EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p
 # Fixed value: countries whose IBANs are looked for in lower case, too.
 _LANDS = "ad ae al at az ba be bg br ch cy cz de dk ee es fi fo fr gb ge gi gr hr hu ie il is it kz lb li lt lu lv mc md me mk mt mu nl no pk pl ps pt qa ro rs sa se si sk sm tn tr ua vg xk".replace(" ", "|")
 # in lower case only the first four places behind the check digits may be letters
-IBAN = rf"(?<![\p{{L}}\p{{N}}])(?:[A-Z]{{2}}\d{{2}}(?:\x20?[A-Z0-9]{{4}}){{3,7}}(?:\x20?[A-Z0-9]{{1,3}})?|(?:{_LANDS})\d{{2}}\x20?(?:[a-z]{{4}}|\d{{4}})(?:\x20?\d{{4}}){{2,6}}(?:\x20?\d{{1,3}})?)(?![\p{{L}}\p{{N}}])"
+IBAN = rf"(?<![\p{{L}}\p{{N}}])(?:[A-Z]{{2}}\d{{2}}(?:\x20?[A-Z0-9]{{4}}){{3,7}}(?:\x20?[A-Z0-9]{{1,3}})?|(?=[a-z]{{2}}\d)(?:{_LANDS})\d{{2}}\x20?(?:[a-z]{{4}}|\d{{4}})(?:\x20?\d{{4}}){{2,6}}(?:\x20?\d{{1,3}})?)(?![\p{{L}}\p{{N}}])"
 IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)"
 _H = "[0-9A-Fa-f]{1,4}"
 _V4 = r"(?:\d{1,3}\.){3}\d{1,3}"
@@ -81,7 +81,7 @@ _AFTER = r"(?:[\x20\xA0\u202F\t]|\r?\n)"
 _WORD = rf"(?!(?:{_TITLES})(?!\p{{L}}))\p{{Lu}}(?:[\p{{L}}\p{{M}}]|-(?=\p{{L}})|['’](?=\p{{L}})(?![sS](?![\p{{L}}\p{{N}}])))++(?![\p{{L}}\p{{N}}])"
 _LEAD = rf"(?:\p{{Lu}}(?:\.(?:{_GAP}|-)?|{_GAP})|(?:{'|'.join(PARTICLES)}){_GAP}|d['’])*+"
 _FORMS = rf"(?:(?:{_TITLES})(?:\.{_AFTER}?|{_AFTER}))++"
-NAME = rf"(?<![\p{{L}}\p{{N}}]){_FORMS}{_LEAD}{_WORD}(?:{_GAP}{_LEAD}{_WORD})*+"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}}){_FORMS}{_LEAD}{_WORD}(?:{_GAP}{_LEAD}{_WORD})*+"
 #: A capitalised word, which may repeat a name of its document. Letters only, so that no other mention can begin inside.
 BARE = r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}\p{M}]++(?!\p{N})"
 _KINDS = (("email", EMAIL), ("iban", IBAN), ("ip", IP), ("ipv6", IPV6), ("ssn", SSN), ("card", CARD), ("phone", PHONE), ("name", NAME))
