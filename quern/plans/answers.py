@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import citations as C
 from quern.functions import text as T
-from quern.operators import answers, cleaning, evaluation, retrieval
+from quern.operators import answers, cleaning, evaluation, retrieval, traces
 from quern.plans import corpus
 from quern.plans import retrieval as found
 from quern.plans.registry import ORACLES, query
@@ -121,3 +121,27 @@ def part_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which parts are in the range that is ingested."""
     number = F.concat((F.col("doc_id") + 1850).cast("string"), "lang")
     return parquet(spark, sf_dir, "documents").select("doc_id", cleaning.in_parts(number).alias("kept"))
+
+
+_HELD = ("(1 + doc_id % 5)", "(3 + doc_id % 5)")
+_ASKED = ("(doc_id % 11)", "(doc_id % 11 + doc_id % 3)")
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_HELD[0]} AS lo, {_HELD[1]} AS hi, {_ASKED[0]} AS a, {_ASKED[1]} AS b FROM documents)
+    SELECT doc_id AS aid, 'OSHA 3151' AS root, CASE WHEN b < lo OR a > hi THEN 'cited pages ' || a || '-' || b || ' not in context' ELSE '' END AS reason, NOT (b < lo OR a > hi) AS valid FROM d""")
+def citation_page_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that cite pages of a publication, of which the context holds some."""
+    docs = parquet(spark, sf_dir, "documents")
+    page = lambda e: F.expr(e).cast("string")
+    written = docs.select(F.col("doc_id").alias("aid"), F.concat(F.lit("See OSHA 3151 (pp. "), page(_ASKED[0]), F.lit("-"), page(_ASKED[1]), F.lit(").")).alias("answer"))
+    packed = docs.select(F.col("doc_id").alias("aid"), F.concat(F.lit("OSHA 3151 (pp. "), page(_HELD[0]), F.lit("-"), page(_HELD[1]), F.lit(")")).alias("section_id"), "text")
+    return answers.validate(written, packed).select("aid", "root", "reason", "valid")
+
+
+@query("""SELECT count(*) AS total_traces, round(avg((event_type = 'error')::INT), 4) AS refusal_rate, round(avg(CASE WHEN event_type <> 'error' THEN value / 4 END), 1) AS avg_first_token_ms,
+    round(list_sort(list(value))[least(count(*) - 1, floor(0.5 * count(*)))::BIGINT + 1], 1) AS p50_latency_ms,
+    round(list_sort(list(value))[least(count(*) - 1, floor(0.95 * count(*)))::BIGINT + 1], 1) AS p95_latency_ms FROM events""")
+def trace_first_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of traces in which refused questions have no first token."""
+    refused = F.col("event_type") == "error"
+    return traces.stats(parquet(spark, sf_dir, "events"), refused, "value", F.when(~refused, F.col("value") / 4))
