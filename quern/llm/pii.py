@@ -88,7 +88,7 @@ _KINDS = (("email", EMAIL), ("iban", IBAN), ("ip", IP), ("ipv6", IPV6), ("ssn",
 ALL = "|".join(p.replace(r"\1", r"\k<gap>").replace(r"([\x20.-])", r"(?<gap>[\x20.-])") for _, p in _KINDS)
 ALL_BARE = f"{ALL}|{BARE}"
 #: Texts without any of these hold no entity.
-HINT = rf"@|::|(?:{_H}:){{6}}|\d{{4}}|\d\.\d|\d[\x20.()/-]+\d|(?:{'|'.join((*MALE, *FEMALE, *NEUTRAL, *MALE_DOTTED, *FEMALE_DOTTED, *NEUTRAL_DOTTED))})[.\x20\xA0\u202F\t\r\n]"
+HINT = rf"@|::|(?:{_H}:){{6}}|\d{{4}}|\d\.\d|\d[\x20.()/-]+\d|(?=\p{{Lu}})(?:{'|'.join((*MALE, *FEMALE, *NEUTRAL, *MALE_DOTTED, *FEMALE_DOTTED, *NEUTRAL_DOTTED))})[.\x20\xA0\u202F\t\r\n]"
 
 def _kind(mention: Column) -> Column:
     out = F.lit("name")
