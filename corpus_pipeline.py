@@ -15,6 +15,15 @@ from quern.llm.common import Scratch, table
 from quern.llm.queries import pii_key, remainder, vocabulary
 
 
+#: Tables that stages wrote for themselves; ``run`` deletes them once their stage is written.
+_HELD: list[Scratch] = []
+
+
+def _scratch(spark: SparkSession, name: str) -> Scratch:
+    _HELD.append(Scratch(spark, name))
+    return _HELD[-1]
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose language is in doubt."""
     model = langid.train(docs, remainder("doc_id", 3) != 1)
@@ -23,19 +32,19 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates."""
-    return minhash.keep_one(docs, Scratch(spark, "near"))
+    return minhash.keep_one(docs, _scratch(spark, "near"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by surrogates."""
-    out = pii.replace(docs, Scratch(spark, "pii"), pii_key(spark))
+    out = pii.replace(docs, _scratch(spark, "pii"), pii_key(spark))
     size = F.when(F.size(out.columns[-1]) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.select(*[size.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats small sources toward equal weights, at most twice; every document is given at least once."""
-    return mixing.mixed_documents(docs, Scratch(spark, "mix"))
+    return mixing.mixed_documents(docs, _scratch(spark, "mix"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +64,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, last = Scratch(spark, "pipeline"), None
     for _, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir))
+        while _HELD:
+            _HELD.pop().clear()
         if last is not None:
             scratch.drop(last)
         last = docs
