@@ -16,7 +16,6 @@ from __future__ import annotations
 from html import unescape
 from xml.etree.ElementTree import ParseError, fromstring
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
