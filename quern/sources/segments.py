@@ -69,12 +69,17 @@ def _write(df: DataFrame, path: str, name: str, *order: str) -> None:
     laid.write.parquet(f"{path}/{name}")
 
 
-def refresh(spark: SparkSession, root: str, segments: list[dict], chunks: DataFrame, embed: Callable[[Column], Column], stemmed: bool = False) -> tuple[list[dict], dict]:
-    """The segments that hold ``chunks (chunk_id, text)``: those given and, if anything changed, one more; and counts of what was done."""
+def refresh(spark: SparkSession, root: str, segments: list[dict], chunks: DataFrame, embed: Callable[[Column], Column], stemmed: bool = False, scope: DataFrame | None = None) -> tuple[list[dict], dict]:
+    """The segments that hold ``chunks (chunk_id, text)``: those given and, if anything changed, one more; and counts of what was done.
+
+    With ``scope (id)``, distinct ids, ``chunks`` are those of the scope alone, and what lives outside of it stays.
+    """
     kind = chunks.schema["chunk_id"].dataType.simpleString()
     asked = chunks.select("chunk_id", F.coalesce("text", F.lit("")).alias("text"))
     asked = asked.select(F.col("chunk_id").alias("id"), "text", content_hash().alias("hash"))
     old = tables(spark, root, segments, kind)["documents"].select("id", "hash", "dl", "counts")
+    if scope is not None:
+        old = old.join(scope, "id", "left_semi")
     seq = max((s["seq"] for s in segments), default=0) + 1
     name = f"segment-{seq}-{uuid.uuid4().hex[:12]}"
     path = f"{root}/{name}"
