@@ -74,8 +74,13 @@ def train(lines: DataFrame, max_transcripts: int = 2_000, prior: float = 0.1) ->
     """From ``conv, pos, line, state`` of at most about ``max_transcripts`` transcripts (hash of conv)."""
     n = lines.select("conv").distinct().count()
     drawn = lines.filter(F.pmod(F.xxhash64(F.lit("chat"), "conv"), F.lit(1_000_000)) < 1_000_000 * min(1.0, max_transcripts / max(n, 1)))
-    order = Window.partitionBy("conv", F.floor(F.col("pos") / 4096)).orderBy("pos", "line")
-    seen = drawn.select(symbol(F.col("line"), F.col("pos") == 0).alias("symbol"), F.col("state").cast("int").alias("state"), F.lag(F.col("state").cast("int")).over(order).alias("last"))
+    state, block = F.col("state").cast("int"), F.floor(F.col("pos") / 4096)
+    # a block's first line follows the last one of the block before; a window over a whole transcript might be most of the rows
+    ends = drawn.groupBy(F.col("conv").alias("_conv"), (block + 1).alias("_block")).agg(F.max(F.struct("pos", "line", state.alias("state")))["state"].alias("end"))
+    order = Window.partitionBy("conv", block).orderBy("pos", "line")
+    lagged = drawn.select("conv", block.alias("block"), symbol(F.col("line"), F.col("pos") == 0).alias("symbol"), state.alias("state"), F.lag(state).over(order).alias("before"))
+    joined = lagged.join(ends, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block")), "left")
+    seen = joined.select("symbol", "state", F.coalesce("before", "end").alias("last"))
     # at most SYMBOLS x STATES x (STATES + 1) rows
     counted = seen.groupBy("symbol", "state", "last").count().collect()
     first, step, emit = np.full(STATES, prior), np.full((STATES, STATES), prior), np.full((STATES, SYMBOLS), prior)

@@ -475,6 +475,14 @@ def test_mixture_gives_empty_texts_beside_a_long_one(spark):
 # --- chat
 
 
+def test_chat_learns_one_first_line_of_a_long_transcript(spark):
+    lines = [(c, i, f"line {i}", 0 if i == 0 else 2 + i % 2) for c in (7, None) for i in range(9000)]
+    model = chat.train(spark.createDataFrame(lines, "conv long, pos long, line string, state int"))
+    prior, begun = 0.1, 2
+    assert np.exp(model.step[chat.STATES, 0]) == pytest.approx((begun + prior) / (begun + 3 * prior), abs=1e-9)
+    assert np.exp(model.step[3, 2]) == pytest.approx((2 * 4499 + prior) / (2 * 4499 + 4 * prior), abs=1e-9)
+
+
 def test_roles_do_not_depend_on_chunks(spark):
     lines = []
     for c in range(30):
