@@ -35,7 +35,9 @@ def vocabulary() -> tuple[str, str]:
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
     base = F.filter("found", lambda x: x["rule"] < len(secrets.BASE_RULES))
-    counts = [F.size(F.filter("found", lambda x, k=k: x["rule"] == k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(secrets.BASE_RULES)]
+    # a lambda of two parameters would be given the place in the array as its second
+    number = lambda k: F.size(F.filter("found", lambda x: x["rule"] == k)).cast("long")
+    counts = [number(k).alias(f"n_{r.kind}") for k, r in enumerate(secrets.BASE_RULES)]
     return found.select("doc_id", *counts, F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("found")).alias("spans"))
 
 

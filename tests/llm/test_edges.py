@@ -7,7 +7,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from quern.llm import langid, pii, secrets
+from quern.llm import langid, pii, queries, secrets
 from quern.llm.common import Scratch
 from quern.llm.queries import pii_key
 
@@ -63,6 +63,14 @@ def test_rules_against_python(spark):
         assert [(x.at, x.rule, x.stop) for x in out[i]] == sorted(want), text
 
 
+def test_counts_of_the_query_are_those_of_its_spans(spark, tmp_path):
+    hexes, token, access = "0123456789abcdef", "token=abcdefghijkl", "AKIA" + "B2" * 7
+    texts = [hexes, f"{hexes} {token}", " ".join([hexes] * 3 + [token] * 2 + [access]), f"{access} {access} {token} {hexes}", "", None]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: (r.n_assign, r.n_access, r.n_hex) for r in queries.op1_secrets(spark, str(tmp_path)).collect()}
+    assert out == {0: (0, 0, 1), 1: (1, 0, 1), 2: (2, 1, 3), 3: (1, 2, 1), 4: (0, 0, 0), 5: (0, 0, 0)}
+
+
 @pytest.mark.parametrize("bit", ["eyJ", "eyJa.", ".eyJ", "-----BEGIN ", "PRIVATE KEY ", "token ", "password  ", "xoxb-", "ghp_", "AKIA", "abcdef", "secret=", "api_key'"])
 def test_time_of_a_long_text_grows_with_its_length(spark, bit):
     def seconds(n):
