@@ -3,7 +3,7 @@
 ``write_ivf`` trains on a bounded sample (``Params.sample``): cells by spherical k-means, and for each stretch of a vector
 a book of residuals. All rows are then assigned and coded, and laid in blocks of at most ``block_rows`` within
 their cell, so a cell that a third of all rows fall into is many blocks. ``search`` asks each question's
-nearest ``probes`` cells: codes give approximate cosines by table look-ups, and the best ``refine * k`` of each
+nearest ``probes`` cells: codes give approximate cosines, and the best ``refine * k`` of each
 block are scored again from the vectors themselves. With all cells and a ``refine`` beyond a block's rows the search
 is exact; ``retrieval.dense_topk`` is exact without an index.
 
@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.retrieval import PLACES, ranked
+from quern.operators import tiles
+from quern.operators.retrieval import ranked
 
 
 @dataclass(frozen=True)
@@ -75,15 +76,16 @@ def train(x: np.ndarray, p: Params) -> Model:
     return Model(cells, [_means(rest[:, a:b], min(p.entries, 256), p.rounds, False) for a, b in zip(cuts, cuts[1:])], cuts)
 
 
-def _units(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, v``: usable vectors in double precision."""
+def _units(df: DataFrame, id_col: str, vector_col: str, wide: bool = True) -> DataFrame:
+    """``id, v``: usable vectors in double precision, or as they are."""
     v = F.col(vector_col)
     whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return df.filter(v.isNotNull() & (F.size(v) > 0) & whole).select(F.col(id_col).alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v"))
+    return df.filter(v.isNotNull() & (F.size(v) > 0) & whole).select(F.col(id_col).alias("id"), (F.transform(v, lambda x: x.cast("double")) if wide else v).alias("v"))
 
 
 def _matrix(column) -> np.ndarray:
-    x = np.array(column.to_pylist(), np.float64)
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
 
 
@@ -128,53 +130,53 @@ def load_ivf(spark: SparkSession, path: str) -> dict:
     return {"model": Model(np.frombuffer(row["cells"], "<f8").reshape(-1, row["dim"]), books, [0, *(b["b"] for b in row["books"])]), "blocks": spark.read.parquet(f"{path}/blocks")}
 
 
-def search(index: dict, queries: DataFrame, k: int = 30, probes: int = 40, refine: int = 4, line: int = 1024) -> DataFrame:
-    """``qid, id, dense_score, dense_rank`` of ``queries (qid, vector)`` by cosine, among the rows of the nearest cells."""
+def search(index: dict, queries: DataFrame, k: int = 30, probes: int = 40, refine: int = 4, line: int = 32768) -> DataFrame:
+    """``qid, id, dense_score, dense_rank`` of ``queries (qid, vector)`` by cosine, among the rows of the nearest cells.
+
+    Lines of questions meet columns of blocks, as many as the rows need; a question looks into those of a column's blocks whose cell
+    it probes, and a column gives k of a question. Codes are put together to vectors, so that rough cosines are one product.
+    """
     model, blocks = index["model"], index["blocks"]
-    asked = _units(queries, "qid", "vector").filter(F.size("v") == model.cells.shape[1])
+    asked = _units(queries, "qid", "vector", wide=False).filter(F.size("v") == model.cells.shape[1])
     held = queries.sparkSession.sparkContext.broadcast(model)
     qkind, kind = asked.schema["id"].dataType.simpleString(), blocks.schema["ids"].dataType.elementType.simpleString()
-
-    def near(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column(1))
-                n = min(probes, len(held.value.cells))
-                cells = np.argsort(-(x @ held.value.cells.T), axis=1, kind="stable")[:, :n]
-                row = np.repeat(np.arange(len(x)), n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(cells.ravel().astype(np.int32))], names=["id", "v", "cell"])
-
-    def lined(table: pa.Table) -> pa.Table:
-        ids = pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table["id"].combine_chunks())
-        return pa.table([table["cell"][:1], ids, pa.array([_matrix(table["v"]).astype("<f8").tobytes()], pa.binary())], names=["cell", "qids", "qs"])
-
-    def scored(batches):
-        own = held.value
-        for batch in batches:
-            for r in range(batch.num_rows):
-                cell, qids, qs, ids, codes, raw = (batch.column(c)[r] for c in range(6))
-                q = np.frombuffer(qs.as_py(), "<f8").reshape(len(qids), -1)
-                v = np.frombuffer(raw.as_py(), "<f8").reshape(len(ids), -1)
-                code = np.frombuffer(codes.as_py(), np.uint8).reshape(len(ids), -1)
-                rough = np.repeat((q @ own.cells[cell.as_py()])[:, None], len(v), 1)
-                for m, (a, b, book) in enumerate(zip(own.cuts, own.cuts[1:], own.books)):
-                    rough += (q[:, a:b] @ book.T)[:, code[:, m]]
-                n = min(len(v), refine * k)
-                best = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-                exact = np.einsum("qd,qnd->qn", q, v[best])
-                i, j = np.repeat(np.arange(len(q)), n), best.ravel()
-                # k of a question, ties to the smaller id
-                name = ids.values.to_numpy(zero_copy_only=False)
-                by_id = np.argsort(np.argsort(name, kind="stable"), kind="stable")
-                order = np.lexsort((by_id[j], -np.round(exact.ravel(), PLACES), i))
-                i, j, s = i[order], j[order], exact.ravel()[order]
-                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-                yield pa.RecordBatch.from_arrays([qids.values.take(pa.array(i[keep])), ids.values.take(pa.array(j[keep])), pa.array(s[keep])], names=["qid", "id", "dense_score"])
-
-    probed = asked.mapInArrow(near, f"id {qkind}, v array<double>, cell int")
-    # a line of questions to a cell has about ``line`` of them
-    parts = probed.groupBy("cell").agg(F.ceil(F.count("*") / line).alias("parts"))
-    dealt = probed.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
-    lines = dealt.groupBy("cell", "part").applyInArrow(lined, f"cell int, qids array<{qkind}>, qs binary")
-    met = lines.join(blocks, "cell").select("cell", "qids", "qs", "ids", "codes", "raw").repartition(F.xxhash64("qids", "ids"))
-    return ranked(met.mapInArrow(scored, f"qid {qkind}, id {kind}, dense_score double"), "dense_score", "dense_rank", k)
+    n, (many, rows) = asked.count(), blocks.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+    lines, columns = max(1, -(-n // line), min(4, n // 512)), max(1, -(-rows // line), min(8, many))
+
+    def scored(q: np.ndarray, v: np.ndarray, near: np.ndarray, by_id: np.ndarray):
+        if refine * k >= len(v):
+            return tiles.best(q @ v.T, by_id, k)
+        # one whole product costs less than the vectors of pairs
+        score, rough = q @ v.T, q.astype(np.float32) @ near.T
+        score[rough < tiles.bound(rough, refine * k)[:, None]] = -np.inf
+        return tiles.best(score, by_id, k)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, out = held.value, []
+        blocks = [tuple(right[c][y] for c in ("cell", "ids", "codes", "raw")) for y in range(right.num_rows)]
+        none = pa.array([], right["ids"].type.value_type)
+        ids = pa.concat_arrays([none, *(b[1].values for b in blocks)])
+        by_id = tiles.rank_of(ids)
+        for x in range(left.num_rows):
+            qids = left["ids"][x].values
+            q = tiles.units(left["raw"][x].as_py(), len(qids), left["dim"][x].as_py())
+            probed = np.zeros((len(q), len(own.cells)), bool)
+            np.put_along_axis(probed, np.argsort(-(q @ own.cells.T), axis=1, kind="stable")[:, :probes], True, 1)
+            begin, parts = 0, []
+            for cell, names, codes, raw in blocks:
+                v = np.frombuffer(raw.as_py(), "<f8").reshape(len(names), -1)
+                code = np.frombuffer(codes.as_py(), np.uint8).reshape(len(v), -1)
+                near = (own.cells[cell.as_py()] + np.concatenate([book[code[:, m]] for m, book in enumerate(own.books)], 1)).astype(np.float32)
+                met, step = np.flatnonzero(probed[:, cell.as_py()]), max(1, (tiles.CELLS >> 1) // len(v))
+                for at in range(0, len(met), step):
+                    i, j, s = scored(q[met[at : at + step]], v, near, by_id[begin : begin + len(v)])
+                    parts.append((met[at + i], j + begin, s))
+                begin += len(v)
+            if parts:
+                parts = [tiles.first(*(np.concatenate([p[c] for p in parts]) for c in range(3)), by_id, k)]
+            out.append(tiles.chosen(qids, ids, parts, "dense_score"))
+        return pa.concat_tables(out) if out else tiles.chosen(pa.array([], left["ids"].type.value_type), none, [], "dense_score")
+
+    dealt = blocks.withColumn("column", F.pmod(F.xxhash64("cell", F.element_at("ids", 1)), F.lit(columns)).cast("int"))
+    met = tiles.meet(tiles.packed(asked, lines, "line"), lines, dealt, columns, run, f"qid {qkind}, id {kind}, dense_score double")
+    return ranked(met, "dense_score", "dense_rank", k)
