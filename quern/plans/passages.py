@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import passages
-from quern.operators.retrieval import bm25_search
+from quern.operators.retrieval import bm25_search, spread
 from quern.plans import retrieval as plans
 from quern.plans.registry import query
 from quern.plans.retrieval import BM25, words
@@ -36,7 +36,8 @@ def scored(candidates: DataFrame, asked: DataFrame, docs: DataFrame) -> DataFram
     """``qid, id, sparse_rank`` and the features of each of ``candidates`` over its whole text."""
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
     both = candidates.select("qid", "id", "sparse_rank").join(texts, "id").join(asked.select("qid", "text"), "qid")
-    return both.select("qid", "id", "sparse_rank", passages.features(F.col("text"), F.col("body")).alias("f")).select("qid", "id", "sparse_rank", "f.*")
+    # few bytes, long folds
+    return spread(both, "qid", "id").select("qid", "id", "sparse_rank", passages.features(F.col("text"), F.col("body")).alias("f")).select("qid", "id", "sparse_rank", "f.*")
 
 
 @query(f"""WITH {_SPANS}, sc AS (SELECT *, round(1 / (1 + exp(-(-8.0::DOUBLE + 6 * coverage + 4 * density + 2 * ord))), 10) AS s FROM fe)

@@ -7,7 +7,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import cleaning, ivf, retrieval, tiles
+from quern.operators import chunking, cleaning, factors, ivf, retrieval, tiles
+from quern.plans import passages
+from quern.sources import segments
 
 
 @pytest.mark.parametrize("rows,columns,k", [(3, 5, 7), (4, 900, 3), (5, 4000, 30), (2, 64, 64)])
@@ -66,3 +68,25 @@ def test_blocks_of_pages_come_in_small_parts(spark):
     assert "MapInArrow" in plan(found)
     rows = [(r.id, r.block, r.text) for r in found.orderBy("id", "block").collect()]
     assert rows == [x for n in range(2500) if n % 50 for x in ((n, 0, f"a{n}"), (n, 1, "b"))]
+
+
+def test_long_folds_over_few_bytes_are_dealt_over_cores(spark):
+    docs = spark.createDataFrame([(n, f"fox {n} hat") for n in range(6)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "fox hat")], "qid long, text string")
+    pairs = spark.createDataFrame([(1, 2, 1)], "qid long, id long, sparse_rank int")
+    pool = docs.select(F.lit(1).alias("qid"), F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.lit("s").alias("section"), F.lit(0.5).alias("relevance"), F.array(F.lit(1.0)).alias("vector"))
+    hits = docs.select(F.lit(1).alias("qid"), F.col("doc_id").alias("place"), F.col("doc_id").cast("string").alias("section"), F.lit("h").alias("heading"), F.lit("p").alias("path"), F.lit("s").alias("source"), F.col("text").alias("body"))
+    for df in (passages.scored(pairs, asked, docs), retrieval.mmr(pool), chunking.assemble(hits)):
+        assert "REPARTITION_BY_NUM" in plan(df) and df.count() > 0
+
+
+def test_words_of_a_segment_are_counted_in_place(spark):
+    new = spark.createDataFrame([(1, "fox hat fox", "h"), (2, "", "i"), (3, "The hat", "j")], "id long, text string, hash string")
+    made = segments._counted(new, lambda text: F.array(F.length(text).cast("double")), "bigint", False)
+    assert "Exchange" not in plan(made)
+    assert [(r.id, r.hash, r.vector, r.dl, r.counts) for r in made.orderBy("id").collect()] == [(1, "h", [11.0], 3, {"fox": 2, "hat": 1}), (2, "i", [0.0], 0, {}), (3, "j", [7.0], 1, {"hat": 1})]
+
+
+def test_entries_of_lists_are_counted():
+    row, col, n = factors._entries(pa.array([[5, 2, 5], [], None, [5]], pa.list_(pa.int32())), 8)
+    assert (row.tolist(), col.tolist(), n.tolist()) == ([0, 0, 3], [2, 5, 5], [1, 2, 1])
