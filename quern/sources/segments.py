@@ -15,9 +15,12 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
 from quern.operators.retrieval import bm25_index
 from quern.sources.tables import content_hash, delete
 
@@ -69,6 +72,28 @@ def _write(df: DataFrame, path: str, name: str, *order: str) -> None:
     laid.write.parquet(f"{path}/{name}")
 
 
+def _counted(new: DataFrame, embed: Callable[[Column], Column], kind: str, stemmed: bool) -> DataFrame:
+    """``documents`` of ``new (id, text, hash)``, whose words are counted where the text lies: ids are not repeated, so nothing is shuffled."""
+    schema = _SCHEMAS["documents"].format(kind)
+    if stemmed:  # each distinct word is stemmed once and joined back
+        own = bm25_index(new, "id", "text", True)["postings"].groupBy("id").agg(F.max("dl").cast("long").alias("dl"), F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("counts"))
+        made = new.select("id", "hash", embed(F.col("text")).alias("vector")).join(own, "id", "left")
+        return made.select("id", "hash", "vector", F.coalesce("dl", F.lit(0)).alias("dl"), F.coalesce("counts", F.create_map().cast("map<string,bigint>")).alias("counts"))
+
+    def run(batches):
+        for batch in batches:
+            words = batch.column(3)
+            sizes = words.value_lengths().to_numpy().astype(np.int64)
+            flat = words.flatten().dictionary_encode()
+            many = max(1, len(flat.dictionary))
+            key, n = np.unique(np.repeat(np.arange(len(words)), sizes) * many + flat.indices.to_numpy(), return_counts=True)
+            offsets = pa.array(np.searchsorted(key // many, np.arange(len(words) + 1)).astype(np.int32))
+            counts = pa.MapArray.from_arrays(offsets, flat.dictionary.take(pa.array(key % many)), pa.array(n.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(sizes), counts], names=["id", "hash", "vector", "dl", "counts"])
+
+    return new.select("id", "hash", embed(F.col("text")).alias("vector"), T.content_words(F.col("text")).alias("w")).mapInArrow(run, schema)
+
+
 def refresh(spark: SparkSession, root: str, segments: list[dict], chunks: DataFrame, embed: Callable[[Column], Column], stemmed: bool = False, scope: DataFrame | None = None) -> tuple[list[dict], dict]:
     """The segments that hold ``chunks (chunk_id, text)``: those given and, if anything changed, one more; and counts of what was done.
 
@@ -83,13 +108,11 @@ def refresh(spark: SparkSession, root: str, segments: list[dict], chunks: DataFr
     seq = max((s["seq"] for s in segments), default=0) + 1
     name = f"segment-{seq}-{uuid.uuid4().hex[:12]}"
     path = f"{root}/{name}"
-    new = asked.join(old.select("id", "hash"), ["id", "hash"], "left_anti")
-    _write(bm25_index(new, "id", "text", stemmed)["postings"].select("id", "term", "tf", "dl"), path, "postings", "term", "id")
+    new = asked.join(old.select("id", "hash"), ["id", "hash"], "left_anti") if segments else asked
+    _write(_counted(new, embed, kind, stemmed), path, "documents")
+    documents = spark.read.schema(_SCHEMAS["documents"].format(kind)).parquet(f"{path}/documents")
+    _write(documents.select("id", F.explode("counts").alias("term", "tf"), F.col("dl").cast("int").alias("dl")).select("id", "term", "tf", "dl"), path, "postings", "term", "id")
     postings = spark.read.schema(_SCHEMAS["postings"].format(kind)).parquet(f"{path}/postings")
-    own = postings.groupBy("id").agg(F.max("dl").cast("long").alias("dl"), F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("counts"))
-    made = new.select("id", "hash", embed(F.col("text")).alias("vector")).join(own, "id", "left")
-    none = F.create_map().cast("map<string,bigint>")
-    _write(made.select("id", "hash", "vector", F.coalesce("dl", F.lit(0)).alias("dl"), F.coalesce("counts", none).alias("counts")), path, "documents")
     gone = old.join(asked.select("id", "hash"), ["id", "hash"], "left_anti")
     _write(gone.select("id", "dl", "counts"), path, "gone")
     gone = spark.read.parquet(f"{path}/gone")
@@ -97,7 +120,6 @@ def refresh(spark: SparkSession, root: str, segments: list[dict], chunks: DataFr
     less = gone.select(F.explode(F.map_keys("counts")).alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
     more = postings.groupBy("term").agg(F.count("*").alias("df"))
     _write(more.unionByName(less).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0"), path, "terms", "term")
-    documents = spark.read.schema(_SCHEMAS["documents"].format(kind)).parquet(f"{path}/documents")
     count = lambda df: df.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     (added, words), (removed, fewer) = count(documents), count(gone)
     _write(spark.createDataFrame([(added - removed, words - fewer)], _SCHEMAS["totals"]), path, "totals")
