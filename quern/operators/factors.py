@@ -49,14 +49,17 @@ def _buckets(text: Column, n: int) -> Column:
     return F.transform(T.content_words(F.coalesce(text, F.lit(""))), lambda w: F.pmod(F.xxhash64(w), F.lit(n)).cast("int"))
 
 
-def _sparse(lists, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _entries(lists: pa.ListArray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, bucket and number of the distinct buckets of lists."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    key, n = np.unique(np.repeat(np.arange(len(lists)), sizes) * buckets + lists.flatten().to_numpy(zero_copy_only=False), return_counts=True)
+    return key // buckets, key % buckets, n
+
+
+def _weighted(row: np.ndarray, col: np.ndarray, n: np.ndarray, rows: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, bucket and weight of the entries of rows of unit length."""
-    sizes = np.fromiter((len(x) for x in lists), np.int64, len(lists))
-    flat = np.concatenate([np.asarray(x, np.int64) for x in lists]) if sizes.sum() else np.empty(0, np.int64)
-    key, n = np.unique(np.repeat(np.arange(len(lists)), sizes) * len(idf) + flat, return_counts=True)
-    row, col = key // len(idf), key % len(idf)
     weight = (1 + np.log(n)) * idf[col]
-    norm = np.sqrt(np.bincount(row, weight * weight, len(lists)))
+    norm = np.sqrt(np.bincount(row, weight * weight, rows))
     return row, col, weight / np.maximum(norm[row], 1e-300)
 
 
@@ -78,9 +81,11 @@ def _product(rows: DataFrame, v: np.ndarray, idf: np.ndarray) -> np.ndarray:
         total, met = np.zeros_like(v), np.zeros(len(v), bool)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                part = batch.column(0).slice(at, ROWS).to_pylist()
-                row, col, weight = _sparse(part, idf)
-                y = _times(row, col, weight, v, len(part))
+                part = batch.slice(at, ROWS)
+                sizes = part.column(0).value_lengths().to_numpy().astype(np.int64)
+                cols, counts = (part.column(c).flatten().to_numpy() for c in (0, 1))
+                row, col, weight = _weighted(np.repeat(np.arange(len(sizes)), sizes), cols, counts, len(sizes), idf)
+                y = _times(row, col, weight, v, len(sizes))
                 order = np.argsort(col, kind="stable")
                 total += _times(col[order], row[order], weight[order], y, len(v))
                 met[col] = True
@@ -99,8 +104,19 @@ def _product(rows: DataFrame, v: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, text_col: str = "text", p: Params = Params(), save=lambda df: df) -> Factors:
     """Factors of all texts. ``save`` writes a table that is read in every round, and gives it back."""
-    rows = save(docs.select(_buckets(F.col(text_col), p.buckets).alias("b")))
-    counts = rows.select(F.explode(F.array_distinct("b")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df")).toArrow()  # a row a bucket
+
+    def counted(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.column(0).slice(at, ROWS)
+                row, col, n = _entries(part, p.buckets)
+                offsets = pa.array(np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (col, n)], names=["b", "n"])
+
+    # counted once for all rounds, and dealt evenly
+    lists = docs.select(_buckets(F.col(text_col), p.buckets).alias("b"))
+    rows = save(lists.mapInArrow(counted, "b array<int>, n array<int>").repartition(3 * docs.sparkSession.sparkContext.defaultParallelism))
+    counts = rows.select(F.explode("b").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df")).toArrow()  # a row a bucket
     n, df = max(1, rows.count()), np.zeros(p.buckets)
     df[counts["bucket"].to_numpy()] = counts["df"].to_numpy()
     idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1e-3, 0.0)
@@ -123,8 +139,8 @@ def embedding(text: Column, factors: Factors) -> Column:
     def placed(lists: pd.Series) -> pd.Series:
         out = []
         for at in range(0, len(lists), ROWS):
-            part = list(lists.iloc[at : at + ROWS])
-            y = _times(*_sparse(part, factors.idf), factors.vectors, len(part))
+            part = pa.array(lists.iloc[at : at + ROWS], pa.list_(pa.int32()))
+            y = _times(*_weighted(*_entries(part, len(factors.idf)), len(part), factors.idf), factors.vectors, len(part))
             out += list(y / np.maximum(np.sqrt((y * y).sum(1, keepdims=True)), 1e-300))
         return pd.Series(out)
 
