@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators.retrieval import bm25_index
+from quern.operators.retrieval import bm25_index, counted
 from quern.sources.tables import content_hash, delete
 
 #: Segments, and share of dead documents, beyond which a refresh compacts.
@@ -83,13 +83,11 @@ def _counted(new: DataFrame, embed: Callable[[Column], Column], kind: str, stemm
     def run(batches):
         for batch in batches:
             words = batch.column(3)
-            sizes = words.value_lengths().to_numpy().astype(np.int64)
-            flat = words.flatten().dictionary_encode()
-            many = max(1, len(flat.dictionary))
-            key, n = np.unique(np.repeat(np.arange(len(words)), sizes) * many + flat.indices.to_numpy(), return_counts=True)
-            offsets = pa.array(np.searchsorted(key // many, np.arange(len(words) + 1)).astype(np.int32))
-            counts = pa.MapArray.from_arrays(offsets, flat.dictionary.take(pa.array(key % many)), pa.array(n.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(sizes), counts], names=["id", "hash", "vector", "dl", "counts"])
+            row, distinct, code, n = counted(words)
+            sizes = words.value_lengths().cast(pa.int64())
+            offsets = pa.array(np.searchsorted(row, np.arange(len(words) + 1)).astype(np.int32))
+            counts = pa.MapArray.from_arrays(offsets, distinct.take(pa.array(code)), pa.array(n))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), sizes, counts], names=["id", "hash", "vector", "dl", "counts"])
 
     return new.select("id", "hash", embed(F.col("text")).alias("vector"), T.content_words(F.col("text")).alias("w")).mapInArrow(run, schema)
 

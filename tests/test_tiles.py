@@ -90,3 +90,14 @@ def test_words_of_a_segment_are_counted_in_place(spark):
 def test_entries_of_lists_are_counted():
     row, col, n = factors._entries(pa.array([[5, 2, 5], [], None, [5]], pa.list_(pa.int32())), 8)
     assert (row.tolist(), col.tolist(), n.tolist()) == ([0, 0, 3], [2, 5, 5], [1, 2, 1])
+
+
+def test_words_of_an_index_are_counted_in_place(spark):
+    docs = spark.createDataFrame([(1, "fox hat fox"), (2, None), (3, "the"), (4, "Hat")], "doc_id long, text string")
+    held = retrieval.bm25_index(docs)
+    assert "Exchange" not in plan(held["postings"])
+    assert sorted(map(tuple, held["postings"].collect())) == [(1, "fox", 2, 3), (1, "hat", 1, 3), (4, "hat", 1, 1)]
+    assert tuple(held["stats"].first()) == (4, 1.0)
+    twice = retrieval.bm25_index(spark.createDataFrame([(1, "fox hat"), (1, "fox"), (2, "fox")], "doc_id long, text string"))
+    assert sorted(map(tuple, twice["postings"].collect())) == [(1, "fox", 2, 2), (1, "hat", 1, 2), (2, "fox", 1, 1)]
+    assert sorted(map(tuple, twice["terms"].collect())) == [("fox", 2), ("hat", 1)]
