@@ -101,3 +101,11 @@ def test_words_of_an_index_are_counted_in_place(spark):
     twice = retrieval.bm25_index(spark.createDataFrame([(1, "fox hat"), (1, "fox"), (2, "fox")], "doc_id long, text string"))
     assert sorted(map(tuple, twice["postings"].collect())) == [(1, "fox", 2, 2), (1, "hat", 1, 2), (2, "fox", 1, 1)]
     assert sorted(map(tuple, twice["terms"].collect())) == [("fox", 2), ("hat", 1)]
+
+
+def test_long_rows_that_no_join_wants_stay(spark):
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("x" * 50).alias("text")).unionByName(spark.createDataFrame([(None, "y")], "doc_id long, text string"))
+    wanted = spark.createDataFrame([(7,), (7,), (900,), (-1,)], "id long")
+    kept = retrieval.some(docs, "doc_id", wanted, "id")
+    assert kept.columns == ["doc_id", "text"] and sorted(r.doc_id for r in kept.collect()) == [7, 900]
+    assert not re.search(r"hashpartitioning\(doc_id#", plan(kept)) and retrieval.some(docs, "doc_id", wanted.limit(0), "id").count() == 0
