@@ -152,7 +152,7 @@ class Engine:
 
         The version that holds the batch also holds its number, so a batch that comes again is passed over, and one
         that died before is done anew: no row is there twice. Only chunks of the batch's sections are
-        compared, embedded and written. Rows: see ``quern.sources.changes.latest``. A later batch stands above
+        compared, embedded and written. Rows: see ``quern.sources.changes.plain``. A later batch stands above
         an earlier one, whatever ``order`` says, which is for the rows of one batch.
         """
         for again in range(5):

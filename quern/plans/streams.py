@@ -11,8 +11,8 @@ from quern import schemas
 from quern.engine import Engine
 from quern.plans.corpus import _sections
 from quern.plans.registry import ORACLES, query
-from quern.sources import segments
-from quern.sources.tables import content_hash, parquet, work_dir
+from quern.sources import changes, segments
+from quern.sources.tables import PACKED, content_hash, delete, parquet, work_dir
 from quern.streaming.ingest import DailyTraces, sections_into
 
 
@@ -31,12 +31,15 @@ def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         gone.withColumn("removed", F.lit(True)),
     )
     for rows in arrivals:
-        rows.write.mode("append").parquet(f"{root}/in")
+        rows.write.mode("append").options(**PACKED).parquet(f"{root}/in")
         stream = spark.readStream.schema(f"{schemas.SECTION}, n int, removed boolean").parquet(f"{root}/in")
         sections_into(engine, stream, "documents", f"{root}/at", "n").awaitTermination()
-    held = segments.tables(spark, engine.root, engine._state()["segments"])["documents"].select(F.col("id").alias("chunk_id"), "hash")
-    both = engine._read("chunks").withColumn("hash", content_hash()).join(held, ["chunk_id", "hash"])
-    return both.select("chunk_id", "chunk_idx", F.md5("text").alias("text"))
+        delete(spark, f"{root}/in")  # its batch is published
+    state = engine._state()
+    held = segments.tables(spark, engine.root, state["segments"])["documents"].select(F.col("id").alias("chunk_id"), "hash")
+    # digests are joined, not texts
+    made = changes.read(spark, engine.root, state["corpus"], state["changes"], "chunks", "chunk_id", "chunk_idx", content_hash().alias("hash"), F.md5("text").alias("text"))
+    return made.join(held, ["chunk_id", "hash"]).select("chunk_id", "chunk_idx", "text")
 
 
 @query(ORACLES["trace_upsert"])

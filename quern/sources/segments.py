@@ -1,10 +1,11 @@
 """A search index in immutable segments: a refresh writes what has changed, not what there is.
 
 A segment has the ``documents`` that a refresh added or changed (id, hash, vector, length, words and
-their counts), their ``postings``, the ``dead``: ids whose rows in earlier segments count no more, and what all that adds
+their counts), which are its postings, too, the ``dead``: ids whose rows in earlier segments count no more, and what all that adds
 to the statistics: ``terms`` and ``totals``, where the dead count as less than nothing. The
 tables of all segments together are an index as ``retrieval.bm25_search`` takes it. When dead rows or
-segments are many, ``compacted`` writes one segment of the living.
+segments are many, ``compacted`` writes one segment of the living. Which rows are new, gone or living is found
+on ids and hashes; texts, vectors and counts stay where they lie (``tables.picked``).
 
 Ids are not null and not repeated; a null text is an empty one.
 """
@@ -21,14 +22,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators.retrieval import bm25_index, counted
-from quern.sources.tables import content_hash, delete
+from quern.operators.retrieval import bm25_index, counted, some
+from quern.sources.tables import PACKED, content_hash, delete, picked
 
 #: Segments, and share of dead documents, beyond which a refresh compacts.
 MOST_SEGMENTS, DEAD_SHARE = 16, 0.25
+#: New documents that are brought together; more are counted and written where they lie.
+FEW = 10_000
 _SCHEMAS = {
     "documents": "id {}, hash string, vector array<double>, dl long, counts map<string,bigint>",
-    "postings": "id {}, term string, tf long, dl int",
     "dead": "id {}",
     "terms": "term string, df long",
     "totals": "n long, words long",
@@ -58,7 +60,7 @@ def tables(spark: SparkSession, root: str, segments: list[dict], kind: str = "st
     documents = living(read("documents"), dead)
     stats = read("totals").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
     return {
-        "postings": read("postings"),
+        "postings": read("documents").select("id", F.explode("counts").alias("term", "tf"), F.col("dl").cast("int").alias("dl"), "seq"),
         "dead": dead,
         "terms": read("terms").groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0"),
         "stats": stats.select("n", F.try_divide("words", "n").alias("avgdl")),
@@ -69,7 +71,12 @@ def tables(spark: SparkSession, root: str, segments: list[dict], kind: str = "st
 
 def _write(df: DataFrame, path: str, name: str, *order: str) -> None:
     laid = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    laid.write.parquet(f"{path}/{name}")
+    laid.write.options(**PACKED).parquet(f"{path}/{name}")
+
+
+def _save(df: DataFrame, path: str, name: str) -> DataFrame:
+    _write(df, path, name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
 
 
 def _counted(new: DataFrame, embed: Callable[[Column], Column], kind: str, stemmed: bool) -> DataFrame:
@@ -100,27 +107,31 @@ def refresh(spark: SparkSession, root: str, segments: list[dict], chunks: DataFr
     kind = chunks.schema["chunk_id"].dataType.simpleString()
     asked = chunks.select("chunk_id", F.coalesce("text", F.lit("")).alias("text"))
     asked = asked.select(F.col("chunk_id").alias("id"), "text", content_hash().alias("hash"))
-    old = tables(spark, root, segments, kind)["documents"].select("id", "hash", "dl", "counts")
-    if scope is not None:
-        old = old.join(scope, "id", "left_semi")
     seq = max((s["seq"] for s in segments), default=0) + 1
     name = f"segment-{seq}-{uuid.uuid4().hex[:12]}"
     path = f"{root}/{name}"
-    new = asked.join(old.select("id", "hash"), ["id", "hash"], "left_anti") if segments else asked
+    known = _read(spark, root, segments, "documents", kind)
+    old = living(known.select("id", "hash", "dl", "seq"), _buried(spark, root, segments, kind))
+    if scope is not None:
+        old = old.join(scope, "id", "left_semi")
+    # a row an id and hash that chunks (came) or segments (seq) have
+    both = _save(asked.select("id", "hash", F.lit(True).alias("came")).join(old, ["id", "hash"], "full").select("id", "came", "dl", "seq"), path, "keys") if segments else None
+    new = asked
+    if segments:
+        new = DataFrame.unionByName(*picked(asked, ["id"], both.filter("came and seq is null"), both.filter("came and seq is not null")))
+        if both.filter("came and seq is null").limit(FEW).count() < FEW:
+            new = new.repartition("id")
     _write(_counted(new, embed, kind, stemmed), path, "documents")
     documents = spark.read.schema(_SCHEMAS["documents"].format(kind)).parquet(f"{path}/documents")
-    _write(documents.select("id", F.explode("counts").alias("term", "tf"), F.col("dl").cast("int").alias("dl")).select("id", "term", "tf", "dl"), path, "postings", "term", "id")
-    postings = spark.read.schema(_SCHEMAS["postings"].format(kind)).parquet(f"{path}/postings")
-    gone = old.join(asked.select("id", "hash"), ["id", "hash"], "left_anti")
-    _write(gone.select("id", "dl", "counts"), path, "gone")
-    gone = spark.read.parquet(f"{path}/gone")
+    gone = both.filter("came is null") if segments else old
     _write(gone.select("id"), path, "dead")
-    less = gone.select(F.explode(F.map_keys("counts")).alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
-    more = postings.groupBy("term").agg(F.count("*").alias("df"))
-    _write(more.unionByName(less).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0"), path, "terms", "term")
+    lost = some(known, "id", gone, "id").join(gone.select("id", "seq"), ["id", "seq"], "left_semi")
+    terms = lambda df, n: df.select(F.explode(F.map_keys("counts")).alias("term")).groupBy("term").agg((n * F.count("*")).alias("df"))
+    _write(terms(documents, 1).unionByName(terms(lost, -1)).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0"), path, "terms", "term")
     count = lambda df: df.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     (added, words), (removed, fewer) = count(documents), count(gone)
     _write(spark.createDataFrame([(added - removed, words - fewer)], _SCHEMAS["totals"]), path, "totals")
+    delete(spark, f"{path}/keys")
     report = {"added": added, "removed": removed, "segments": len(segments) + bool(added or removed)}
     if not added and not removed:
         delete(spark, path)
@@ -140,8 +151,10 @@ def compacted(spark: SparkSession, root: str, segments: list[dict], kind: str =
     seq = max(s["seq"] for s in segments) + 1
     name = f"segment-{seq}-{uuid.uuid4().hex[:12]}"
     path = f"{root}/{name}"
-    _write(living(whole["postings"], whole["dead"]).drop("seq"), path, "postings", "term", "id")
-    _write(whole["documents"].drop("seq"), path, "documents")
+    known, dead = _read(spark, root, segments, "documents", kind), whole["dead"].withColumnRenamed("id", "_dead")
+    keys = _save(known.select("id", "seq").join(dead, F.col("id") == F.col("_dead"), "left").select("id", "seq", F.coalesce(F.col("seq") < F.col("before"), F.lit(False)).alias("buried")), path, "keys")
+    _write(DataFrame.unionByName(*picked(known, ["id", "seq"], keys.filter("not buried"), keys.filter("buried"))).drop("seq"), path, "documents")
+    delete(spark, f"{path}/keys")
     _write(spark.createDataFrame([], _SCHEMAS["dead"].format(kind)), path, "dead")
     _write(whole["terms"], path, "terms", "term")
     _write(_read(spark, root, segments, "totals", kind).agg(F.sum("n").alias("n"), F.sum("words").alias("words")), path, "totals")

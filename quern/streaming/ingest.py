@@ -24,7 +24,7 @@ def _started(stream: DataFrame, each, name: str, checkpoint: str, trigger: dict)
 
 
 def sections_into(engine: Engine, stream: DataFrame, name: str, checkpoint: str, order: str | None = None, **trigger) -> StreamingQuery:
-    """A stream of sections (``quern.sources.changes.latest``) into the engine's corpus and index; by default what is there now, then it ends."""
+    """A stream of sections (``quern.sources.changes.plain``) into the engine's corpus and index; by default what is there now, then it ends."""
     return _started(stream, lambda rows, batch: engine.apply(rows, name, batch, order), name, checkpoint, trigger)
 
 
